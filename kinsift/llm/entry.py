@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from kinsift.llm import simhash
+from kinsift.llm import mixing, sharding, simhash
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
+    "op4_sharding": sharding.op4_sharding,
+    "op8_mixing": mixing.op8_mixing,
 }
 
 SQL: dict[str, str] = {}
