@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from kinsift.llm import mixing, sharding, simhash
+from kinsift.llm import bpe, mixing, sharding, simhash
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
     "op4_sharding": sharding.op4_sharding,
     "op8_mixing": mixing.op8_mixing,
+    "op10_bpe": bpe.op10_bpe,
 }
 
 SQL: dict[str, str] = {}
