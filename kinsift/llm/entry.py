@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from kinsift.llm import bpe, mixing, sharding, simhash
+from kinsift.llm import bpe, mixing, sharding, simhash, warc
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
     "op4_sharding": sharding.op4_sharding,
+    "op6_warc": warc.op6_warc,
     "op8_mixing": mixing.op8_mixing,
     "op10_bpe": bpe.op10_bpe,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op6_warc": warc.OP6_SQL,
+}
