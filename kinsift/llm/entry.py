@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from kinsift.llm import bpe, mixing, sharding, simhash, warc
+from kinsift.llm import audio, bpe, cleaning, mixing, sharding, simhash, warc
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
     "op4_sharding": sharding.op4_sharding,
     "op6_warc": warc.op6_warc,
+    "op7_quality_rules": cleaning.op7_quality_rules,
     "op8_mixing": mixing.op8_mixing,
+    "op9_audio": audio.op9_audio,
     "op10_bpe": bpe.op10_bpe,
 }
 
