@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from kinsift.llm import audio, bpe, cleaning, mixing, quality, sharding, simhash, warc
+from kinsift.llm import audio, bpe, cleaning, mixing, quality, sharding, simhash, toxicity, warc
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
+    "op2_toxicity": toxicity.op2_toxicity,
     "op3_quality": quality.op3_quality,
     "op4_sharding": sharding.op4_sharding,
     "op6_warc": warc.op6_warc,
