@@ -251,8 +251,8 @@ def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str =
     return encoded.select(id_col, ids_col).mapInArrow(run, f"`{id_col}` {kind}, text string")
 
 
-def digests(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """(id_col, n_tokens, ids_sha256, decoded_sha256): the ids' digest and that of the text they decode to."""
+def digests(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids", with_ids: bool = False) -> DataFrame:
+    """(id_col, n_tokens, ids_sha256, decoded_sha256): the ids' digest and that of the text they decode to; with_ids: and the ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
@@ -261,10 +261,11 @@ def digests(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str
             raw, ends = ids.astype("<u4").tobytes(), np.append(0, np.cumsum(lengths) * 4).tolist()
             own = [hashlib.sha256(raw[a:b]).hexdigest() for a, b in zip(ends[:-1], ends[1:])]
             back = [hashlib.sha256(x).hexdigest() for x in bpe.decode(ids, lengths)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lengths), pa.array(own), pa.array(back)], [id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
+            columns = [batch.column(0), pa.array(lengths), pa.array(own), pa.array(back), batch.column(1)]
+            yield pa.RecordBatch.from_arrays(columns[: 4 + with_ids], [id_col, "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: 4 + with_ids])
 
     kind = encoded.schema[id_col].dataType.simpleString()
-    return encoded.select(id_col, ids_col).mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return encoded.select(id_col, ids_col).mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:

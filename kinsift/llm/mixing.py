@@ -63,7 +63,7 @@ def uniform(doc_id: Column, seed: int) -> Column:
     return (F.conv(digits, 16, 10).cast("double") + 0.5) / F.lit(float(2**48))
 
 
-def mix(
+def copies(
     docs: DataFrame,
     weights: tuple[float, ...] = (5, 2, 1),
     share: float = 1.5,
@@ -72,16 +72,19 @@ def mix(
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
+    carry: bool = True,
 ) -> DataFrame:
-    """(id_col, size, source_size, target, copies, taken, source) for every row of docs.
+    """(row, size, source_size, target, copies) for every row of docs; row holds all its columns.
 
     size: words; null and empty texts have 0 and are taken 0 words. A null source is a source. Rows with
     equal or null ids and equal sizes share a rank, and a draw that ends among them takes some of them,
     it doesn't matter which. Where everything has size 0 all targets are 0. An empty table gives an empty
-    result. Only the three named columns are looked at.
+    result. Only the three named columns are looked at. Without `carry`, row holds id and source alone
+    and texts are read once.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
-    rows = materialize(rows.withColumn("w", F.log2(F.col("size") + 2.0)).withColumn("u", uniform(F.col("id"), seed)), "sizes")
+    sized = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
+    sized = sized.withColumn("w", F.log2(F.col("size") + 2.0)).withColumn("u", uniform(F.col("id"), seed))
+    rows = materialize(sized.drop("row"), "sizes")
     sources = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     plan = materialize(targets(sources, weights, share, most), "targets")
     times = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
@@ -103,9 +106,8 @@ def mix(
 
     p = F.least(F.lit(1.0), F.col("c") * F.col("w"))
     r = F.when(p >= 1, 0.0).otherwise(F.col("u") / (1 - F.col("u")) * (1 - p) / p)
-    ranked = _with(rows, factors)
-    ranked = ranked.withColumn("rank", F.when((F.col("missing") > 0) & (F.col("c") > 0) & (F.col("size") > 0), r / (1 + r)))
-    drawn = ranked.where("rank IS NOT NULL").withColumn("band", F.floor(F.col("rank") * BANDS).cast("int"))
+    rank = F.when((F.col("missing") > 0) & (F.col("c") > 0) & (F.col("size") > 0), r / (1 + r))
+    drawn = _with(rows, factors).withColumn("rank", rank).where("rank IS NOT NULL").withColumn("band", F.floor(F.col("rank") * BANDS).cast("int"))
 
     bands = drawn.groupBy("source", "band").agg(F.sum("size").alias("words"), F.first("missing").alias("need"))
     so_far = F.sum("words").over(W.partitionBy("source").orderBy("band"))
@@ -138,10 +140,17 @@ def mix(
         state = _with(state, best, "left").withColumn("picks", F.when(F.col("best").isNull(), F.col("picks")).otherwise(F.concat("picks", F.array(F.struct("best.rank", "best.id")))))
         state = materialize(state.withColumn("gap", F.col("gap") - F.coalesce(F.col("best.size"), F.lit(0))).drop("best"), "picks")
 
-    full = _with(ranked, state.select("source", *known, "picks"))
+    # Documents meet the small table of sources alone, so their texts are not shuffled.
+    full = _with(_with(sized if carry else rows.withColumn("row", F.struct("id", "source")), factors).withColumn("rank", rank), state.select("source", *known, "picks"))
     extra = F.col("rank").isNotNull() & (F.coalesce(inner, F.lit(False)) | F.array_contains("picks", here))
-    copies = F.col("base") + F.coalesce(extra, F.lit(False)).cast("long")
-    return full.select(F.col("id").alias(id_col), "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), "source")
+    number = F.col("base") + F.coalesce(extra, F.lit(False)).cast("long")
+    return full.select("row", "size", "source_size", "target", number.alias("copies"))
+
+
+def mixed(docs: DataFrame, **options) -> DataFrame:
+    """docs with every row as often as the mix takes it, and no row that it doesn't take."""
+    found = copies(docs, **options)
+    return found.select("row", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))).select("row.*")
 
 
 def _with(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
@@ -151,5 +160,5 @@ def _with(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
 
 
 def op8_mixing(spark, sf_dir: str) -> DataFrame:
-    mixed = mix(read(spark, sf_dir, "documents"), weights=(5, 2, 1), share=1.5, most=2.0)
-    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+    found = copies(read(spark, sf_dir, "documents"), weights=(5, 2, 1), share=1.5, most=2.0, carry=False)
+    return found.select(F.col("row.id").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))

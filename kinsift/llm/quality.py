@@ -15,7 +15,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from kinsift.llm.cleaning import repeated_words
 from kinsift.llm.common import held_out, pieces, read, texts
@@ -80,16 +80,18 @@ def statistics(text: bytes | None) -> list[float]:
     ]
 
 
-def with_statistics(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
-    """The columns `keep` and the statistics of text_col, for every row of docs."""
+def with_statistics(docs: DataFrame, carried: Column, text_col: str = "text") -> DataFrame:
+    """(carried, statistics array<double>) for every row of docs."""
+    rows = docs.select(carried.alias("carried"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
-            values = np.array([statistics(x) for x in texts(batch.column(len(keep)))], float).reshape(batch.num_rows, len(STATISTICS))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *map(pa.array, values.T)], [*keep, *STATISTICS])
+            values = np.array([statistics(x) for x in texts(batch.column(1))], float).ravel()
+            offsets = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * len(STATISTICS))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(values, pa.float64()))], ["carried", "statistics"])
 
-    schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep] + [f"{c} double" for c in STATISTICS])
-    return docs.select(*keep, F.col(text_col).cast("string").alias("_text")).mapInArrow(run, schema)
+    schema = T.StructType([rows.schema["carried"], T.StructField("statistics", T.ArrayType(T.DoubleType()))])
+    return rows.mapInArrow(run, schema)
 
 
 #: (statistic, above, threshold): above means >, else <=.
@@ -102,12 +104,13 @@ class Rules(NamedTuple):
     intercept: float
 
     def score(self) -> Column:
-        """The score as an expression over the columns STATISTICS."""
+        """The score as an expression over the column `statistics`."""
+        of = lambda j: F.col("statistics")[j]
         total = F.lit(self.intercept)
         for rule, weight in zip(self.rules, self.weights):
             holds = F.lit(True)
             for j, above, limit in rule:
-                holds &= F.col(STATISTICS[j]) > limit if above else F.col(STATISTICS[j]) <= limit
+                holds &= of(j) > limit if above else of(j) <= limit
             total += F.when(holds, F.lit(weight)).otherwise(0.0)
         return 1 / (1 + F.exp(-total))
 
@@ -187,22 +190,28 @@ def fit(x: np.ndarray, y: np.ndarray) -> Rules:
 
 def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = SAMPLE) -> Rules:
     """Rules from at most `rows` labelled rows that aren't held out."""
-    known = with_statistics(sample(docs, labels, label, rows), ["y"]).orderBy(*STATISTICS, "y").toArrow()
-    x = np.stack([np.asarray(known[c]) for c in STATISTICS], axis=1).reshape(-1, len(STATISTICS))
-    return fit(x, np.asarray(known["y"]).astype(float))
+    known = with_statistics(sample(docs, labels, label, rows), F.col("y")).orderBy("statistics", "carried").toArrow()
+    x = np.array(known["statistics"].to_pylist(), float).reshape(-1, len(STATISTICS))
+    return fit(x, np.array(known["carried"].to_pylist(), float))
 
 
-def score(docs: DataFrame, model: Rules, keep: list[str], text_col: str = "text") -> DataFrame:
-    """The columns `keep` and `score` for every row of docs.
+def score(docs: DataFrame, model: Rules, carried: Column, text_col: str = "text") -> DataFrame:
+    """(carried, score) for every row of docs.
 
     Null and empty texts have statistics of 0 and a score like any. Null and repeated ids and repeated
-    rows stay rows; an empty table gives an empty result. Only the named columns are looked at.
+    rows stay rows; an empty table gives an empty result. Only `carried` and the text are looked at, so
+    other columns may have any name.
     """
-    return with_statistics(docs, keep, text_col).select(*keep, model.score().alias("score"))
+    return with_statistics(docs, carried, text_col).select("carried", model.score().alias("score"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
+    """The rows of docs, with all their columns, that score at least the threshold."""
+    return score(docs, learn(docs, labels), F.struct("*")).where(F.col("score") >= threshold).select("carried.*")
 
 
 def op3_quality(spark, sf_dir: str, threshold: float = 0.7) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    model = learn(docs, read(spark, sf_dir, "labels"))
-    scored = score(docs, model, ["doc_id"])
+    scored = score(docs, learn(docs, read(spark, sf_dir, "labels")), F.col("doc_id"))
+    scored = scored.withColumnRenamed("carried", "doc_id")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

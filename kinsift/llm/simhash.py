@@ -28,9 +28,9 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
-from kinsift.llm.common import pieces, texts
+from kinsift.llm.common import pieces, read, texts
 from kinsift.operators.components import connected_components
 from kinsift.storage import materialize
 
@@ -221,6 +221,19 @@ def links(distinct: DataFrame, split: int = SPLIT) -> DataFrame:
     return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_links, "src long, dst long")
 
 
+def classes(rows: DataFrame) -> DataFrame:
+    """(fp, component_id, keeper) of the fingerprints of rows (id, fp): the class's smallest id, and whether it is in this fingerprint.
+
+    Of fingerprints that share a class's smallest id, the smallest is the keeper's.
+    """
+    distinct = materialize(rows.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
+    joined = connected_components(links(distinct.select("fp")))
+    named = distinct.join(joined, distinct.fp == joined.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("c"))
+    first = F.min_by(F.struct("least", "fp"), F.struct(F.col("least").isNull(), "least", "fp"))
+    names = named.groupBy("c").agg(first.alias("first"))
+    return named.join(names, "c").select("fp", F.col("first.least").alias("component_id"), (F.col("fp") == F.col("first.fp")).alias("keeper"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, fp, component_id) for every row of docs.
 
@@ -231,16 +244,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     of docs are not looked at.
     """
     rows = materialize(fingerprints(docs, id_col, text_col), "fingerprints")
-    distinct = materialize(rows.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
-    joined = connected_components(links(distinct.select("fp")))
-    named = distinct.join(joined, distinct.fp == joined.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("c"))
-    names = named.groupBy("c").agg(F.min("least").alias("component_id"))
-    classes = named.join(names, "c").select(F.col("fp").alias("f"), "component_id")
-    return rows.join(classes, rows.fp == classes.f).select(F.col("id").alias(id_col), "fp", "component_id")
+    found = classes(rows).select(F.col("fp").alias("f"), "component_id")
+    return rows.join(found, rows.fp == found.f).select(F.col("id").alias(id_col), "fp", "component_id")
 
 
-def op1_simhash(spark, sf_dir: str) -> DataFrame:
-    from kinsift.llm.common import read
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each class, with all its columns: that of the smallest id; of equal ones, one of them."""
+    narrow = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = materialize(fingerprints(docs, id_col, text_col), "fingerprints")
+    keepers = classes(rows).where("keeper").select(F.col("fp").alias("k"), "component_id")
 
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            values = np.fromiter(map(fingerprint, texts(batch.column(2))), np.uint64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(values.view(np.int64))], ["row", "id", "fp"])
+
+    schema = T.StructType([narrow.schema["row"], T.StructField("id", T.LongType()), T.StructField("fp", T.LongType())])
+    # The fingerprints are made again rather than joined: ids may repeat, and texts are then shuffled once.
+    kept = narrow.mapInArrow(add, schema)
+    kept = kept.join(keepers, (kept.fp == keepers.k) & kept.id.eqNullSafe(keepers.component_id), "left_semi")
+    nth = F.row_number().over(W.partitionBy("fp", "id").orderBy(F.xxhash64("row")))
+    return kept.withColumn("nth", nth).where("nth = 1").select("row.*")
+
+
+def op1_simhash(spark, sf_dir: str) -> DataFrame:
     found = near_duplicates(read(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -23,14 +23,16 @@ smallest document has it in another passage meet by the names of the other pairs
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+import xxhash
+from pyspark.sql import DataFrame, functions as F, types as T
 
-from kinsift.llm.common import pieces, read, texts
-from kinsift.storage import discard, materialize
+from kinsift.llm.common import WORD, pieces, read, texts
+from kinsift.storage import materialize
 
 SHINGLE, PASSAGE, SIMILAR, BANDS = 5, 50, 0.8, 4
 #: Shingles of a passage.
@@ -342,32 +344,37 @@ def compare(left: list[bytes], right: list[bytes]) -> list[tuple[int, int, int,
     return sorted(out)
 
 
-_RESULT = "id long, start long, end long, to long, to_start long, to_end long, similarity double"
+_RESULT = "id long, start long, end long, to long, to_start long, to_end long, similarity double, digest long"
+
+
+def digest(words: list[bytes]) -> int:
+    """A passage's digest, as a signed number."""
+    return int.from_bytes(xxhash.xxh64_digest(b" ".join(words)), "big", signed=True)
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kinds = [pa.int64()] * 6 + [pa.float64()]
+    kinds = [pa.int64()] * 6 + [pa.float64(), pa.int64()]
     for batch in batches:
         rows = []
         for i, to, a, to_a, left, right in zip(*(batch.column(k).to_pylist() for k in range(6))):
+            words = left.split(b" ")
             if left == right:
-                n = left.count(b" ") + 1
-                found = [(0, n, 0, n, 1.0)] if n >= PASSAGE else []
+                found = [(0, len(words), 0, len(words), 1.0)] if len(words) >= PASSAGE else []
             else:
-                found = compare(left.split(b" "), right.split(b" "))
-            rows += [(i, a + s, a + e, to, to_a + ts, to_a + te, j) for s, e, ts, te, j in found]
-        columns = list(zip(*rows)) if rows else [[]] * 7
-        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds)], ["id", "start", "end", "to", "to_start", "to_end", "similarity"])
+                found = compare(words, right.split(b" "))
+            rows += [(i, a + s, a + e, to, to_a + ts, to_a + te, j, digest(words[s:e])) for s, e, ts, te, j in found]
+        columns = list(zip(*rows)) if rows else [[]] * 8
+        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds)], ["id", "start", "end", "to", "to_start", "to_end", "similarity", "digest"])
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, start, end, to, to_start, to_end, similarity) of passages that near-duplicate one of a document with a smaller id.
+    """(id, start, end, to, to_start, to_end, similarity, digest) of passages that near-duplicate one of a document with a smaller id.
 
     Places are numbers of words, ends exclusive; words are cut at white space and A-Z are lower-cased. The
     first document that has a passage is only named in `to`. Texts of fewer than PASSAGE words (null and
     empty ones too) have no passages, nor do rows with a null id. Rows that share an id are one document
-    whose passages lie in the first of their texts by order; passages within one document aren't looked
-    for. An empty table gives an empty result. Only the two named columns are looked at.
+    of several texts; digest tells whose passage it is. Passages within one document aren't looked for. An
+    empty table gives an empty result. Only the two named columns are looked at.
     """
     narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     rows = narrow.mapInArrow(_sketches, _SKETCH)
@@ -377,13 +384,54 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     spans = regions.select("id", "a", "b").unionByName(regions.select(F.col("to").alias("id"), F.col("to_a").alias("a"), F.col("to_b").alias("b"))).distinct()
     spans = spans.groupBy(F.col("id").alias("k")).agg(F.collect_list(F.struct("a", "b")).alias("spans"))
     wanted = narrow.join(spans, narrow["id"] == spans["k"]).select("id", "text", "spans")
-    slices = materialize(wanted.mapInArrow(_slices, "id long, a long, b long, words binary").dropDuplicates(["id", "a", "b"]), "slices")
+    slices = materialize(wanted.mapInArrow(_slices, "id long, a long, b long, words binary").distinct(), "slices")
     left = slices.select("id", "a", "b", F.col("words").alias("mine"))
     right = slices.select(F.col("id").alias("to"), F.col("a").alias("to_a"), F.col("b").alias("to_b"), F.col("words").alias("theirs"))
     both = regions.join(left, ["id", "a", "b"]).join(right, ["to", "to_a", "to_b"])
     return both.select("id", "to", "a", "to_a", "mine", "theirs").mapInArrow(_verify, _RESULT)
 
 
+def without(text: bytes, spans: list[tuple[int, int]]) -> bytes:
+    """The text without the words of spans [start, end) and the white space behind them."""
+    at = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", text)]
+    out, end = [], 0
+    for a, b in sorted(spans):
+        start = at[a][0]
+        if start > end:
+            out.append(text[end:start])
+        end = max(end, at[b][0] if b < len(at) else len(text))
+    return b"".join(out) + text[end:]
+
+
+def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
+    """docs without the passages that a document with a smaller id has too; the smallest keeps them.
+
+    Texts without such a passage stay as they are. chars_col, where there is one, is counted again for
+    texts that change. A row all of whose words go goes itself.
+    """
+    spans = repeats(docs, id_col, text_col).groupBy(F.col("id").alias("k")).agg(F.collect_set(F.struct("start", "end", "digest")).alias("spans"))
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    joined = rows.join(spans, rows["id"] == spans["k"], "left").select("row", "text", "spans")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            new = []
+            for text, found in zip(texts(batch.column(1)), batch.column(2).to_pylist()):
+                words = (text or b"").lower().split() if found else []
+                own = [(x["start"], x["end"]) for x in found or [] if x["end"] <= len(words) and digest(words[x["start"] : x["end"]]) == x["digest"]]
+                new.append(without(text, own) if own else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(new, pa.binary()).cast(pa.string())], ["row", "new"])
+
+    schema = T.StructType([joined.schema["row"], T.StructField("new", T.StringType())])
+    changed = joined.mapInArrow(cut, schema).where(F.col("new").isNull() | F.col("new").rlike(WORD))
+    fields = []
+    for name in docs.columns:
+        old = F.col("row").getField(name)
+        value = {text_col: F.col("new"), chars_col: F.length("new").cast(docs.schema[name].dataType)}.get(name)
+        fields.append((old if value is None else F.when(F.col("new").isNull(), old).otherwise(value)).alias(name))
+    return changed.select(*fields)
+
+
 def op5_substring(spark, sf_dir: str) -> DataFrame:
     found = repeats(read(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), "start", "end", F.col("to").alias("first_doc_id"), F.col("to_start").alias("first_start"), F.col("to_end").alias("first_end"), "similarity")
