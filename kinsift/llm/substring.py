@@ -25,6 +25,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +39,8 @@ from kinsift.storage import materialize
 SHINGLE, PASSAGE, SIMILAR, BANDS = 5, 50, 0.8, 4
 #: Shingles of a passage.
 WIDTH = PASSAGE - SHINGLE + 1
-#: Bytes of text sketched at once.
-CHUNK = 4 << 20
+#: Bytes of text hashed at once; shingles of a part of a longer text; intervals of a task that are matched at once.
+BLOCK, LONG, CHUNK = 1 << 19, 1 << 22, 1 << 20
 #: Candidates lie on one diagonal if it moves by no more than this many words from one to the next.
 DRIFT = 24
 #: Shingles without a match that may lie between two matching runs of one passage.
@@ -60,23 +62,28 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(n, base)
-    out[:1] = 1
-    return np.multiply.accumulate(out)
-
-
-def word_hashes(raw: bytes) -> np.ndarray:
-    """A 64-bit hash of each word, in order; equal words have equal hashes."""
+@lru_cache(maxsize=1)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The powers of the base and of its inverse up to n."""
     out = []
-    for part in _cut(raw, 1 << 20):
-        data = np.frombuffer(part, np.uint8)
-        white = np.concatenate([[True], _WHITE[data], [True]])
-        edge = np.flatnonzero(white[1:] != white[:-1])
-        start, end = edge[::2], edge[1::2]
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers(_BASE, len(data)))])
-        out.append(mix((total[end] - total[start]) * _powers(_INVERSE, len(data) + 1)[start] + (end - start).astype(np.uint64)))
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+    for base in (_BASE, _INVERSE):
+        x = np.full(n + 1, base)
+        x[0] = 1
+        out.append(np.multiply.accumulate(x))
+    return out[0], out[1]
+
+
+def word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of each word, in order, and where it begins; equal words have equal hashes."""
+    data = np.frombuffer(raw, np.uint8)
+    power, inverse = _powers(max(1 << 21, 1 << len(raw).bit_length()))
+    white = np.concatenate([[True], _WHITE[data], [True]])
+    edge = np.flatnonzero(white[1:] != white[:-1])
+    start, end = edge[::2], edge[1::2]
+    total = np.empty(len(data) + 1, np.uint64)
+    total[0] = 0
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], out=total[1:])
+    return mix((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64)), start
 
 
 def _cut(raw: bytes, most: int) -> Iterator[bytes]:
@@ -90,6 +97,26 @@ def _cut(raw: bytes, most: int) -> Iterator[bytes]:
         at = end
 
 
+def documents_shingles(raws: list[bytes]) -> Iterator[np.ndarray]:
+    """The shingle hashes of each text. Texts are taken together as long as they are small."""
+    k = 0
+    while k < len(raws):
+        n, size = k, 0
+        while n < len(raws) and (n == k or size + len(raws[n]) < BLOCK):
+            size += len(raws[n]) + 1
+            n += 1
+        if n == k + 1 and size > BLOCK:
+            yield shingle_hashes(np.concatenate([word_hashes(x)[0] for x in _cut(raws[k], BLOCK)]))
+        else:
+            words, start = word_hashes(b"\n".join(raws[k:n]))
+            ends = np.cumsum([len(x) + 1 for x in raws[k:n]])
+            bound = np.searchsorted(start, ends).tolist()
+            shingles = shingle_hashes(words)
+            for a, b in zip([0, *bound], bound):
+                yield shingles[a : max(a, b - SHINGLE + 1)]
+        k = n
+
+
 def shingle_hashes(words: np.ndarray) -> np.ndarray:
     n = len(words) - SHINGLE + 1
     if n < 1:
@@ -108,37 +135,53 @@ def sliding_minimum(v: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(v[: len(v) - (width - size)], v[width - size :]) if width > size else v
 
 
-def nearest_smaller(v: np.ndarray) -> np.ndarray:
-    """The place of the nearest smaller value to the left of each, -1 where there is none. Values are distinct."""
+def nearest_smaller(v: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """The place of the nearest smaller value to the left of each in the same document; less than the document's first place where there is none. Values are distinct."""
     out = np.arange(len(v)) - 1
+    open_ = np.arange(len(v))
     while True:
-        up = np.flatnonzero((out >= 0) & (v[out] > v))
-        if not len(up):
+        to = out[open_]
+        more = (to >= 0) & (v[to] > v[open_]) & (doc[to] == doc[open_])
+        open_ = open_[more]
+        if not len(open_):
             return out
-        out[up] = out[out[up]]
+        out[open_] = out[to[more]]
+
+
+class Layout(NamedTuple):
+    """Documents' shingles one after another: of each place, its document's first and last place and whether a passage begins there."""
 
+    first: np.ndarray
+    last: np.ndarray
+    ok: np.ndarray
+    opens: np.ndarray  # where a document's first passage begins
 
-def compact_windows(v: np.ndarray, ok: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, ...]:
+
+def compact_windows(v: np.ndarray, at: Layout) -> tuple[np.ndarray, ...]:
     """(start, end, c, l, r) of the windows wide enough for a passage: [start, end] are the places where a passage of WIDTH begins whose minimum is at c.
 
-    v: values, distinct, whose lower 24 bits are their places; documents lie one after another. ok: where
-    a passage may begin. first, last: each place's document's first and last place.
+    v: values, distinct, whose lower 24 bits are their places.
     """
-    low = (sliding_minimum(v, WIDTH) & _PLACE).astype(np.int64)
-    begins = np.flatnonzero(ok)
-    c = low[begins]
-    new = np.append(True, (c[1:] != c[:-1]) | (np.diff(begins) > 1))
-    start = begins[new]
-    end = begins[np.append(np.flatnonzero(new)[1:] - 1, len(begins) - 1)]
-    c = c[new]
+    low = sliding_minimum(v, WIDTH)
+    new = at.opens.copy()
+    new[1:] |= low[1:] != low[:-1]
+    new &= at.ok
+    start = np.flatnonzero(new)
+    c = (low[start] & _PLACE).astype(np.int64)
+    end = np.minimum(np.append(start[1:] - 1, len(low)), at.last[start] - WIDTH + 1)
     # The Cartesian tree over the minima: a minimum's window ends at the nearest smaller minimum or the document's end.
-    left = nearest_smaller(v[c])
-    right = len(c) - 1 - nearest_smaller(v[c][::-1])[::-1]
-    l = np.maximum(first[c], np.where(left >= 0, c[np.maximum(left, 0)] + 1, 0))  # noqa: E741
-    r = np.minimum(last[c], np.where(right < len(c), c[np.minimum(right, len(c) - 1)] - 1, last[c]))
+    value, own = v[c], at.first[c]
+    left = nearest_smaller(value, own)
+    right = len(c) - 1 - nearest_smaller(value[::-1], own[::-1])[::-1]
+    l = np.maximum(own, np.where(left >= 0, c[np.maximum(left, 0)] + 1, 0))  # noqa: E741
+    r = np.minimum(at.last[c], np.where(right < len(c), c[np.minimum(right, len(c) - 1)] - 1, at.last[c]))
     return start, end, c, l, r
 
 
+#: The hash functions: odd factors, whose products' upper bits order the shingles' hashes, which are mixed already.
+_FACTORS = [mix(np.array([i + 1], np.uint64) * _BASE)[0] | np.uint64(1) for i in range(2 * BANDS)]
+
+
 def sketch(ids: np.ndarray, shingles: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(name, id, at) of the joint intervals of documents. at: first shingle << 16 | shingles << 8 | place of the first function's minimum."""
     size = np.array([len(x) for x in shingles])
@@ -147,13 +190,13 @@ def sketch(ids: np.ndarray, shingles: list[np.ndarray]) -> tuple[np.ndarray, np.
     doc = np.repeat(np.arange(len(size)), size)
     first, last = base[doc], (base + size - 1)[doc]
     place = np.arange(len(h), dtype=np.uint64)
-    ok = (first + size[doc] - WIDTH >= np.arange(len(h)))[: len(h) - WIDTH + 1]
+    ok = (last - (WIDTH - 1) >= np.arange(len(h)))[: len(h) - WIDTH + 1]
+    opens = np.zeros(len(ok), bool)
+    opens[base] = True
+    layout = Layout(first, last, ok, opens)
     names, owners, ats = [], [], []
     for band in range(BANDS):
-        both = []
-        for side in range(2):
-            seed = mix(np.array([2 * band + side + 1], np.uint64) * _BASE)
-            both.append(compact_windows((mix(h ^ seed) & ~_PLACE) | place, ok, first, last))
+        both = [compact_windows((h * factor & ~_PLACE) | place, layout) for factor in _FACTORS[2 * band : 2 * band + 2]]
         (sa, ea, ca, la, ra), (sb, eb, cb, lb, rb) = both
         start = np.union1d(sa, sb)
         i, j = np.searchsorted(sa, start, side="right") - 1, np.searchsorted(sb, start, side="right") - 1
@@ -179,11 +222,12 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Intervals of a task's documents; those whose name a smaller document of the same chunk has are linked to it at once."""
     ids: list[int] = []
     held: list[np.ndarray] = []
-    size = 0
+    done: list[tuple[np.ndarray, ...]] = []
+    size = rows = 0
 
     def flush() -> Iterator[pa.RecordBatch]:
-        name, owner, at = sketch(np.array(ids, np.int64), held)
-        order = np.lexsort((at, owner, name))
+        name, owner, at = (np.concatenate(x) for x in zip(*done))
+        order = np.lexsort((owner, name))
         name, owner, at = name[order], owner[order], at[order]
         top = _first_of(name)
         own = owner == owner[top]
@@ -191,34 +235,34 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         linked = ~own
         # Links have a name too, which deals them out evenly.
         spread = mix((owner[linked].astype(np.uint64) * _BASE) ^ at[linked].astype(np.uint64))
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.concatenate([name[keep], spread]).view(np.int64)),
-                pa.array(np.concatenate([owner[keep], owner[linked]])),
-                pa.array(np.concatenate([at[keep], at[linked]])),
-                *(pa.array(np.concatenate([np.zeros(keep.sum(), np.int64), x[top[linked]]]), mask=np.arange(keep.sum() + linked.sum()) < keep.sum()) for x in (owner, at)),
-            ],
-            _COLUMNS,
-        )
+        null = np.arange(keep.sum() + linked.sum()) < keep.sum()
+        none = np.zeros(keep.sum(), np.int64)
+        columns = [np.concatenate([name[keep], spread]).view(np.int64), *(np.concatenate([x[keep], x[linked]]) for x in (owner, at))]
+        columns += [pa.array(np.concatenate([none, x[top[linked]]]), mask=null) for x in (owner, at)]
+        yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in columns], _COLUMNS)
 
     for batch in pieces(batches):
-        for i, text in zip(batch.column(0).to_pylist(), texts(batch.column(1))):
-            if i is None:
+        known = [(i, (text or b"").lower()) for i, text in zip(batch.column(0).to_pylist(), texts(batch.column(1))) if i is not None]
+        for (i, _), s in zip(known, documents_shingles([x for _, x in known])):
+            if len(s) < WIDTH:
                 continue
-            s = shingle_hashes(word_hashes((text or b"").lower()))
-            if len(s) >= WIDTH:
-                for k in range(0, len(s) - WIDTH + 1, 1 << 22):  # very long texts in overlapping parts
-                    part = s[k : k + (1 << 22) + WIDTH - 1]
-                    if k == 0 and len(part) == len(s):
-                        ids.append(i)
-                        held.append(part)
-                        size += len(part)
-                    else:
-                        yield from _long(i, part, k)
-        if size > CHUNK // 6:
-            yield from flush()
-            ids, held, size = [], [], 0
+            if len(s) > LONG:  # very long texts in overlapping parts
+                for k in range(0, len(s) - WIDTH + 1, LONG):
+                    yield from _long(i, s[k : k + LONG + WIDTH - 1], k)
+                continue
+            ids.append(i)
+            held.append(s)
+            size += len(s)
+            if size > BLOCK // 8:  # small enough for the processor's cache
+                done.append(sketch(np.array(ids, np.int64), held))
+                rows += len(done[-1][0])
+                ids, held, size = [], [], 0
+            if rows > CHUNK:
+                yield from flush()
+                done, rows = [], 0
     if held:
+        done.append(sketch(np.array(ids, np.int64), held))
+    if done:
         yield from flush()
 
 
@@ -250,19 +294,24 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, to, a, b, to_a, to_b) in words: candidates of two documents merged along their diagonals. In: id, to, list of (at, to_at)."""
     for batch in batches:
-        rows = []
-        for i, to, pairs in zip(*(batch.column(k).to_pylist() for k in range(3))):
-            x = np.array([(p["at"], p["to_at"]) for p in pairs], np.int64)
-            a, size, c = x >> 16, x >> 8 & 255, x & 255
-            slant = (a + c)[:, 0] - (a + c)[:, 1]
-            order = np.lexsort((a[:, 0], slant))
-            a, b, slant = a[order], (a + size)[order], slant[order]
-            for group in np.split(np.arange(len(order)), np.flatnonzero(np.diff(slant) > DRIFT) + 1):
-                group = group[np.argsort(a[group, 0], kind="stable")]
-                reach = np.maximum.accumulate(b[group, 0])
-                for part in np.split(group, np.flatnonzero(a[group, 0][1:] > reach[:-1]) + 1):
-                    rows.append((i, to, *(int(v) for k in (0, 1) for v in (a[part, k].min(), b[part, k].max() + SHINGLE - 1))))
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*rows) if rows else [[]] * 6)], ["id", "to", "a", "b", "to_a", "to_b"])
+        n = batch.column(2).value_lengths().to_numpy(zero_copy_only=False)
+        row = np.repeat(np.arange(batch.num_rows), n)
+        x = np.stack([np.asarray(y) for y in batch.column(2).flatten().flatten()], axis=1).reshape(-1, 2)
+        a, size, c = x >> 16, x >> 8 & 255, x & 255
+        b, slant = a + size, (a + c)[:, 0] - (a + c)[:, 1]
+        order = np.lexsort((slant, row))
+        row, a, b, slant = row[order], a[order], b[order], slant[order]
+        cluster = np.cumsum(np.append(True, (np.diff(row) != 0) | (np.diff(slant) > DRIFT)))
+        order = np.lexsort((a[:, 0], cluster))  # clusters stay where they are
+        row, a, b = row[order], a[order], b[order]
+        lift = cluster * (int(b.max(initial=0)) + 1)
+        reach = np.maximum.accumulate(b[:, 0] + lift) - lift  # within each cluster
+        start = np.flatnonzero(np.append(True, (np.diff(cluster) != 0) | (a[1:, 0] > reach[:-1])))[: len(row)]
+        if not len(row):
+            continue
+        low, high = np.minimum.reduceat(a, start), np.maximum.reduceat(b, start) + SHINGLE - 1
+        ends = [batch.column(k).take(pa.array(row[start])) for k in range(2)]
+        yield pa.RecordBatch.from_arrays([*ends, *(pa.array(y) for y in (low[:, 0], high[:, 0], low[:, 1], high[:, 1]))], ["id", "to", "a", "b", "to_a", "to_b"])
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
