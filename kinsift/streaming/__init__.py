@@ -1 +1 @@
-
+"""Nothing streams yet: a scan is one batch over two trees. New files are found by another scan."""
