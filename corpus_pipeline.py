@@ -35,8 +35,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, the ids of the text, their number, and digests of the ids and of what they decode to."""
-    path = bpe.vocabulary()
-    return bpe.digests(bpe.encode(docs, path), path, with_ids=True)
+    return bpe.round_trip(docs, bpe.vocabulary(), with_ids=True)
 
 
 STAGES = [

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, functions as F
 from kinsift.llm.common import pieces, read
 
 #: Words whose ids a worker remembers at once, and their ids.
-WORDS, IDS = 1 << 18, 1 << 22
+WORDS, IDS = 1 << 17, 1 << 20
 
 # What the tokenizers library's Unicode tables (16.0) hold differently from the tables used here.
 #: Ranges that are letters or numbers for the regex module (17.0), and other signs for the library.
@@ -224,7 +224,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
-        for batch in pieces(batches, 2 << 20):
+        for batch in pieces(batches):
             ids, lengths = bpe.encode([x or "" for x in batch.column(1).to_pylist()])
             offsets = pa.array(np.append(0, np.cumsum(lengths)).astype(np.int32))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32()))], [id_col, "ids"])
@@ -243,7 +243,7 @@ def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
-        for batch in pieces(batches, 2 << 20):
+        for batch in pieces(batches):
             decoded = bpe.decode(*_lists(batch.column(1)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(decoded, pa.binary()).cast(pa.string())], [id_col, "text"])
 
@@ -251,21 +251,27 @@ def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str =
     return encoded.select(id_col, ids_col).mapInArrow(run, f"`{id_col}` {kind}, text string")
 
 
-def digests(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids", with_ids: bool = False) -> DataFrame:
-    """(id_col, n_tokens, ids_sha256, decoded_sha256): the ids' digest and that of the text they decode to; with_ids: and the ids."""
+def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+    """(id_col, n_tokens, ids_sha256, decoded_sha256): the digests of a text's ids and of what these decode to; with_ids: and the ids.
+
+    As encode() and decode() one after the other, but in one pass over the texts.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
-        for batch in pieces(batches, 2 << 20):
-            ids, lengths = _lists(batch.column(1))
-            raw, ends = ids.astype("<u4").tobytes(), np.append(0, np.cumsum(lengths) * 4).tolist()
-            own = [hashlib.sha256(raw[a:b]).hexdigest() for a, b in zip(ends[:-1], ends[1:])]
+        for batch in pieces(batches):
+            ids, lengths = bpe.encode([x or "" for x in batch.column(1).to_pylist()])
+            ends = np.append(0, np.cumsum(lengths))
+            raw, cuts = ids.astype("<u4").tobytes(), (ends * 4).tolist()
+            own = [hashlib.sha256(raw[a:b]).hexdigest() for a, b in zip(cuts[:-1], cuts[1:])]
             back = [hashlib.sha256(x).hexdigest() for x in bpe.decode(ids, lengths)]
-            columns = [batch.column(0), pa.array(lengths), pa.array(own), pa.array(back), batch.column(1)]
-            yield pa.RecordBatch.from_arrays(columns[: 4 + with_ids], [id_col, "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: 4 + with_ids])
+            columns = [batch.column(0), pa.array(lengths), pa.array(own, pa.string()), pa.array(back, pa.string())]
+            if with_ids:
+                columns.append(pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids, pa.int32())))
+            yield pa.RecordBatch.from_arrays(columns, [id_col, "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(columns)])
 
-    kind = encoded.schema[id_col].dataType.simpleString()
-    return encoded.select(id_col, ids_col).mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
+    kind = docs.schema[id_col].dataType.simpleString()
+    return docs.select(id_col, F.col(text_col).cast("string")).mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -275,5 +281,4 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
 
 
 def op10_bpe(spark, sf_dir: str) -> DataFrame:
-    path = vocabulary()
-    return digests(encode(read(spark, sf_dir, "documents"), path), path)
+    return round_trip(read(spark, sf_dir, "documents"), vocabulary())

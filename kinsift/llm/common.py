@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -34,10 +36,19 @@ def texts(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
 
-def pieces(batches: Iterator[pa.RecordBatch], most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of about `most` bytes at the most, or one row."""
+def pieces(batches: Iterator[pa.RecordBatch], most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about `most` bytes at the most, or one row; at a task's end the worker gives unused memory back."""
     for batch in batches:
         n = batch.num_rows
         step = n if batch.nbytes <= most else max(1, int(n * most / batch.nbytes))
         for i in range(0, n, step):
             yield batch.slice(i, step)
+    del batches
+    trim()
+
+
+def trim() -> None:
+    """Workers live on between tasks, and several share an executor's memory."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not the GNU library
+        ctypes.CDLL(None).malloc_trim(0)

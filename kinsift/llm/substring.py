@@ -40,7 +40,7 @@ SHINGLE, PASSAGE, SIMILAR, BANDS = 5, 50, 0.8, 4
 #: Shingles of a passage.
 WIDTH = PASSAGE - SHINGLE + 1
 #: Bytes of text hashed at once; shingles of a part of a longer text; intervals of a task that are matched at once.
-BLOCK, LONG, CHUNK = 1 << 19, 1 << 22, 1 << 20
+BLOCK, LONG, CHUNK = 1 << 18, 1 << 22, 1 << 18
 #: Candidates lie on one diagonal if it moves by no more than this many words from one to the next.
 DRIFT = 24
 #: Shingles without a match that may lie between two matching runs of one passage.
@@ -76,7 +76,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 def word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     """A 64-bit hash of each word, in order, and where it begins; equal words have equal hashes."""
     data = np.frombuffer(raw, np.uint8)
-    power, inverse = _powers(max(1 << 21, 1 << len(raw).bit_length()))
+    power, inverse = _powers(max(1 << 19, 1 << len(raw).bit_length()))
     white = np.concatenate([[True], _WHITE[data], [True]])
     edge = np.flatnonzero(white[1:] != white[:-1])
     start, end = edge[::2], edge[1::2]
@@ -253,7 +253,7 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids.append(i)
             held.append(s)
             size += len(s)
-            if size > BLOCK // 8:  # small enough for the processor's cache
+            if size > BLOCK // 4:  # small enough for the processor's cache
                 done.append(sketch(np.array(ids, np.int64), held))
                 rows += len(done[-1][0])
                 ids, held, size = [], [], 0
