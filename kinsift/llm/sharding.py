@@ -4,7 +4,7 @@ Bytes, tokens and rows are balanced jointly: an item is a vector of its shares o
 residual capacity is a vector too, and items are placed, largest first, where the dot product of the
 two is highest among the shards that still have room for the item's bytes (where none has: the one with
 the most room). Rows with equal texts are one group and stay together, so that copies never sit in two
-shards, up to a group of more than a quarter of a shard, which is cut into pieces.
+shards, up to a group that would fill a shard, which is cut into pieces.
 
 Packing looks at every item in turn, so their number is bounded whatever the number of rows: a group
 of more than 1/1024 of a shard is an item (there are at most 1024 per shard), and all the lighter groups
@@ -28,7 +28,7 @@ from kinsift.storage import materialize
 #: Items a shard is made of, at the least, where there are that many groups.
 GRAIN = 1024
 #: A group of over this share of a shard is cut into pieces.
-WHOLE = 0.25
+WHOLE = 0.9
 #: Rows of a part of a shard that one task numbers.
 PART_ROWS = 50_000
 #: Bytes that a row has besides its text.
