@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from kinsift.llm.common import pieces, read, texts
+from kinsift.llm.common import WORD, pieces, read, texts
 
 WINDOW = 8
 #: Base rules: fewer words than this, or more than this share of words (percent) in repeated windows, fails.
@@ -30,33 +30,33 @@ SENTENCE_WORDS = 40
 #: Lines of at most so many words may lack an end of sentence (titles).
 TITLE_WORDS = 8
 
-# Signs and phrases.
-SYMBOLS = b"#*$%&|<>"
-SENTENCE_ENDS = tuple(x.encode() for x in (".", "!", "?", ":", ";", "…", "。", "！", "？", "؟", "।"))
-CLOSERS = tuple(x.encode() for x in ('"', "'", ")", "]", "”", "’", "»", "“", "」"))
-INNER_END = re.compile(r"[.!?…](?=\s)|[。！？]")
-SEPARATORS = re.compile("[|»«›‹•·>]")
-PHRASES = re.compile(
-    r"\b(all rights reserved|privacy policy|terms of (use|service)|cookie (policy|settings)|accept (all )?cookies|we use cookies"
-    r"|enable javascript|javascript is (disabled|required)|skip to (main )?content|click here|read more|sign (in|up)|log ?in"
-    r"|subscribe to our newsletter|share (this|on)|back to top|lorem ipsum|page not found)\b",
-    re.IGNORECASE,
+# Signs and phrases, in a form that Python and SQL read alike.
+SYMBOLS = "[#*$%&|<>]"
+SEPARATORS = "[|»«›‹•·>]"
+TAIL = r"""[\x20\x09-\x0D"')\]”’»“」]+$"""
+ENDED = "[.!?:;…。！？؟।]$"
+INNER_END = r"[.!?…][\x20\x09-\x0D]|[。！？]"
+PHRASES = (
+    r"(?i)\b(?:all rights reserved|privacy policy|terms of (?:use|service)|cookie (?:policy|settings)|accept (?:all )?cookies|we use cookies"
+    r"|enable javascript|javascript is (?:disabled|required)|skip to (?:main )?content|click here|read more|sign (?:in|up)|log ?in"
+    r"|subscribe to our newsletter|share (?:this|on)|back to top|lorem ipsum|page not found)\b"
 )
+#: Words that one phrase of page furniture may have around it on its line.
+PHRASE_WORDS = 12
+
+_symbols, _separators, _tail, _ended, _inner, _phrases = (re.compile(x, re.ASCII) for x in (SYMBOLS, SEPARATORS, TAIL, ENDED, INNER_END, PHRASES))
 
 
 def line_failure(line: str, n_words: int) -> str | None:
     """The rule that a line with n_words words (at least one) fails, or None."""
-    raw = line.rstrip().encode()
-    while raw.endswith(CLOSERS):
-        raw = next(raw[: -len(x)] for x in CLOSERS if raw.endswith(x)).rstrip()
-    if len(SEPARATORS.findall(line)) >= max(2, MENU * n_words):
+    if len(_separators.findall(line)) >= max(2, MENU * n_words):
         return "navigation"
-    if sum(map(line.count, SYMBOLS.decode())) > DECORATED * n_words:
+    if len(_symbols.findall(line)) > DECORATED * n_words:
         return "punctuation"
-    if n_words > TITLE_WORDS and not raw.endswith(SENTENCE_ENDS) and len(INNER_END.findall(line)) * SENTENCE_WORDS < n_words:
+    if n_words > TITLE_WORDS and not _ended.search(_tail.sub("", line)) and len(_inner.findall(line)) * SENTENCE_WORDS < n_words:
         return "punctuation"
-    phrases = PHRASES.findall(line)
-    if phrases and n_words <= 12 * len(phrases):
+    phrases = len(_phrases.findall(line))
+    if phrases and n_words <= PHRASE_WORDS * phrases:
         return "boilerplate"
     return None
 
@@ -111,7 +111,7 @@ def assess(text: bytes | None) -> dict:
     return {
         "n_words": len(words),
         "word_chars": sum(len(w.decode("utf-8", "replace")) for w in words) if not raw.isascii() else sum(map(len, words)),
-        "n_symbols": sum(raw.count(x) for x in SYMBOLS),
+        "n_symbols": sum(raw.count(x) for x in SYMBOLS[1:-1].encode()),
         "n_dup_lines": n_dup,
         "n_repeat_words": repeated,
         "base_failed": base_failed,
@@ -149,4 +149,43 @@ def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_
 
 
 def op7_quality_rules(spark, sf_dir: str) -> DataFrame:
-    return clean(read(spark, sf_dir, "documents"), with_text=False).drop("cleaned")
+    found = clean(read(spark, sf_dir, "documents"), with_text=False)
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lost_words")
+
+
+def _quoted(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+def _count(text: str, pattern: str) -> str:
+    return f"len(regexp_extract_all({text}, {_quoted(pattern)}))"
+
+
+OP7_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), {_quoted(WORD)}) AS words FROM documents),
+line AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d),
+counted AS (
+  SELECT doc_id, line, {_count("line", WORD)} AS n, {_count("line", SEPARATORS)} AS bars, {_count("line", SYMBOLS)} AS symbols,
+    regexp_matches(regexp_replace(line, {_quoted(TAIL)}, ''), {_quoted(ENDED)}) AS ended, {_count("line", INNER_END)} AS ends, {_count("line", PHRASES)} AS phrases
+  FROM line WHERE regexp_matches(line, {_quoted(WORD)})
+),
+judged AS (
+  SELECT *, bars >= greatest(2, {MENU}::DOUBLE * n) OR symbols > {DECORATED}::DOUBLE * n OR (n > {TITLE_WORDS} AND NOT ended AND ends * {SENTENCE_WORDS} < n)
+    OR (phrases > 0 AND n <= {PHRASE_WORDS} * phrases) AS failed FROM counted
+),
+lines AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines, sum(CASE WHEN failed THEN n ELSE 0 END) AS n_lost_words FROM judged GROUP BY doc_id),
+windows AS (
+  SELECT doc_id, i, array_to_string(words[i:i + {WINDOW - 1}], ' ') AS w FROM (SELECT doc_id, words, unnest(range(1, len(words) - {WINDOW - 2})) AS i FROM d)
+),
+often AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w) AS n FROM windows) WHERE n > 1),
+repeated AS (SELECT doc_id, count(DISTINCT k) AS n_repeat_words FROM (SELECT doc_id, unnest(range(i, i + {WINDOW})) AS k FROM often) GROUP BY doc_id),
+base AS (
+  SELECT d.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(list_sum([length(w) FOR w IN words]), 0) AS BIGINT) AS word_chars,
+    CAST({_count("text", SYMBOLS)} AS BIGINT) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+    CAST(coalesce(n_lost_words, 0) AS BIGINT) AS n_lost_words
+  FROM d LEFT JOIN lines ON lines.doc_id = d.doc_id LEFT JOIN repeated ON repeated.doc_id = d.doc_id
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lost_words, n_words < {LEAST_WORDS} OR 100 * n_repeat_words > {MOST_REPEATED} * n_words AS base_failed,
+  NOT (n_words < {LEAST_WORDS} OR 100 * n_repeat_words > {MOST_REPEATED} * n_words) AND n_lost_words <= {MOST_LOST}::DOUBLE * n_words AS kept
+FROM base
+"""

@@ -19,4 +19,6 @@ QUERIES = {
 
 SQL: dict[str, str] = {
     "op6_warc": warc.OP6_SQL,
+    "op7_quality_rules": cleaning.OP7_SQL,
+    "op8_mixing": mixing.OP8_SQL,
 }

@@ -24,7 +24,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from kinsift.llm.common import read, word_count
+from kinsift.llm.common import WORD, read, word_count
 from kinsift.storage import materialize
 
 #: Bands of the ranks of a source.
@@ -162,3 +162,50 @@ def _with(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
 def op8_mixing(spark, sf_dir: str) -> DataFrame:
     found = copies(read(spark, sf_dir, "documents"), weights=(5, 2, 1), share=1.5, most=2.0, carry=False)
     return found.select(F.col("row.id").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def _op8_sql(weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 7, picks: int = 2) -> str:
+    """The same mix without bands: every source is ordered whole."""
+    weight = " ".join(f"WHEN {i} THEN {w}" for i, w in enumerate(weights))
+    steps = [f"""d AS (
+      SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS BIGINT) AS size,
+        (CAST('0x' || substr(md5('{seed}:' || doc_id), 1, 12) AS BIGINT) + 0.5::DOUBLE) / {2**48}.0::DOUBLE AS u FROM documents
+    ), s AS (
+      SELECT source, CAST(sum(size) AS BIGINT) AS source_size, CAST(CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(weights)} {weight} END AS DOUBLE) AS weight FROM d GROUP BY source
+    ), s1 AS (
+      SELECT *, {most}::DOUBLE * source_size AS cap, {share}::DOUBLE * sum(source_size) OVER () - coalesce(sum({most}::DOUBLE * source_size) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest,
+        sum(weight) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open FROM s WINDOW w AS (ORDER BY {most}::DOUBLE * source_size / weight, source NULLS LAST)
+    ), s2 AS (SELECT *, rest * weight >= cap * open AS capped FROM s1),
+    s3 AS (
+      SELECT *, CASE WHEN capped THEN cap ELSE weight * (({share}::DOUBLE * sum(source_size) OVER () - coalesce(sum(cap) FILTER (capped) OVER (), 0)) / sum(weight) FILTER (NOT capped) OVER ()) END AS target FROM s2
+    ), s4 AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size + 1e-12) ELSE 0 END AS base FROM s3),
+    f0 AS (SELECT source, source_size, target, base, CASE WHEN target - base * source_size < 0.5 THEN 0 ELSE target - base * source_size END AS missing, 0.0::DOUBLE AS c FROM s4),
+    e AS (SELECT *, log2(size + 2.0::DOUBLE) AS w FROM d)"""]
+    for i in range(ROUNDS):
+        steps.append(f"""g{i} AS (
+          SELECT e.source, sum(CASE WHEN c * w >= 1 THEN size ELSE 0 END) AS sure, sum(CASE WHEN c * w >= 1 THEN 0 ELSE size * w END) AS spread
+          FROM e JOIN f{i} ON e.source IS NOT DISTINCT FROM f{i}.source WHERE missing > 0 GROUP BY e.source
+        ), f{i + 1} AS (
+          SELECT f.source, source_size, target, base, missing, CASE WHEN spread > 0 AND missing > sure THEN (missing - sure) / spread ELSE 0 END AS c
+          FROM f{i} f LEFT JOIN g{i} g ON f.source IS NOT DISTINCT FROM g.source
+        )""")
+    steps.append(f"""r0 AS (
+      SELECT e.*, f.source_size, f.target, f.base, f.missing, CASE WHEN missing > 0 AND c > 0 AND size > 0 THEN CASE WHEN c * w >= 1 THEN 0 ELSE u / (1 - u) * (1 - c * w) / (c * w) END END AS r
+      FROM e JOIN f{ROUNDS} f ON e.source IS NOT DISTINCT FROM f.source
+    ), r1 AS (SELECT *, r / (1 + r) AS rank FROM r0),
+    r2 AS (SELECT *, CASE WHEN rank IS NOT NULL THEN sum(size) FILTER (rank IS NOT NULL) OVER (PARTITION BY source ORDER BY rank NULLS LAST, doc_id) END AS run FROM r1),
+    t0 AS (
+      SELECT source, CASE WHEN count(*) FILTER (run >= missing) > 0 THEN any_value(missing) - coalesce(max(run) FILTER (run < missing), 0) ELSE 0 END AS gap FROM r2 GROUP BY source
+    ), x0 AS (SELECT *, rank IS NOT NULL AND run < missing AS extra FROM r2)""")
+    for i in range(picks):
+        steps.append(f"""b{i} AS (
+          SELECT x.source, arg_min({{'rank': rank, 'id': doc_id, 'size': size}}, {{'off': abs(size - gap), 'rank': rank, 'id': doc_id, 'size': size}}) AS best
+          FROM x{i} x JOIN t{i} t ON x.source IS NOT DISTINCT FROM t.source WHERE rank IS NOT NULL AND NOT extra AND gap > 0 AND abs(size - gap) < gap GROUP BY x.source
+        ), t{i + 1} AS (SELECT t.source, gap - coalesce(best.size, 0) AS gap FROM t{i} t LEFT JOIN b{i} b ON t.source IS NOT DISTINCT FROM b.source),
+        x{i + 1} AS (
+          SELECT x.* REPLACE (extra OR coalesce(best.rank = rank AND best.id = doc_id, false) AS extra) FROM x{i} x LEFT JOIN b{i} b ON x.source IS NOT DISTINCT FROM b.source
+        )""")
+    return f"WITH {', '.join(steps)} SELECT doc_id, size, source_size, target, CAST((base + CASE WHEN extra THEN 1 ELSE 0 END) * size AS BIGINT) AS taken FROM x{picks}"
+
+
+OP8_SQL = _op8_sql()
