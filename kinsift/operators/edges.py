@@ -14,9 +14,9 @@ from kinsift.options import IMAGE_EXTENSIONS, THUMBNAIL_MEAN, VIDEO_EXTENSIONS,
 
 
 def same_size(files: DataFrame) -> DataFrame:
-    """Files whose size another file has too. Sizes are counted on the map side; nothing else of a file is shuffled but what it holds."""
-    common = files.groupBy("size").agg(F.count("*").alias("_n")).where("_n > 1").select("size")
-    return files.join(common, "size", "left_semi").select(*files.columns)
+    """Files whose size another file has too. Sizes are counted on the map side."""
+    common = files.groupBy("size").agg(F.count("*").alias("_n")).where("_n > 1").select((F.col("size") + F.lit(0)).alias("_s"))
+    return files.join(common, files["size"] == common["_s"], "left_semi")
 
 
 def image_candidates(files: DataFrame, options: ScanOptions) -> DataFrame:
@@ -28,10 +28,16 @@ def video_candidates(files: DataFrame, options: ScanOptions) -> DataFrame:
 
 
 def star(items: DataFrame, keys: list[str], reason: str) -> DataFrame:
-    """Edges from the smallest id of each key to the others. The minimum is combined on the map side; null keys link nothing."""
-    known = items.where(" AND ".join(f"{k} IS NOT NULL" for k in keys))
+    """Edges from the smallest id of each key to the others. The minimum is combined on the map side; null keys link nothing.
+
+    The last key is a string. It is joined as an expression, so that both sides are exchanged for the join
+    and adaptive execution can split the partition of a key that many items share.
+    """
+    known = items.where(" AND ".join(f"{k} IS NOT NULL" for k in keys)).select("id", *keys)
     least = known.groupBy(*keys).agg(F.min("id").alias("src"), F.count("*").alias("_n")).where("_n > 1")
-    return known.join(least, keys).where("id <> src").select("src", F.col("id").alias("dst"), F.lit(reason).alias("reason"), F.lit(100).alias("score"))
+    least = least.select("src", *keys[:-1], F.concat(keys[-1], F.lit("")).alias("_k"))
+    pairs = known.withColumn("_k", F.concat(keys[-1], F.lit(""))).drop(keys[-1]).join(least, [*keys[:-1], "_k"])
+    return pairs.where("id <> src").select("src", F.col("id").alias("dst"), F.lit(reason).alias("reason"), F.lit(100).alias("score"))
 
 
 def exact_edges(hashed: DataFrame) -> DataFrame:

@@ -42,8 +42,8 @@ class Session:
         return rows.withColumn("action", F.when(F.col("_gone"), "DELETED").otherwise(F.coalesce("action", F.lit("KEEP")))).drop("_gone")
 
     def rows(self) -> DataFrame:
-        """A row for each member with its group's kind, score and group_hash; in the order of group_id and pos."""
-        named = self.groups.select("group_id", "kind", "score", "group_hash", "n_members")
+        """A row for each member with its group's kind, score and, if it has one, group_hash; in the order of group_id and pos."""
+        named = self.groups.select("group_id", "kind", "score", "n_members", *(c for c in self.groups.columns if c == "group_hash"))
         return self.with_actions().join(named, "group_id").orderBy("group_id", "pos")
 
     def action_for(self, record_id: int) -> str:

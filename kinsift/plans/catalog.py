@@ -130,18 +130,18 @@ def recursive(sql: str) -> str:
     return f"WITH RECURSIVE {sql}"
 
 
-def exact(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+def exact(spark: SparkSession, sf: str, with_hash: bool = False) -> tuple[DataFrame, DataFrame]:
     """Members and groups of exact copies. Their classes are their components, so no graph is walked."""
     hashed = materialize(T.hashed_documents(docs(spark, sf)), "hashed")
     edges = E.exact_edges(hashed)
     labels = edges.select(F.col("dst").alias("node"), F.col("src").alias("component")).unionByName(edges.select(F.col("src").alias("node"), F.col("src").alias("component")).distinct())
-    return G.build_groups(hashed, edges, labels)
+    return G.build_groups(hashed, edges, labels, with_hash)
 
 
 def mixed(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     hashed = materialize(T.hashed_documents(docs(spark, sf)), "hashed")
     prints = materialize(T.document_prints(docs(spark, sf)), "prints")
-    return G.build_groups(hashed, E.distinct_edges(E.exact_edges(hashed).unionByName(E.image_edges(prints, 4, 63))))
+    return G.build_groups(hashed, E.distinct_edges(E.exact_edges(hashed).unionByName(E.image_edges(prints, 4, 63))), with_hash=False)
 
 
 @query("scan_inventory", f"WITH {FILES} SELECT count(*) AS files_scanned, CAST(sum(size) AS BIGINT) AS bytes_scanned FROM files")
@@ -183,7 +183,7 @@ def cross_root_groups(spark, sf):
     FROM members GROUP BY group_id""",
 )
 def group_hash(spark, sf):
-    return exact(spark, sf)[1].select("group_id", "group_hash")
+    return exact(spark, sf, True)[1].select("group_id", "group_hash")
 
 
 @query("group_members", f"WITH {EXACT} SELECT CAST(group_id AS INT) AS group_id, CAST(pos AS INT) AS pos, id, path FROM members")
@@ -312,7 +312,7 @@ def session_rows_by_mode(spark, sf):
       || ' delete=' || count(*) FILTER (action = 'DELETE') || ' deleted=0' AS detail FROM acted JOIN h USING (group_id) GROUP BY group_id""",
 )
 def group_details(spark, sf):
-    members, groups = exact(spark, sf)
+    members, groups = exact(spark, sf, True)
     return V.group_details(S.Session(members, groups, MARKERS).rows())
 
 

@@ -32,9 +32,9 @@ def document_files(docs: DataFrame, with_text: bool = False) -> DataFrame:
 def hashed_documents(docs: DataFrame) -> DataFrame:
     """document_files with exact_hash, of those alone whose size another one has. Texts aren't shuffled: their hashes are made where they are read."""
     files = document_files(docs, with_text=True).withColumn("_h", F.sha2(F.col("text").cast("binary"), 256)).drop("text", "n_chars")
-    common = files.groupBy("size").agg(F.count("*").alias("_n")).select(F.col("size").alias("_s"), "_n")
+    common = files.groupBy("size").agg(F.count("*").alias("_n")).where("_n > 1").select((F.col("size") + F.lit(0)).alias("_s"), "_n")
     rows = files.join(common, F.col("size") == F.col("_s"), "left")
-    return rows.withColumn("exact_hash", F.when(F.col("_n") > 1, F.col("_h"))).drop("_h", "_s", "_n")
+    return rows.withColumn("exact_hash", F.when(F.col("_n").isNotNull(), F.col("_h"))).drop("_h", "_s", "_n")
 
 
 def document_prints(docs: DataFrame) -> DataFrame:
