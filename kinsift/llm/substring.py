@@ -358,7 +358,10 @@ def compare(left: list[bytes], right: list[bytes]) -> list[tuple[int, int, int,
                 b += 1
             until[k - at] = b
             runs.append([a, b, at - (k - a)])
-    used = [False] * len(mine)
+    runs.sort()
+    longest = max((b - a for a, b, _ in runs), default=0)
+    starts = [r[0] for r in runs]
+    used = bytearray(len(mine))
     out = []
 
     def similarity(a: int, b: int, c: int, d: int) -> float:
@@ -366,30 +369,38 @@ def compare(left: list[bytes], right: list[bytes]) -> list[tuple[int, int, int,
         both = len(x & y)
         return both / (len(x) + len(y) - both)
 
-    for run in sorted(runs, key=lambda r: (r[0] - r[1], r[0])):
-        a, b, c = run
-        d = c + b - a
+    for first in sorted(range(len(runs)), key=lambda k: (runs[k][0] - runs[k][1], k)):
+        a, b, c = runs[first]
         if used[a] or used[b - 1]:
             continue
-        grown = True
-        while grown:  # take in the nearest runs on either side as long as the whole stays similar
-            grown = False
-            for other in runs:
-                x, y, z = other
-                if used[x] or used[y - 1]:
-                    continue
-                w = z + y - x
-                if (0 < x - b + 1 <= GAP + 1 and -1 <= z - d <= GAP and y > b) or (0 < a - y + 1 <= GAP + 1 and -1 <= c - w <= GAP and x < a):
-                    spans = (min(a, x), max(b, y), min(c, z), max(d, w))
-                    if similarity(*spans) >= SIMILAR:
-                        a, b, c, d = spans
-                        grown = True
-        if b - a >= WIDTH and d - c >= 1:
-            s = similarity(a, b, c, d)
-            if s >= SIMILAR:
-                out.append((a, b + SHINGLE - 1, c, d + SHINGLE - 1, s))
-                for k in range(a, b):
-                    used[k] = True
+        d, same = c + b - a, b - a
+        # Take in the next run on either side as long as the whole stays similar, by number of matching places.
+        k = first + 1
+        while k < len(runs) and starts[k] <= b + GAP:
+            x, y, z = runs[k]
+            if y > b and d - 1 <= z + max(0, b - x) and z <= d + GAP and not used[y - 1]:
+                more = y - max(x, b)
+                if (same + more) >= SIMILAR * ((y - a) + (z + y - x - c) - same - more):
+                    b, d, same = y, z + y - x, same + more
+            k += 1
+        k = first - 1
+        while k >= 0 and a - longest - GAP <= starts[k]:
+            x, y, z = runs[k]
+            if x < a <= y + GAP and z + min(y, a) - x <= c + 1 and z + y - x >= c - GAP and not used[x]:
+                more = min(y, a) - x
+                if z <= c and (same + more) >= SIMILAR * ((b - x) + (d - z) - same - more):
+                    a, c, same = x, z, same + more
+            k -= 1
+        if b - a < WIDTH:
+            continue
+        s = similarity(a, b, c, d)
+        if s < SIMILAR:
+            a, b, c = runs[first]
+            d = c + b - a
+            s = 1.0
+        if b - a >= WIDTH:
+            out.append((a, b + SHINGLE - 1, c, d + SHINGLE - 1, s))
+            used[a:b] = b"\1" * (b - a)
     return sorted(out)
 
 
