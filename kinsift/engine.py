@@ -18,9 +18,8 @@ from kinsift.storage import materialize
 
 log = logging.getLogger("kinsift")
 
-# Warnings and messages.
-NO_PILLOW = "Image similarity is disabled because Pillow is not installed."
-NO_FFMPEG = "Video similarity is disabled because ffmpeg is not on PATH."
+NO_PILLOW = "pictures are only compared byte by byte: Pillow is missing"
+NO_FFMPEG = "videos are only compared byte by byte: there is no ffmpeg"
 
 
 @dataclass
@@ -44,7 +43,7 @@ def with_hashes(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """files with exact_hash, of those alone whose size another file has; and warnings of what couldn't be read."""
     hashes = materialize(content.content_hashes(E.same_size(files)), "hashes")
     hashed = files.join(hashes.select("id", "exact_hash"), "id", "left")
-    bad = hashes.where("error IS NOT NULL").join(files.select("id", "path"), "id").select(F.lit("hash").alias("stage"), "path", F.concat(F.lit("Cannot hash "), "path", F.lit(": "), "error").alias("message"))
+    bad = hashes.where("error IS NOT NULL").join(files.select("id", "path"), "id").select(F.lit("hash").alias("stage"), "path", F.concat(F.lit("no content of "), "path", F.lit(": "), "error").alias("message"))
     return hashed, bad
 
 
@@ -52,7 +51,7 @@ def scan_files(files: DataFrame, options: ScanOptions, warnings: DataFrame, prog
     """files: as from union_roots()."""
     spark = files.sparkSession
     say = progress or log.info
-    say("Checking exact hashes...")
+    say("comparing contents")
     hashed, bad = with_hashes(files)
     hashed = materialize(hashed, "files")
     warnings = warnings.unionByName(bad)
@@ -60,14 +59,14 @@ def scan_files(files: DataFrame, options: ScanOptions, warnings: DataFrame, prog
     notes = []
     images = options.enable_image_similarity and content.has_pillow()
     if images:
-        say("Checking image similarity...")
+        say("comparing pictures")
         prints = materialize(content.picture_prints(E.image_candidates(hashed, options)), "pictures")
         found = found.unionByName(E.image_edges(prints, options.image_threshold))
     elif options.enable_image_similarity:
         notes.append(("image", None, NO_PILLOW))
     videos = options.enable_video_similarity and content.has_ffmpeg()
     if videos:
-        say("Checking video similarity...")
+        say("comparing videos")
         known = E.video_candidates(hashed, options)
         facts = materialize(content.video_metadata(known), "metadata").join(hashed.select("id", "path"), "id")
         few = materialize(content.video_frames(E.video_metadata_candidates(facts), min(2, options.video_sample_count)), "few_frames")
@@ -80,25 +79,25 @@ def scan_files(files: DataFrame, options: ScanOptions, warnings: DataFrame, prog
         warnings = warnings.unionByName(spark.createDataFrame(notes, "stage string, path string, message string"))
     edges = materialize(E.distinct_edges(found), "edges")
     members, groups = build_groups(hashed, edges)
-    say("Scan finished.")
+    say("done")
     return ScanResult(hashed, edges, members, groups, warnings, images, videos)
 
 
 def scan(spark: SparkSession, options: ScanOptions, progress: Callable[[str], None] | None = None) -> ScanResult:
     say = progress or log.info
-    say("Scan started.")
+    say("looking for files")
     roots = {"A": filetree.normal_root(options.root_a), "B": filetree.normal_root(options.root_b)}
     found, notes = spark.createDataFrame([], filetree.SCHEMA), []
     for label, path in roots.items():
         if os.path.isdir(path):
-            say(f"Scanning directory {label}: {path}")
+            say(f"folder {label} is {path}")
             found = found.unionByName(filetree.read_tree(spark, path, label))
         else:
-            notes.append(("collect", path, f"Directory {label} does not exist or is not readable: {path}"))
+            notes.append(("collect", path, f"folder {label} is missing or can't be read: {path}"))
     found = materialize(found, "found")
     problems = found.where("error IS NOT NULL").select(F.lit("collect").alias("stage"), "path", F.col("error").alias("message"))
     warnings = spark.createDataFrame(notes, "stage string, path string, message string").unionByName(problems)
     files = materialize(filetree.union_roots(found.where("error IS NULL"), list(roots), options.case_insensitive_paths), "collected")
     plan = worker_plan(options, os.cpu_count() or 1)
-    say(f"Parallel tasks: {', '.join(f'{k}={v}' for k, v in plan.items())}")
+    say(f"tasks at a time: {', '.join(f'{k}={v}' for k, v in plan.items())}")
     return scan_files(files, options, warnings, progress)

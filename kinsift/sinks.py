@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 SCHEMA = "path string, status string, error string"
-MISSING = "File does not exist."
+MISSING = "there is no such file"
 
 
 def write_manifest(plan: DataFrame, path: str) -> None:

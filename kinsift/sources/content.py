@@ -133,6 +133,7 @@ def frame_hashes(path: str, duration: float, width: int, height: int, count: int
     if not tool or not (duration > 0 and width > 0 and height > 0):
         return None
     seconds = [max(0.0, duration * r) if duration > 1 else 0.0 for r in sample_ratios(count)]
+    # What makes both ways give the same frames.
     quiet, raw = [tool, "-hide_banner", "-loglevel", "error", "-nostdin"], ["-f", "rawvideo", "-pix_fmt", "gray", "pipe:1"]
     scale, size = f"scale={FRAME[0]}:{FRAME[1]},format=gray", FRAME[0] * FRAME[1]
     inputs = [x for s in seconds for x in ("-ss", f"{s:.3f}", "-i", path)]

@@ -45,12 +45,12 @@ class TreeReader(DataSourceReader):
                 try:
                     info = os.stat(path)
                 except OSError as error:
-                    yield root, path, None, None, f"Cannot stat {path}: {error}"
+                    yield root, path, None, None, f"no facts of {path}: {error}"
                     continue
                 if os.path.isfile(path):
                     yield root, path, info.st_size, info.st_mtime, None
         for error in problems:
-            yield root, error.filename or folder, None, None, f"Cannot read {error.filename or ''}: {error}"
+            yield root, error.filename or folder, None, None, f"can't look into {error.filename or ''}: {error}"
 
 
 class FileTree(DataSource):

@@ -7,7 +7,9 @@ names in ``spark.checkpoint.dir``; only where that is unset (tests, one machine)
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -23,6 +25,7 @@ def shared_dir(spark: SparkSession) -> str:
         if not _own:
             os.makedirs("/tmp/checkpoints", exist_ok=True)
             _own.append(tempfile.mkdtemp(prefix="kinsift-", dir="/tmp/checkpoints"))
+            atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
         base = f"file://{_own[0]}"
     return f"{base.rstrip('/')}/kinsift-{spark.sparkContext.applicationId}"
 
@@ -51,3 +54,8 @@ def remove(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Delete every table that this application has written to the shared folder. What still reads one fails afterwards."""
+    remove(spark, shared_dir(spark))

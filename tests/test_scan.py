@@ -51,7 +51,7 @@ def test_empty_hidden_and_missing(spark, tmp_path):
     result = scan(spark, ScanOptions(root, str(tmp_path / "none")))
     assert names(result) == [(".h", "_u"), ("e1", "e2")]
     messages = [r.message for r in result.warnings.collect()]
-    assert any("Directory B does not exist" in m for m in messages) and any("Cannot stat" in m for m in messages)
+    assert any("folder B is missing" in m for m in messages) and any("no facts of" in m for m in messages)
 
 
 def test_overlapping_roots(spark, tmp_path):
