@@ -21,7 +21,7 @@ class UnsafeGroups(RuntimeError):
     """A plan would leave a group without a member."""
 
     def __init__(self, group_ids: list[int]) -> None:
-        super().__init__(f"Delete blocked. At least one file must remain in each group. Unsafe groups: {', '.join(map(str, group_ids))}")
+        super().__init__(f"nothing would be left of groups {', '.join(map(str, group_ids))}")
         self.group_ids = group_ids
 
 
