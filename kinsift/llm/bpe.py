@@ -21,6 +21,7 @@ import json
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame, functions as F
 from kinsift.llm.common import pieces, read
 
 #: Words whose ids a worker remembers at once, and their ids.
-WORDS, IDS = 1 << 17, 1 << 20
+WORDS, IDS = 1 << 18, 1 << 21
 
 # What the tokenizers library's Unicode tables (16.0) hold differently from the tables used here.
 #: Ranges that are letters or numbers for the regex module (17.0), and other signs for the library.
@@ -82,6 +83,7 @@ class Bpe:
         for kind in (r"\p{L}", r"\p{N}"):
             self.strict = self.strict.replace(kind, f"[{kind}--[{later}]]")
         self.strict = regex.compile(self.strict, regex.V1)
+        self.lowest = chr(min(*LOWER, LATER[0][0]))
         self.odd = regex.compile("[" + "".join(map(chr, LOWER)) + "]")
         self.special = regex.compile("|".join(map(regex.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
         symbols = byte_symbols()
@@ -127,15 +129,16 @@ class Bpe:
         place = np.arange(len(symbol))  # where a symbol began, to put the words in order again
         done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         none = len(self.keys)
+        rank, at = np.empty(len(symbol), np.int64), np.empty(len(symbol), np.int64)
+        look = np.arange(len(symbol))  # symbols whose pair is new
         while len(symbol):
-            inside = np.append(word[1:] == word[:-1], False)
-            pair = np.append(symbol[:-1] * self.size + symbol[1:], -1)
-            at = np.minimum(np.searchsorted(self.keys, pair), none - 1)
-            rank = np.where(inside & (self.keys[at] == pair), self.ranks[at], none)
+            after = np.minimum(look + 1, len(symbol) - 1)
+            pair = symbol[look] * self.size + symbol[after]
+            found = np.minimum(np.searchsorted(self.keys, pair), none - 1)
+            inside = (after > look) & (word[after] == word[look])
+            rank[look], at[look] = np.where(inside & (self.keys[found] == pair), self.ranks[found], none), found
             first = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
-            lowest = np.minimum.reduceat(rank, first)
-            count = np.diff(np.append(first, len(word)))
-            least = np.repeat(lowest, count)
+            least = np.repeat(np.minimum.reduceat(rank, first), np.diff(np.append(first, len(word))))
             over = least == none
             if over.any():
                 done.append((place[over], symbol[over], word[over]))
@@ -147,7 +150,8 @@ class Bpe:
             hit &= run % 2 == 0
             symbol = np.where(hit, self.made[at], symbol)
             keep = ~over & ~np.append(False, hit[:-1])
-            symbol, word, place = symbol[keep], word[keep], place[keep]
+            symbol, word, place, rank, at, hit = (x[keep] for x in (symbol, word, place, rank, at, hit))
+            look = np.flatnonzero(hit | np.append(hit[1:], False)[: len(hit)])
         place, symbol, word = (np.concatenate(x) for x in zip(*done))
         order = np.argsort(place)
         return symbol[order], np.bincount(word, minlength=len(words))
@@ -166,6 +170,8 @@ class Bpe:
     def _split(self, text: str) -> list[str]:
         if not text.isascii():
             text = unicodedata.normalize("NFC", text)
+            if max(text) < self.lowest:
+                return self.pattern.findall(text.lower())
             if self.odd.search(text):
                 text = text.translate(LOWER)
             if self.later.search(text):
@@ -175,15 +181,16 @@ class Bpe:
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of texts, one after another, and how many each has."""
         split = [self.words(x) for x in texts]
-        new = list({w for words in split for w in words if w not in self.index})
+        met = set(chain.from_iterable(split))
+        new = list(met.difference(self.index))
         if new and (len(self.index) + len(new) > WORDS or len(self.held) > IDS):
             self._forget()
-            new = list({w for words in split for w in words if w not in self.index})
+            new = list(met.difference(self.index))
         for i in range(0, len(new), 1 << 16):
             part = new[i : i + (1 << 16)]
             self._keep(part, *self.merge([w.encode() for w in part]))
         n = [len(x) for x in split]
-        which = np.fromiter((self.index[w] for words in split for w in words), np.int64, sum(n))
+        which = np.fromiter(map(self.index.__getitem__, chain.from_iterable(split)), np.int64, sum(n))
         ids = gather(self.held, self.start[which], self.length[which])
         ends = np.append(0, np.cumsum(self.length[which]))[np.append(0, np.cumsum(n))]
         return ids, np.diff(ends)
