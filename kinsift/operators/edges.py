@@ -44,31 +44,81 @@ def exact_edges(hashed: DataFrame) -> DataFrame:
     return star(hashed, ["exact_hash"], "exact")
 
 
+class Bands:
+    """A hash of `bits` bits cut into one band more than the threshold: what is within the threshold agrees in a band."""
+
+    def __init__(self, threshold: int, bits: int) -> None:
+        if threshold >= bits:
+            raise ValueError("every pair is within this threshold")
+        n = max(threshold, 0) + 1
+        self.edges = [round(i * bits / n) for i in range(n + 1)]
+        self.masks = [F.lit((1 << hi - lo) - 1 if hi - lo < 64 else -1).cast("long") for lo, hi in zip(self.edges, self.edges[1:])]
+
+    def value(self, dhash: Column, band: int) -> Column:
+        return F.shiftrightunsigned(dhash, self.edges[band]).bitwiseAND(self.masks[band])
+
+    def cut(self, items: DataFrame, keys: list[str], names: list[str], side: str) -> DataFrame:
+        """keys, band, value and side_X of names: a row for each band of each item with a hash."""
+        parts = F.array(*(F.struct(F.lit(i).alias("band"), self.value(F.col("dhash"), i).alias("value")) for i in range(len(self.masks))))
+        rows = items.where("dhash IS NOT NULL").select(*keys, *names, F.explode(parts).alias("_b"))
+        return rows.select(*keys, F.col("_b.band").alias("band"), F.col("_b.value").alias("value"), *(F.col(c).alias(f"{side}_{c}") for c in names))
+
+    def first(self, xor: Column) -> Column:
+        """The first band in which two hashes agree."""
+        out = F.lit(len(self.masks))
+        for i in range(len(self.masks) - 1, -1, -1):
+            out = F.when(self.value(xor, i) == 0, i).otherwise(out)
+        return out
+
+
 def hamming_pairs(items: DataFrame, keys: list[str], threshold: int, keep: list[str], bits: int = 64, also: Column | None = None) -> DataFrame:
     """(src, dst, distance and l_/r_ columns of `keep`) of items with equal keys whose dhash differs in at most threshold bits.
 
     also: a further condition on the columns l_X and r_X. A pair comes once, from the first band in which
     it agrees, so that nothing has to be made distinct afterwards. A negative threshold pairs nothing.
     """
-    if threshold >= bits:
-        raise ValueError("every pair is within this threshold")
-    bands = max(threshold, 0) + 1
-    edges = [round(i * bits / bands) for i in range(bands + 1)]
-    mask = [F.lit((1 << hi - lo) - 1 if hi - lo < 64 else -1).cast("long") for lo, hi in zip(edges, edges[1:])]
-    band_of = lambda h, i: F.shiftrightunsigned(h, edges[i]).bitwiseAND(mask[i])
-    cut = F.explode(F.array(*(F.struct(F.lit(i).alias("band"), band_of(F.col("dhash"), i).alias("value")) for i in range(bands))))
-    names = ["id", "dhash", *keep]
-    rows = items.where("dhash IS NOT NULL").select(*keys, *names).withColumn("_b", cut)
-    left, right = (rows.select(*keys, F.col("_b.band").alias("band"), F.col("_b.value").alias("value"), *(F.col(c).alias(f"{side}_{c}") for c in names)) for side in "lr")
+    bands, names = Bands(threshold, bits), ["id", "dhash", *keep]
+    left, right = (bands.cut(items, keys, names, side) for side in "lr")
     xor = F.col("l_dhash").bitwiseXOR(F.col("r_dhash"))
-    first = F.lit(bands)
-    for i in range(bands - 1, -1, -1):
-        first = F.when(band_of(xor, i) == 0, i).otherwise(first)
-    close = (F.col("l_id") < F.col("r_id")) & (F.bit_count(xor) <= threshold) & (F.col("band") == first)
+    close = (F.col("l_id") < F.col("r_id")) & (F.bit_count(xor) <= threshold) & (F.col("band") == bands.first(xor))
     pairs = left.join(right, [*keys, "band", "value"]).where(close if also is None else close & also)
     return pairs.select(F.col("l_id").alias("src"), F.col("r_id").alias("dst"), F.bit_count(xor).alias("distance"), *(f"{side}_{c}" for side in "lr" for c in keep))
 
 
+def hamming_search(items: DataFrame, queries: DataFrame, threshold: int, bits: int = 64) -> DataFrame:
+    """(query_id, id, distance): the items within threshold bits of each query, itself included if it is one. Both: id, dhash."""
+    bands = Bands(threshold, bits)
+    left, right = bands.cut(queries, [], ["id", "dhash"], "l"), bands.cut(items, [], ["id", "dhash"], "r")
+    xor = F.col("l_dhash").bitwiseXOR(F.col("r_dhash"))
+    near = left.join(right, ["band", "value"]).where((F.bit_count(xor) <= threshold) & (F.col("band") == bands.first(xor)))
+    return near.select(F.col("l_id").alias("query_id"), F.col("r_id").alias("id"), F.bit_count(xor).alias("distance"))
+
+
+def image_match(left: Column, right: Column, threshold: int, mean: float = THUMBNAIL_MEAN) -> Column:
+    """struct(reason, score) for two structs of picture prints that match, else null."""
+    distance = M.hamming(left["dhash"], right["dhash"])
+    same = (left["width"] == right["width"]) & (left["height"] == right["height"])
+    alike = (distance <= threshold) & (M.mean_difference(left["thumbnail"], right["thumbnail"]) <= mean)
+    equal = F.struct(F.lit("image-content").alias("reason"), F.lit(100).alias("score"))
+    near = F.struct(F.lit("image").alias("reason"), M.similarity_score(distance, threshold).alias("score"))
+    return F.when(same & (left["content_hash"] == right["content_hash"]), equal).when(same & alike, near)
+
+
+def _frames_match(distances: Column, options: ScanOptions) -> Column:
+    hits = F.size(F.filter(distances, lambda d: d <= options.video_frame_threshold))
+    return (hits >= options.video_min_matching_frames) & (M.total(distances) <= options.video_threshold)
+
+
+def video_match(left: Column, right: Column, options: ScanOptions) -> Column:
+    """struct(reason, score) for two structs of video prints that match, else null."""
+    a, b = left["frame_hashes"], right["frame_hashes"]
+    distances = M.frame_distances(a, b)
+    same = (left["width"] == right["width"]) & (left["height"] == right["height"]) & M.durations_match(left["duration"], right["duration"])
+    score = M.similarity_score(M.total(distances), options.video_threshold)
+    fits = same & (F.size(a) == F.size(b)) & (F.size(a) > 0)
+    return F.when(fits & _frames_match(distances, options), F.struct(F.lit("video").alias("reason"), score.alias("score")))
+
+
 def image_edges(prints: DataFrame, threshold: int, bits: int = 64, mean: float = THUMBNAIL_MEAN) -> DataFrame:
     """prints: id, width, height, content_hash, dhash, thumbnail (array of channel values). Equal sizes only."""
     known = prints.where("content_hash IS NOT NULL AND width IS NOT NULL AND height IS NOT NULL")
@@ -118,8 +168,7 @@ def video_edges(videos: DataFrame, options: ScanOptions) -> DataFrame:
     known = videos.where("frame_hashes IS NOT NULL AND size(frame_hashes) > 0")
     pairs = _duration_pairs(known, ["frame_hashes"]).where(F.size("l_frame_hashes") == F.size("r_frame_hashes"))
     pairs = pairs.withColumn("_d", M.frame_distances(F.col("l_frame_hashes"), F.col("r_frame_hashes"))).withColumn("_t", M.total(F.col("_d")))
-    hits = F.size(F.filter("_d", lambda d: d <= options.video_frame_threshold))
-    pairs = pairs.where((hits >= options.video_min_matching_frames) & (F.col("_t") <= options.video_threshold))
+    pairs = pairs.where(_frames_match(F.col("_d"), options))
     return pairs.select(F.col("l_id").alias("src"), F.col("r_id").alias("dst"), F.lit("video").alias("reason"), M.similarity_score(F.col("_t"), options.video_threshold).alias("score"))
 
 

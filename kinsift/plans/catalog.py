@@ -316,6 +316,31 @@ def group_details(spark, sf):
     return V.group_details(S.Session(members, groups, MARKERS).rows())
 
 
+def _bytes_sql(x: str) -> str:
+    return f"CASE WHEN {x} < 1024 THEN format('{{:,}}', {x}::BIGINT) || ' B' WHEN {x} < 1048576 THEN format('{{:,.2f}}', {x} / 1024.0::DOUBLE) || ' KB' ELSE format('{{:,.2f}}', {x} / 1048576.0::DOUBLE) || ' MB' END"
+
+
+@query(
+    "session_summary",
+    f"""WITH {ACTED}, t AS (SELECT count(*) AS n, sum(size) AS b, count(*) FILTER (action = 'DELETE') AS dn, sum(size) FILTER (action = 'DELETE') AS db, count(DISTINCT group_id) AS g FROM acted)
+    SELECT 'scanned=' || format('{{:,}}', (SELECT count(*) FROM documents)) || ' groups=' || format('{{:,}}', g) || ' candidates=' || format('{{:,}}', n) || ' bytes=' || {_bytes_sql("b")}
+      || ' delete=' || format('{{:,}}', dn) || ' (' || {_bytes_sql("db")} || ')' AS summary FROM t""",
+)
+def session_summary(spark, sf):
+    members, groups = exact(spark, sf)
+    return V.summary(T.document_files(docs(spark, sf)), groups, S.Session(members, groups, MARKERS).with_actions())
+
+
+@query(
+    "hamming_search",
+    f"""WITH {PRINTS} SELECT q.id AS query_id, p.id, CAST(bit_count(xor(q.dhash, p.dhash)) AS INT) AS distance FROM prints q JOIN prints p ON q.id % 100 = 0 WHERE bit_count(xor(q.dhash, p.dhash)) <= 4""",
+)
+def hamming_search(spark, sf):
+    """Every hundredth document against all."""
+    prints = materialize(T.document_prints(docs(spark, sf)).select("id", "dhash"), "prints")
+    return E.hamming_search(prints, prints.where("id % 100 = 0"), 4, 63)
+
+
 @query("dhash_fingerprints", f"WITH {PRINTS} SELECT id, width, height, content_hash, dhash FROM prints")
 def dhash_fingerprints(spark, sf):
     return T.document_prints(docs(spark, sf)).select("id", "width", "height", "content_hash", "dhash")

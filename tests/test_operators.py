@@ -86,6 +86,28 @@ def test_video_edges(spark):
     assert [(r.src, r.dst, r.reason, r.score) for r in edges] == [(1, 2, "video", 92)]
 
 
+def test_pairs_of_prints(spark):
+    images = [(1, 64, 64, "p", 0, [100] * 12), (2, 64, 64, "q", 3, [104] * 12), (3, 64, 64, "p", 0, [100] * 12), (4, 32, 64, "p", 0, [100] * 12), (5, 64, 64, "r", 0, [0] * 12)]
+    rows = spark.createDataFrame(images, PRINT).select(F.col("id"), F.struct("*").alias("s"))
+    pairs = rows.where("id = 1").select(F.col("s").alias("a")).crossJoin(rows.select("id", F.col("s").alias("b")))
+    got = {r.id: r.m and tuple(r.m) for r in pairs.select("id", E.image_match(F.col("a"), F.col("b"), 4).alias("m")).collect()}
+    assert got == {1: ("image-content", 100), 2: ("image", 90), 3: ("image-content", 100), 4: None, 5: None}
+    videos = [(1, 8, 8, 60.0, [0, 1, 3, 7, 15]), (2, 8, 8, 60.2, [0, 0, 2, 6, 14]), (3, 9, 8, 60.0, [0, 1, 3, 7, 15]), (4, 8, 8, 70.0, [0, 1, 3, 7, 15]), (5, 8, 8, 60.0, [])]
+    rows = spark.createDataFrame(videos, VIDEO).select(F.col("id"), F.struct("*").alias("s"))
+    pairs = rows.where("id = 1").select(F.col("s").alias("a")).crossJoin(rows.select("id", F.col("s").alias("b")))
+    got = {r.id: r.m and tuple(r.m) for r in pairs.select("id", E.video_match(F.col("a"), F.col("b"), ScanOptions()).alias("m")).collect()}
+    assert got == {1: ("video", 100), 2: ("video", 92), 3: None, 4: None, 5: None}
+
+
+def test_search(spark):
+    items = spark.createDataFrame([(1, 0), (2, 7), (3, -1), (4, None)], "id long, dhash long")
+    queries = spark.createDataFrame([(9, 1), (3, -2)], "id long, dhash long")
+    assert sorted((r.query_id, r.id, r.distance) for r in E.hamming_search(items, queries, 2).collect()) == [(3, 3, 1), (9, 1, 1), (9, 2, 2)]
+    assert E.hamming_search(items, queries, -1).count() == 0
+    with pytest.raises(ValueError):
+        E.hamming_search(items, queries, 64)
+
+
 def test_duration_buckets_lose_nothing(spark):
     rng = random.Random(5)
     times = [rng.choice([rng.uniform(0.1, 60), rng.uniform(40, 60), rng.uniform(50, 9000)]) for _ in range(300)]
