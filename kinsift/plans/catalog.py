@@ -16,7 +16,7 @@ from kinsift.operators import edges as E, groups as G, keeper as K, session as S
 from kinsift.operators.components import connected_components
 from kinsift.options import ScanOptions
 from kinsift.sources import filetree, tables as T
-from kinsift.storage import materialize, shared_dir
+from kinsift.storage import local_path, materialize, shared_dir
 
 MARKERS = ("/src1/",)
 VIDEO = ScanOptions(video_threshold=60, video_frame_threshold=14)
@@ -505,9 +505,7 @@ def page_names(spark, sf):
 @query("file_tree_scan")
 def file_tree_scan(spark, sf):
     """Two overlapping folders with empty, hidden and equal files, written to the shared folder; needs folders that all executors reach by path."""
-    base = shared_dir(spark)
-    top = base.removeprefix("file:").replace("//", "/", 1) if base.startswith("file:") else tempfile.mkdtemp()
-    top = os.path.join(top, "tree")
+    top = os.path.join(local_path(shared_dir(spark)) or tempfile.mkdtemp(), "tree")
     for name, text in {"a/x.txt": "same", "a/b/y.TXT": "same", "a/.hidden": "", "a/b/_under": "", "a/b/z.bin": "other"}.items():
         os.makedirs(os.path.dirname(os.path.join(top, name)), exist_ok=True)
         with open(os.path.join(top, name), "w") as file:

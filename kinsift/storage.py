@@ -16,10 +16,15 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []
+_seen: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of this application, as a URI that Spark can write to."""
+    """The shared folder of this application, as a path or URI that Spark can write to.
+
+    On one machine it is deleted when Python ends; on a cluster call clean_up(), or let the cluster's
+    own rule for that folder do it.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not _own:
@@ -27,7 +32,18 @@ def shared_dir(spark: SparkSession) -> str:
             _own.append(tempfile.mkdtemp(prefix="kinsift-", dir="/tmp/checkpoints"))
             atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
         base = f"file://{_own[0]}"
-    return f"{base.rstrip('/')}/kinsift-{spark.sparkContext.applicationId}"
+    path = f"{base.rstrip('/')}/kinsift-{spark.sparkContext.applicationId}"
+    if path not in _seen and spark.sparkContext.master.startswith("local[") and local_path(path):
+        _seen.add(path)
+        atexit.register(shutil.rmtree, local_path(path), ignore_errors=True)
+    return path
+
+
+def local_path(path: str) -> str | None:
+    """The path within the local file system, or None for other stores."""
+    if path.startswith("file:"):
+        return "/" + path.removeprefix("file:").lstrip("/")
+    return None if "://" in path else path
 
 
 def new_path(spark: SparkSession, name: str) -> str:
