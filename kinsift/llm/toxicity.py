@@ -42,13 +42,14 @@ STRENGTHS = (2.0, 3.0, 4.0, 5.0)
 ROUNDS = 30
 
 WORD = re.compile(r"[^\W\d_]+")
+#: Patterns, each with lower-case strings of which a text has to hold one for the pattern to be looked for.
 PATTERNS = (
-    re.compile(r"\byou(?:'re| are)? (?:such )?(?:a|an) \w+", re.IGNORECASE),
-    re.compile(r"\b(?:shut up|go away|get lost|hate you|i hate)\b", re.IGNORECASE),
-    re.compile(r"\b\w+[*@#$]{2,}\w*\b"),
-    re.compile(r"!{2,}"),
-    re.compile(r"\b[A-ZÀ-Ý]{4,}(?: [A-ZÀ-Ý]{2,}){2,}"),
-    re.compile(r"(.)\1{4,}"),
+    (("you",), re.compile(r"\byou(?:'re| are)? (?:such )?(?:a|an) \w+", re.IGNORECASE)),
+    (("shut up", "go away", "get lost", "hate you", "i hate"), re.compile(r"\b(?:shut up|go away|get lost|hate you|i hate)\b", re.IGNORECASE)),
+    (("**", "@@", "##", "$$", "*@", "*#", "*$", "@*", "#*", "$*", "@#", "#@", "@$", "$@", "#$", "$#"), re.compile(r"\b\w+[*@#$]{2,}\w*\b")),
+    (("!!",), re.compile(r"!{2,}")),
+    (("",), re.compile(r"\b[A-ZÀ-Ý]{4,}(?: [A-ZÀ-Ý]{2,}){2,}")),
+    (("",), re.compile(r"(.)\1{4,}")),
 )
 
 
@@ -96,12 +97,10 @@ class Hits:
 
     def __call__(self, text: str | None) -> set[int]:
         text = text or ""
-        found: set[int] = set()
-        for word in set(WORD.findall(text.lower())):
-            if at := self.of(word):
-                found.update(at)
+        low = text.lower()
+        found = set().union(*map(self.of, set(WORD.findall(low))))
         base = len(self.index)
-        found.update(base + i for i, p in enumerate(PATTERNS) if p.search(text))
+        found.update(base + i for i, (needles, p) in enumerate(PATTERNS) if any(map(low.__contains__, needles)) and p.search(text))
         return found
 
 
