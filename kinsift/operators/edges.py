@@ -120,15 +120,26 @@ def video_match(left: Column, right: Column, options: ScanOptions) -> Column:
 
 
 def image_edges(prints: DataFrame, threshold: int, bits: int = 64, mean: float = THUMBNAIL_MEAN) -> DataFrame:
-    """prints: id, width, height, content_hash, dhash, thumbnail (array of channel values). Equal sizes only."""
+    """prints: id, width, height, content_hash, dhash, thumbnail (array of channel values). Equal sizes only.
+
+    Pictures of equal content are one star; among first members those of equal hash and thumbnail (blank
+    pages, say) are one star again; what is left is compared in bands.
+    """
+    if threshold < 0:
+        return prints.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit("image").alias("reason"), F.lit(100).alias("score")).limit(0)
     known = prints.where("content_hash IS NOT NULL AND width IS NOT NULL AND height IS NOT NULL")
     content = star(known, ["width", "height", "content_hash"], "image-content")
     firsts = known.groupBy("width", "height", "content_hash").agg(F.min_by(F.struct("id", "dhash", "thumbnail"), "id").alias("f"))
-    firsts = firsts.select("width", "height", "f.*")
-    pairs = hamming_pairs(firsts, ["width", "height"], threshold, ["thumbnail"], bits)
+    look = F.sha2(F.concat_ws(",", F.col("thumbnail").cast("array<string>")).cast("binary"), 256)
+    firsts = firsts.select("width", "height", "f.*").withColumn("look", F.when(F.size("thumbnail") > 0, look))
+    same = star(firsts, ["width", "height", "dhash", "look"], "image")
+    single = firsts.where("look IS NULL OR dhash IS NULL").select("width", "height", "id", "dhash", "thumbnail")
+    looks = firsts.where("look IS NOT NULL AND dhash IS NOT NULL").groupBy("width", "height", "dhash", "look").agg(F.min_by(F.struct("id", "thumbnail"), "id").alias("f"))
+    apart = looks.select("width", "height", "f.id", "dhash", "f.thumbnail").unionByName(single)
+    pairs = hamming_pairs(apart, ["width", "height"], threshold, ["thumbnail"], bits)
     pairs = pairs.where(M.mean_difference(F.col("l_thumbnail"), F.col("r_thumbnail")) <= mean)
     similar = pairs.select("src", "dst", F.lit("image").alias("reason"), M.similarity_score(F.col("distance"), threshold).alias("score"))
-    return content.unionByName(similar) if threshold >= 0 else content.limit(0)
+    return content.unionByName(same).unionByName(similar)
 
 
 def _duration_pairs(videos: DataFrame, keep: list[str]) -> DataFrame:

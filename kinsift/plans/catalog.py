@@ -100,15 +100,18 @@ PRINTS = COUNTS.format(id="doc_id", text="text", source="documents") + """, prin
 
 IMAGE = f"""{PRINTS}, content AS (
   SELECT *, min(id) OVER (PARTITION BY width, height, content_hash) AS first FROM prints
+), looks AS (
+  SELECT *, min(id) OVER (PARTITION BY width, height, dhash, thumbnail) AS look FROM content WHERE id = first
 ), image_edges AS (
   SELECT first AS src, id AS dst, 'image-content' AS reason, 100 AS score FROM content WHERE id <> first
   UNION ALL
+  SELECT look, id, 'image', 100 FROM looks WHERE id <> look
+  UNION ALL
   SELECT l.id, r.id, 'image', CAST(greatest(0, least(100, 100 - round_even(bit_count(xor(l.dhash, r.dhash)) / 4.0 * 20, 0))) AS INT)
-  FROM content l JOIN content r ON l.width = r.width AND l.height = r.height AND l.id < r.id
-  WHERE l.id = l.first AND r.id = r.first AND bit_count(xor(l.dhash, r.dhash)) <= 4
-    AND list_sum([abs(a - b) FOR a, b IN []]) IS NULL
+  FROM looks l JOIN looks r ON l.width = r.width AND l.height = r.height AND l.id < r.id
+  WHERE l.id = l.look AND r.id = r.look AND bit_count(xor(l.dhash, r.dhash)) <= 4
     AND list_sum(list_transform(list_zip(l.thumbnail, r.thumbnail), lambda x: abs(x[1] - x[2]))) / 64.0 <= 6.0
-)""".replace("    AND list_sum([abs(a - b) FOR a, b IN []]) IS NULL\n", "")
+)"""
 
 MIXED = f"""{FILES}, {IMAGE}, exact_edges AS (
   SELECT first AS src, id AS dst, 'exact' AS reason, 100 AS score

@@ -74,6 +74,12 @@ def test_image_edges(spark):
     assert E.image_edges(prints, -1).count() == 0
 
 
+def test_many_blank_pictures_are_a_star(spark):
+    rows = [(i, 8, 8, f"c{i}", 0, [200] * 12) for i in range(40)] + [(50, 8, 8, "near", 1, [201] * 12)]
+    got = E.image_edges(spark.createDataFrame(rows, PRINT), 4).collect()
+    assert sorted((r.src, r.dst, r.score) for r in got) == [(0, i, 100) for i in range(1, 40)] + [(0, 50, 95)]
+
+
 def test_video_metadata_candidates(spark):
     rows = [(1, 1920, 1080, 60.0, None), (2, 1920, 1080, 60.3, None), (3, 1280, 720, 60.1, None), (4, 1920, 1080, 75.0, None)]
     assert sorted(r.id for r in E.video_metadata_candidates(spark.createDataFrame(rows, VIDEO)).collect()) == [1, 2]
