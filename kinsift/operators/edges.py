@@ -6,10 +6,11 @@ and similarity is looked for among first members. Groups, reasons and scores are
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from kinsift.functions import measures as M
 from kinsift.options import IMAGE_EXTENSIONS, THUMBNAIL_MEAN, VIDEO_EXTENSIONS, ScanOptions
+from kinsift.storage import materialize
 
 
 
@@ -142,45 +143,91 @@ def image_edges(prints: DataFrame, threshold: int, bits: int = 64, mean: float =
     return content.unionByName(same).unionByName(similar)
 
 
-def _duration_pairs(videos: DataFrame, keep: list[str]) -> DataFrame:
-    """Pairs of equal resolution and matching durations: an equi-join on buckets of a scale on which matching durations are at most 1.05 apart."""
-    scale = F.when(F.col("duration") <= 50, F.col("duration") / 0.5).otherwise(100 + F.log(F.col("duration") / 50) / 0.01005034)
-    rows = videos.where("width IS NOT NULL AND height IS NOT NULL AND duration IS NOT NULL").withColumn("_k", F.floor(scale / 1.05))
-    names = ["id", "duration", *keep]
-    left = rows.select("width", "height", "_k", *(F.col(c).alias(f"l_{c}") for c in names))
-    near = rows.withColumn("_k", F.explode(F.array(F.col("_k") - 1, F.col("_k"), F.col("_k") + 1)))
-    right = near.select("width", "height", "_k", *(F.col(c).alias(f"r_{c}") for c in names))
-    match = M.durations_match(F.col("l_duration"), F.col("r_duration"))
-    return left.join(right, ["width", "height", "_k"]).where((F.col("l_id") < F.col("r_id")) & match)
+def _bucket(duration: Column) -> Column:
+    """A bucket on a scale on which matching durations are at most 1.05 buckets apart."""
+    scale = F.when(duration <= 50, duration / 0.5).otherwise(100 + F.log(duration / 50) / 0.01005034)
+    return F.floor(scale / 1.05)
 
 
-def _either(videos: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The videos that one of the pairs names."""
-    ids = pairs.select(F.explode(F.array("l_id", "r_id")).alias("id")).distinct()
-    return videos.join(ids, "id", "left_semi")
+def _near(bucket: Column) -> Column:
+    return F.explode(F.array(bucket - 1, bucket, bucket + 1))
 
 
-def video_metadata_candidates(videos: DataFrame) -> DataFrame:
-    """videos: id, width, height, duration. Those with a partner of equal resolution and matching duration."""
-    return _either(videos, _duration_pairs(videos, []))
+def _complete(videos: DataFrame) -> DataFrame:
+    return videos.where("width IS NOT NULL AND height IS NOT NULL AND duration IS NOT NULL")
+
 
+def video_metadata_candidates(videos: DataFrame) -> DataFrame:
+    """videos: id, width, height, duration. Those with a partner of equal resolution and matching duration.
 
-def video_frame_candidates(videos: DataFrame, options: ScanOptions) -> DataFrame:
-    """videos: also frame_hashes of the preliminary samples. Those with a partner that the full samples could still match."""
-    known = videos.where("frame_hashes IS NOT NULL")
+    A duration's best partner is its neighbour in order, so no pairs are made: distinct durations are
+    ordered within buckets, each with those of the buckets beside it.
+    """
+    times = _complete(videos).groupBy("width", "height", "duration").agg(F.count("*").alias("_n")).withColumn("_b", _bucket(F.col("duration")))
+    beside = times.withColumn("_k", _near(F.col("_b")))
+    w = W.partitionBy("width", "height", "_k").orderBy("duration")
+    match = lambda other: F.coalesce(M.durations_match(F.col("duration"), other), F.lit(False))
+    paired = (F.col("_n") > 1) | match(F.lag("duration").over(w)) | match(F.lead("duration").over(w))
+    keys = beside.withColumn("_ok", paired).where("_k = _b AND _ok").select(*((F.col(c) + F.lit(0)).alias(f"_{c}") for c in ("width", "height", "duration")))
+    same = [videos[c] == keys[f"_{c}"] for c in ("width", "height", "duration")]
+    return videos.join(keys, same, "left_semi")
+
+
+def _frames(options: ScanOptions, count: int, bits: int) -> Bands | None:
+    """Bands for each of `count` frames: within the threshold in all, two videos are within its share in one frame. None if they would be too narrow to tell videos apart."""
+    bands = Bands(min(max(options.video_threshold, 0) // max(count, 1), bits - 1), bits)
+    return bands if bits // len(bands.masks) >= 8 else None
+
+
+def _frame_pairs(videos: DataFrame, options: ScanOptions, count: int, bits: int) -> DataFrame:
+    """l_ and r_ id, duration and frame_hashes of videos that agree in resolution and about in duration, and in a band of a frame where frames have bands."""
+    rows = _complete(videos).withColumn("_b", _bucket(F.col("duration")))
+    bands, keys = _frames(options, count, bits), ["width", "height", "_k"]
+    if bands:
+        place = [F.struct(F.lit(f).alias("f"), F.lit(b).alias("b"), bands.value(F.get("frame_hashes", f), b).alias("v")) for f in range(count) for b in range(len(bands.masks))]
+        rows = rows.withColumn("_at", F.explode(F.array(*place))).where("_at.v IS NOT NULL")
+        rows, keys = rows.select("*", "_at.f", "_at.b", "_at.v").drop("_at"), [*keys, "f", "b", "v"]
+    names = ["id", "duration", "frame_hashes"]
+    left = rows.withColumnRenamed("_b", "_k").select(*keys, *(F.col(c).alias(f"l_{c}") for c in names))
+    right = rows.withColumn("_k", _near(F.col("_b"))).select(*keys, *(F.col(c).alias(f"r_{c}") for c in names))
+    pairs = left.join(right, keys).where((F.col("l_id") < F.col("r_id")) & M.durations_match(F.col("l_duration"), F.col("r_duration")))
+    return pairs.dropDuplicates(["l_id", "r_id"]) if bands else pairs
+
+
+def _looks(videos: DataFrame) -> DataFrame:
+    """videos with `_look`, which names their resolution, duration and frames."""
+    parts = [F.col(c).cast("string") for c in ("width", "height", "duration")]
+    return videos.withColumn("_look", F.sha2(F.concat_ws(",", *parts, F.col("frame_hashes").cast("array<string>")).cast("binary"), 256))
+
+
+def _firsts(looks: DataFrame) -> DataFrame:
+    return looks.groupBy("_look").agg(F.min_by(F.struct("id", "width", "height", "duration", "frame_hashes"), "id").alias("f")).select("_look", "f.*")
+
+
+def video_frame_candidates(videos: DataFrame, options: ScanOptions, bits: int = 64) -> DataFrame:
+    """videos: also frame_hashes of the preliminary samples. Those with a partner that the full samples could still match. Videos that are alike in all of it are compared as one."""
+    looks = _looks(_complete(videos).where("frame_hashes IS NOT NULL"))
     distances = M.frame_distances(F.col("l_frame_hashes"), F.col("r_frame_hashes"))
     misses = F.size(F.filter(distances, lambda d: d > options.video_frame_threshold))
     possible = (M.total(distances) <= options.video_threshold) & (options.video_sample_count - misses >= options.video_min_matching_frames)
-    return _either(known, _duration_pairs(known, ["frame_hashes"]).where(possible))
-
-
-def video_edges(videos: DataFrame, options: ScanOptions) -> DataFrame:
-    """videos: id, width, height, duration, frame_hashes (array of longs)."""
-    known = videos.where("frame_hashes IS NOT NULL AND size(frame_hashes) > 0")
-    pairs = _duration_pairs(known, ["frame_hashes"]).where(F.size("l_frame_hashes") == F.size("r_frame_hashes"))
+    firsts = materialize(_firsts(looks), "firsts")
+    pairs = _frame_pairs(firsts, options, min(2, options.video_sample_count), bits).where(possible)
+    named = pairs.select(F.explode(F.array("l_id", "r_id")).alias("i")).distinct()
+    found = firsts.join(named, firsts["id"] == named["i"], "left_semi").select(F.concat("_look", F.lit("")).alias("_l"))
+    if options.video_threshold >= 0 and options.video_sample_count >= options.video_min_matching_frames:
+        found = found.unionByName(looks.groupBy("_look").agg(F.count("*").alias("n")).where("n > 1").select(F.concat("_look", F.lit("")).alias("_l")))
+    return looks.join(found.distinct(), F.col("_look") == F.col("_l"), "left_semi").select(*videos.columns)
+
+
+def video_edges(videos: DataFrame, options: ScanOptions, bits: int = 64) -> DataFrame:
+    """videos: id, width, height, duration, frame_hashes (array of longs). Videos that are alike in all but the id are a star, and only its first is compared with others."""
+    known = materialize(_looks(_complete(videos).where("frame_hashes IS NOT NULL AND size(frame_hashes) > 0")), "videos")
+    pairs = _frame_pairs(_firsts(known), options, options.video_sample_count, bits).where(F.size("l_frame_hashes") == F.size("r_frame_hashes"))
     pairs = pairs.withColumn("_d", M.frame_distances(F.col("l_frame_hashes"), F.col("r_frame_hashes"))).withColumn("_t", M.total(F.col("_d")))
     pairs = pairs.where(_frames_match(F.col("_d"), options))
-    return pairs.select(F.col("l_id").alias("src"), F.col("r_id").alias("dst"), F.lit("video").alias("reason"), M.similarity_score(F.col("_t"), options.video_threshold).alias("score"))
+    near = pairs.select(F.col("l_id").alias("src"), F.col("r_id").alias("dst"), F.lit("video").alias("reason"), M.similarity_score(F.col("_t"), options.video_threshold).alias("score"))
+    alike = known.where((F.size("frame_hashes") >= options.video_min_matching_frames) & F.lit(options.video_threshold >= 0 and options.video_frame_threshold >= 0))
+    return near.unionByName(star(alike, ["_look"], "video"))
 
 
 def distinct_edges(edges: DataFrame) -> DataFrame:

@@ -421,15 +421,15 @@ def thumbnail_difference(spark, sf):
 DURATION = "l.width = r.width AND l.height = r.height AND l.id < r.id AND abs(l.duration - r.duration) <= greatest(0.5, greatest(l.duration, r.duration) * 0.01)"
 
 
-def _video_sql(frames: int) -> str:
+def _video_sql(frames: int, side: str) -> str:
     cuts = " UNION ALL ".join(
         f"SELECT doc_id * 10 + {i} AS id, substr(text, CAST(floor(n_chars * {r!r}::DOUBLE) + 1 AS BIGINT), 200) AS text FROM documents" for i, r in enumerate(M.sample_ratios(frames))
     )
     return f"""cuts AS ({cuts}), {COUNTS.format(id="id", text="text", source="cuts")}, videos AS (
       SELECT d.doc_id AS id, length(lang) AS width, 1 AS height, CAST(n_chars AS DOUBLE) AS duration, list(dhash ORDER BY h.id) AS frames
       FROM documents d JOIN hashes h ON h.id // 10 = d.doc_id GROUP BY ALL
-    ), pairs AS (
-      SELECT l.id AS src, r.id AS dst, list_transform(list_zip(l.frames, r.frames), lambda x: bit_count(xor(x[1], x[2]))) AS d FROM videos l JOIN videos r ON {DURATION}
+    ), looks AS (SELECT *, min(id) OVER (PARTITION BY width, height, duration, frames) AS look FROM videos), pairs AS (
+      SELECT l.id AS src, r.id AS dst, list_transform(list_zip(l.frames, r.frames), lambda x: bit_count(xor(x[1], x[2]))) AS d FROM {side} l JOIN {side} r ON {DURATION}
     )"""
 
 
@@ -445,19 +445,19 @@ def duration_compatible(spark, sf):
 
 @query(
     "frame_pairs",
-    f"""WITH {_video_sql(5)} SELECT src, dst, 'video' AS reason, CAST(greatest(0, least(100, 100 - round_even(list_sum(d) / 60.0::DOUBLE * 20, 0))) AS INT) AS score
-    FROM pairs WHERE list_sum(d) <= 60 AND len(list_filter(d, lambda x: x <= 14)) >= 4""",
+    f"""WITH {_video_sql(5, "(SELECT * FROM looks WHERE id = look)")} SELECT src, dst, 'video' AS reason, CAST(greatest(0, least(100, 100 - round_even(list_sum(d) / 60.0::DOUBLE * 20, 0))) AS INT) AS score
+    FROM pairs WHERE list_sum(d) <= 60 AND len(list_filter(d, lambda x: x <= 14)) >= 4 UNION ALL SELECT look, id, 'video', 100 FROM looks WHERE id <> look""",
 )
 def frame_pairs(spark, sf):
-    return E.video_edges(materialize(T.document_videos(docs(spark, sf), 5), "videos"), VIDEO)
+    return E.video_edges(T.document_videos(docs(spark, sf), 5), VIDEO, 63)
 
 
 @query(
     "prelim_bound",
-    f"""WITH {_video_sql(2)} SELECT DISTINCT id FROM (SELECT unnest([src, dst]) AS id FROM pairs WHERE list_sum(d) <= 60 AND 5 - len(list_filter(d, lambda x: x > 14)) >= 4)""",
+    f"""WITH {_video_sql(2, "videos")} SELECT DISTINCT id FROM (SELECT unnest([src, dst]) AS id FROM pairs WHERE list_sum(d) <= 60 AND 5 - len(list_filter(d, lambda x: x > 14)) >= 4)""",
 )
 def prelim_bound(spark, sf):
-    return E.video_frame_candidates(materialize(T.document_videos(docs(spark, sf), 2), "videos"), VIDEO).select("id")
+    return E.video_frame_candidates(materialize(T.document_videos(docs(spark, sf), 2), "videos"), VIDEO, 63).select("id")
 
 
 @query(

@@ -92,6 +92,32 @@ def test_video_edges(spark):
     assert [(r.src, r.dst, r.reason, r.score) for r in edges] == [(1, 2, "video", 92)]
 
 
+@pytest.mark.parametrize("threshold", [3, 10, 60])
+def test_video_edges_brute(spark, threshold):
+    rng = random.Random(threshold)
+    base = [[rng.getrandbits(63) for _ in range(5)] for _ in range(8)]
+    rows = []
+    for i in range(70):
+        frames = [h ^ sum(1 << k for k in {rng.randrange(63) for _ in range(rng.randrange(3))}) for h in rng.choice(base)]
+        rows.append((i, 1 + i % 2, 1, 20 + rng.random(), frames))
+    rows += [(100 + i, *rows[0][1:]) for i in range(5)]
+    options = ScanOptions(video_threshold=threshold)
+    edges = E.video_edges(spark.createDataFrame(rows, VIDEO), options).collect()
+
+    def match(a, b):
+        d = [(x ^ y).bit_count() for x, y in zip(a[4], b[4])]
+        return a[1] == b[1] and abs(a[3] - b[3]) <= max(0.5, max(a[3], b[3]) * 0.01) and sum(d) <= threshold and sum(x <= 3 for x in d) >= 4
+
+    want = closure([(a[0], b[0]) for a, b in itertools.combinations(rows, 2) if match(a, b)])
+    assert closure([(r.src, r.dst) for r in edges]) == want
+    place = {r[0]: r for r in rows}
+    assert all(match(place[r.src], place[r.dst]) for r in edges) and sum(r.dst >= 100 for r in edges) >= 5
+    two = [(*r[:4], [r[4][0], r[4][-1]]) for r in rows]
+    possible = lambda a, b: a[1] == b[1] and abs(a[3] - b[3]) <= 0.5 and sum(d := [(x ^ y).bit_count() for x, y in zip(a[4], b[4])]) <= threshold and 5 - sum(x > 3 for x in d) >= 4
+    left = {r.id for r in E.video_frame_candidates(spark.createDataFrame(two, VIDEO), options).collect()}
+    assert left == {r[0] for r in two if any(r is not o and possible(r, o) for o in two)}
+
+
 def test_pairs_of_prints(spark):
     images = [(1, 64, 64, "p", 0, [100] * 12), (2, 64, 64, "q", 3, [104] * 12), (3, 64, 64, "p", 0, [100] * 12), (4, 32, 64, "p", 0, [100] * 12), (5, 64, 64, "r", 0, [0] * 12)]
     rows = spark.createDataFrame(images, PRINT).select(F.col("id"), F.struct("*").alias("s"))
