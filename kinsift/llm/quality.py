@@ -190,9 +190,11 @@ def fit(x: np.ndarray, y: np.ndarray) -> Rules:
 
 def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = SAMPLE) -> Rules:
     """Rules from at most `rows` labelled rows that aren't held out."""
-    known = with_statistics(sample(docs, labels, label, rows), F.col("y")).orderBy("statistics", "carried").toArrow()
+    known = with_statistics(sample(docs, labels, label, rows), F.col("y")).toArrow()  # at most `rows` rows
     x = np.array(known["statistics"].to_pylist(), float).reshape(-1, len(STATISTICS))
-    return fit(x, np.array(known["carried"].to_pylist(), float))
+    y = np.array(known["carried"].to_pylist(), float)
+    order = np.lexsort((y, *x.T))  # the order rows come in is not the same in every run
+    return fit(x[order], y[order])
 
 
 def score(docs: DataFrame, model: Rules, carried: Column, text_col: str = "text") -> DataFrame:
