@@ -97,7 +97,7 @@ def test_mix(spark, medium):
     first, again = (M.op8_mixing(spark, medium).toPandas().sort_values("doc_id", ignore_index=True) for _ in range(2))
     assert first.equals(again)
     docs = spark.read.parquet(f"{medium}/documents.parquet").toPandas().set_index("doc_id")
-    assert all(r.size == len(docs.text[r.doc_id].encode().split()) for r in first[["doc_id", "size"]].itertuples(index=False, name="R") if True)
+    assert all(r.size == len(docs.text[r.doc_id].encode().split()) for r in first.itertuples())
     first["source"] = docs.source[first.doc_id].to_numpy()
     sums = first.groupby("source").agg(size=("size", "sum"), taken=("taken", "sum"), target=("target", "first"))
     want = plain_targets(sums["size"].to_dict(), (5, 2, 1), 1.5, 2.0)
