@@ -1,7 +1,7 @@
 """Toxicity by weak supervision.
 
-Voters. A bounded sample of labelled rows yields a lexicon: words, and beginnings of words of 3 to 8
-letters, that occur in far more toxic texts than chance allows (a likelihood ratio test, with as many
+Voters. A bounded sample of labelled rows yields a lexicon: words, beginnings of words of 3 to 8
+letters, and such beginnings of two words or more of one text, that occur in far more toxic texts than chance allows (a likelihood ratio test, with as many
 tries as there are candidates). Entries of one length and strength form one lexicon voter, which votes
 `toxic` where an entry occurs and abstains elsewhere; others vote `not toxic` where nothing of a strength
 occurs. Pattern voters look at the text's form: direct address with an insult's shape, shouting,
@@ -24,6 +24,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -32,6 +33,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from kinsift.llm.common import held_out, pieces, read
 from kinsift.llm.learning import sample, sigmoid, sparse_logistic
+from kinsift.storage import materialize
 
 #: Rows with and without a label that are learned from, and entries of the lexicon, at the most.
 LABELLED, UNLABELLED, LEXICON = 20_000, 10_000, 4000
@@ -58,6 +60,12 @@ def candidates(word: str) -> list[str]:
     return [word + "$", *(word[:k] for k in BEGINNINGS if k <= len(word))]
 
 
+def occurring(text: str | None) -> set[str]:
+    """All names that occur in a text; beginnings of two or more of its words also with a plus sign."""
+    count = Counter(c for w in set(WORD.findall((text or "").lower())) for c in candidates(w))
+    return count.keys() | {f"{c}+" for c, n in count.items() if n > 1}
+
+
 def mine(rows: DataFrame) -> list[tuple[str, float]]:
     """(entry, log odds) of the lexicon, strongest evidence first. rows: text, y; those without y don't count."""
 
@@ -65,7 +73,7 @@ def mine(rows: DataFrame) -> list[tuple[str, float]]:
         for batch in pieces(batches, 1 << 20):
             by: tuple[Counter, Counter] = (Counter(), Counter())
             for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                by[y].update({c for w in set(WORD.findall((text or "").lower())) for c in candidates(w)})
+                by[y].update(occurring(text))
             names = list(by[0].keys() | by[1].keys())
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array([x[c] for c in names], pa.int64()) for x in (by[1], by[0]))], ["entry", "p", "n"])
 
@@ -79,6 +87,7 @@ def mine(rows: DataFrame) -> list[tuple[str, float]]:
     log = lambda k, size: F.when(k > 0, k * F.log(k / (share * size))).otherwise(0.0)
     ratio = 2 * (log(F.col("p"), float(toxic)) + log(F.col("n"), float(other)))
     strong = counted.where(F.col("p") >= LEAST_TEXTS).withColumn("odds", odds).withColumn("ratio", ratio).where(F.col("odds") > STRENGTHS[0])
+    strong = materialize(strong, "entries")
     tries = max(strong.count(), 100)
     found = strong.where(F.col("ratio") > 2 * math.log(tries)).orderBy(F.desc("ratio"), "entry").limit(LEXICON)
     return [(r.entry, r.odds) for r in found.select("entry", "odds").collect()]
@@ -88,9 +97,12 @@ class Hits:
     """Finds a lexicon's entries and the patterns in texts; columns are the entries first, then the patterns."""
 
     def __init__(self, entries: list[str]) -> None:
-        self.index = {e: i for i, e in enumerate(entries)}
-        self.size = len(entries) + len(PATTERNS)
-        self.of = lru_cache(maxsize=1 << 20)(self._of)
+        names = sorted({e.removesuffix("+") for e in entries})
+        self.index = {n: i for i, n in enumerate(names)}
+        place = {e: i for i, e in enumerate(entries)}
+        self.once, self.twice = ([place.get(n + sign, -1) for n in names] for sign in ("", "+"))
+        self.base = len(entries)
+        self.of = lru_cache(maxsize=1 << 18)(self._of)
 
     def _of(self, word: str) -> tuple[int, ...]:
         return tuple(self.index[c] for c in candidates(word) if c in self.index)
@@ -98,17 +110,18 @@ class Hits:
     def __call__(self, text: str | None) -> set[int]:
         text = text or ""
         low = text.lower()
-        found = set().union(*map(self.of, set(WORD.findall(low))))
-        base = len(self.index)
-        found.update(base + i for i, (needles, p) in enumerate(PATTERNS) if any(map(low.__contains__, needles)) and p.search(text))
+        count = Counter(chain.from_iterable(map(self.of, set(WORD.findall(low)))))
+        found = {self.once[i] for i in count} | {self.twice[i] for i, n in count.items() if n > 1}
+        found.discard(-1)
+        found.update(self.base + i for i, (needles, p) in enumerate(PATTERNS) if any(map(low.__contains__, needles)) and p.search(text))
         return found
 
 
 def votes(hits: list[list[int]], entries: list[tuple[str, float]]) -> np.ndarray:
     """A row of votes for each text: 1 toxic, 0 other, 2 abstains."""
     band = np.array([sum(o > s for s in STRENGTHS[1:]) for _, o in entries], int)
-    kind = np.array([0 if e.endswith("$") else min(len(e), BEGINNINGS[-1]) for e, _ in entries], int)
-    kinds, bands, m = [0, *BEGINNINGS], len(STRENGTHS), len(entries)
+    kind = np.array([0 if e.endswith("$") else 1 if e.endswith("+") else len(e) for e, _ in entries], int)
+    kinds, bands, m = [0, 1, *BEGINNINGS], len(STRENGTHS), len(entries)
     group = {(k, b): i for i, (k, b) in enumerate((k, b) for k in kinds for b in range(bands))}
     first = len(group)
     out = np.full((len(hits), first + bands + len(PATTERNS)), 2, np.int8)
