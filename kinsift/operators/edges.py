@@ -82,7 +82,9 @@ def hamming_pairs(items: DataFrame, keys: list[str], threshold: int, keep: list[
     left, right = (bands.cut(items, keys, names, side) for side in "lr")
     xor = F.col("l_dhash").bitwiseXOR(F.col("r_dhash"))
     close = (F.col("l_id") < F.col("r_id")) & (F.bit_count(xor) <= threshold) & (F.col("band") == bands.first(xor))
-    pairs = left.join(right, [*keys, "band", "value"]).where(close if also is None else close & also)
+    if also is not None:  # looked at for close pairs alone, whatever order the optimizer gives conditions
+        close &= F.when(F.bit_count(xor) <= threshold, also).otherwise(F.lit(False))
+    pairs = left.join(right, [*keys, "band", "value"]).where(close)
     return pairs.select(F.col("l_id").alias("src"), F.col("r_id").alias("dst"), F.bit_count(xor).alias("distance"), *(f"{side}_{c}" for side in "lr" for c in keep))
 
 
@@ -137,8 +139,8 @@ def image_edges(prints: DataFrame, threshold: int, bits: int = 64, mean: float =
     single = firsts.where("look IS NULL OR dhash IS NULL").select("width", "height", "id", "dhash", "thumbnail")
     looks = firsts.where("look IS NOT NULL AND dhash IS NOT NULL").groupBy("width", "height", "dhash", "look").agg(F.min_by(F.struct("id", "thumbnail"), "id").alias("f"))
     apart = looks.select("width", "height", "f.id", "dhash", "f.thumbnail").unionByName(single)
-    pairs = hamming_pairs(apart, ["width", "height"], threshold, ["thumbnail"], bits)
-    pairs = pairs.where(M.mean_difference(F.col("l_thumbnail"), F.col("r_thumbnail")) <= mean)
+    alike = M.mean_difference(F.col("l_thumbnail"), F.col("r_thumbnail")) <= mean
+    pairs = hamming_pairs(apart, ["width", "height"], threshold, ["thumbnail"], bits, alike)
     similar = pairs.select("src", "dst", F.lit("image").alias("reason"), M.similarity_score(F.col("distance"), threshold).alias("score"))
     return content.unionByName(same).unionByName(similar)
 
