@@ -17,12 +17,17 @@ Scale: among intervals of one name, each is compared with that of the smallest d
 with all, and every link leads to a smaller document. A name that is everywhere is met first within each
 task's own documents, so that a task sends one interval of it through the shuffle, not one per document.
 Sketches are a third of a row of three numbers per word; they are shuffled and sorted once. Texts are
-shuffled once, by document, and only the regions to be compared go further. Two documents of a name whose
-smallest document has it in another passage meet by the names of the other pairs of functions.
+shuffled by document, and only the regions to be compared go further.
+
+A link that fails when the texts are compared isn't the last word: the interval is compared with the
+others of its name whose links failed too, and with those they had led to, in the order of documents, until
+one matches (`_linked_again`). Equal intervals count once. What can still be missed there is a passage that
+matches another of its name which itself was linked well, but not the one that that was linked to.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -209,8 +214,9 @@ def sketch(ids: np.ndarray, shingles: list[np.ndarray]) -> tuple[np.ndarray, np.
     return np.concatenate(names), ids[np.concatenate(owners)], np.concatenate(ats)
 
 
-_COLUMNS = ["name", "id", "at", "to", "to_at"]
-_SKETCH = "name long, id long, at long, to long, to_at long"
+_COLUMNS = ["key", "id", "at", "to", "to_at", "name"]
+_SKETCH = "key long, id long, at long, to long, to_at long, name long"
+_LINKS = "id long, at long, to long, to_at long, name long"
 
 
 def _first_of(name: np.ndarray) -> np.ndarray:
@@ -233,12 +239,12 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = owner == owner[top]
         keep = own & (np.append(True, (name[1:] != name[:-1]) | (owner[1:] != owner[:-1])))  # one interval of a name per document
         linked = ~own
-        # Links have a name too, which deals them out evenly.
+        # Links have a key too, which deals them out evenly; the key of the others is their name.
         spread = mix((owner[linked].astype(np.uint64) * _BASE) ^ at[linked].astype(np.uint64))
         null = np.arange(keep.sum() + linked.sum()) < keep.sum()
         none = np.zeros(keep.sum(), np.int64)
         columns = [np.concatenate([name[keep], spread]).view(np.int64), *(np.concatenate([x[keep], x[linked]]) for x in (owner, at))]
-        columns += [pa.array(np.concatenate([none, x[top[linked]]]), mask=null) for x in (owner, at)]
+        columns += [pa.array(np.concatenate([none, x]), mask=null) for x in (owner[top[linked]], at[top[linked]], name[linked].view(np.int64))]
         yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in columns], _COLUMNS)
 
     for batch in pieces(batches):
@@ -269,7 +275,7 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _long(i: int, part: np.ndarray, shift: int) -> Iterator[pa.RecordBatch]:
     name, owner, at = sketch(np.array([i], np.int64), [part])
     nulls = pa.nulls(len(name), pa.int64())
-    yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(owner), pa.array(at + (shift << 16)), nulls, nulls], _COLUMNS)
+    yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(owner), pa.array(at + (shift << 16)), nulls, nulls, nulls], _COLUMNS)
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -278,15 +284,15 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         name, owner, at = (np.asarray(batch.column(i)) for i in range(3))
         is_link = np.asarray(batch.column(3).is_valid().to_numpy(zero_copy_only=False))
-        old = [np.asarray(batch.column(i).filter(pa.array(is_link))) for i in (1, 2, 3, 4)]
+        old = [np.asarray(batch.column(i).filter(pa.array(is_link))) for i in (1, 2, 3, 4, 5)]
         name, owner, at = name[~is_link], owner[~is_link], at[~is_link]
         if carried and len(name):
             name, owner, at = (np.append(c, x) for c, x in zip(carried, (name, owner, at)))
-        new = [np.zeros(0, np.int64)] * 4
+        new = [np.zeros(0, np.int64)] * 5
         if len(name):
             top = _first_of(name)
             far = owner != owner[top]
-            new = [owner[far], at[far], owner[top[far]], at[top[far]]]
+            new = [owner[far], at[far], owner[top[far]], at[top[far]], name[far]]
             carried = (int(name[-1]), int(owner[top[-1]]), int(at[top[-1]]))
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(old, new)], _COLUMNS[1:])
 
@@ -404,6 +410,38 @@ def compare(left: list[bytes], right: list[bytes]) -> list[tuple[int, int, int,
     return sorted(out)
 
 
+#: Places of a passage of the least length that have a match at the least.
+_LEAST = math.ceil(SIMILAR * WIDTH)
+
+
+def _matches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, at, to, to_at, name): each interval whose link failed, linked to the first of its name that it matches. In: name, id, at, failed, words, by name and id."""
+    last = None
+    held: list[tuple[int, int, list[bytes], set]] = []  # distinct intervals of the name, in order
+    same: dict[bytes, tuple[int, int]] = {}
+    for batch in batches:
+        out = []
+        for name, i, at, failed, text in zip(*(batch.column(k).to_pylist() for k in range(5))):
+            if name != last:
+                last, held, same = name, [], {}
+            to = same.get(text)
+            if to:  # equal to one that has been met
+                if failed and to[0] < i:
+                    out.append((i, at, *to, name))
+                continue
+            words = text.split(b" ")
+            mine = set(zip(*(words[k:] for k in range(SHINGLE))))
+            distinct = len(mine) == len(words) - SHINGLE + 1
+            for other, other_at, theirs, shingles in held if failed else []:
+                if other < i and (not distinct or len(mine & shingles) >= _LEAST) and compare(words, theirs):
+                    out.append((i, at, other, other_at, name))
+                    break
+            held.append((i, at, words, mine))
+            same[text] = (i, at)
+        columns = list(zip(*out)) if out else [[]] * 5
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["id", "at", "to", "to_at", "name"])
+
+
 _RESULT = "id long, start long, end long, to long, to_start long, to_end long, similarity double, digest long"
 
 
@@ -438,19 +476,53 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """
     narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     rows = narrow.mapInArrow(_sketches, _SKETCH)
-    links = rows.repartition("name").sortWithinPartitions("name", "id").mapInArrow(_groups, "id long, at long, to long, to_at long")
+    links = materialize(rows.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_groups, _LINKS), "links")
+    found = materialize(_verified(narrow, links), "found")
+    again = _linked_again(narrow, links, found)
+    return found.unionByName(_verified(narrow, again)).distinct()
+
+
+def _sliced(narrow: DataFrame, spans: DataFrame, name: str) -> DataFrame:
+    """(id, a, b, words) of the spans (id, a, b), in words."""
+    spans = spans.distinct().groupBy(F.col("id").alias("k")).agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    wanted = narrow.join(spans, narrow["id"] == spans["k"]).select("id", "text", "spans")
+    return materialize(wanted.mapInArrow(_slices, "id long, a long, b long, words binary").distinct(), name)
+
+
+def _verified(narrow: DataFrame, links: DataFrame) -> DataFrame:
+    """The passages found where links lead."""
     pairs = links.groupBy("id", "to").agg(F.collect_list(F.struct("at", "to_at")).alias("pairs"))
     regions = materialize(pairs.mapInArrow(_regions, "id long, to long, a long, b long, to_a long, to_b long"), "regions")
-    spans = regions.select("id", "a", "b").unionByName(regions.select(F.col("to").alias("id"), F.col("to_a").alias("a"), F.col("to_b").alias("b"))).distinct()
-    spans = spans.groupBy(F.col("id").alias("k")).agg(F.collect_list(F.struct("a", "b")).alias("spans"))
-    wanted = narrow.join(spans, narrow["id"] == spans["k"]).select("id", "text", "spans")
-    slices = materialize(wanted.mapInArrow(_slices, "id long, a long, b long, words binary").distinct(), "slices")
+    spans = regions.select("id", "a", "b").unionByName(regions.select(F.col("to").alias("id"), F.col("to_a").alias("a"), F.col("to_b").alias("b")))
+    slices = _sliced(narrow, spans, "slices")
     left = slices.select("id", "a", "b", F.col("words").alias("mine"))
     right = slices.select(F.col("id").alias("to"), F.col("a").alias("to_a"), F.col("b").alias("to_b"), F.col("words").alias("theirs"))
     both = regions.join(left, ["id", "a", "b"]).join(right, ["to", "to_a", "to_b"])
     return both.select("id", "to", "a", "to_a", "mine", "theirs").mapInArrow(_verify, _RESULT)
 
 
+def _linked_again(narrow: DataFrame, links: DataFrame, found: DataFrame) -> DataFrame:
+    """Links of the intervals whose link failed to others of their name that they do match.
+
+    A link holds if a passage found between its two documents has the interval's first minimum; an interval
+    all of whose words are found already needs none.
+    """
+    a, b = F.shiftright("at", 16), F.shiftright("at", 16) + F.shiftright("at", 8).bitwiseAND(255) + SHINGLE - 1
+    rows = links.withColumn("c", a + F.col("at").bitwiseAND(255)).withColumn("a", a).withColumn("b", b)
+    spans = found.select(F.col("id").alias("k"), F.col("to").alias("k_to"), "start", "end")
+    same = (F.col("id") == F.col("k")) & (F.col("to") == F.col("k_to"))
+    failed = rows.join(spans, same & (F.col("start") <= F.col("c")) & (F.col("end") >= F.col("c") + SHINGLE), "left_anti")
+    failed = failed.join(spans, (F.col("id") == F.col("k")) & (F.col("start") <= F.col("a")) & (F.col("end") >= F.col("b")), "left_anti")
+    failed = materialize(failed.select("name", "id", "at", "to", "to_at"), "failed")
+    holders = failed.select("name", "id", "at", F.lit(True).alias("failed"))
+    tops = failed.select("name", F.col("to").alias("id"), F.col("to_at").alias("at"), F.lit(False).alias("failed"))
+    holders = holders.unionByName(tops).groupBy("name", "id", "at").agg(F.max("failed").alias("failed"))
+    holders = materialize(holders.withColumn("a", a).withColumn("b", b), "holders")
+    slices = _sliced(narrow, holders.select("id", "a", "b"), "holder_slices")
+    wanted = holders.join(slices, ["id", "a", "b"]).select("name", "id", "at", "failed", "words")
+    return materialize(wanted.repartition("name").sortWithinPartitions("name", "id", "at").mapInArrow(_matches, _LINKS), "again")
+
+
 def without(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     """The text without the words of spans [start, end) and the white space behind them."""
     at = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", text)]

@@ -102,6 +102,17 @@ def test_every_exact_repeat_is_covered(spark, small):
                 assert covered.get(i, set()).issuperset(range(k, k + S.PASSAGE))
 
 
+@pytest.mark.parametrize("n", (1, 5))
+def test_variants_of_a_smaller_document_do_not_hide_a_passage(spark, n):
+    rng = random.Random(3)
+    p = words(rng, 60)
+    # Smaller documents have parts of the passage, between other words; so every name of the passage is theirs too.
+    rows = [(i, words(rng, 50) + p[max(0, c - 17) : c + 17] + words(rng, 50)) for i, c in enumerate(range(0, 61, 2))]
+    rows += [(i, words(rng, 50) + p + words(rng, 50)) for i in (100, 101)]
+    frame = docs(spark, [(i, " ".join(w)) for i, w in rows]).repartition(n)
+    assert {(r.id, r.to, r.start, r.end) for r in S.repeats(frame).collect()} == {(101, 100, 50, 110)}
+
+
 def test_partitions_do_not_matter(spark):
     rng = random.Random(9)
     common = words(rng, 70)
