@@ -29,8 +29,11 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain, groupby, islice
+from operator import itemgetter
 from typing import NamedTuple
 
 import numpy as np
@@ -414,32 +417,53 @@ def compare(left: list[bytes], right: list[bytes]) -> list[tuple[int, int, int,
 _LEAST = math.ceil(SIMILAR * WIDTH)
 
 
-def _matches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, at, to, to_at, name): each interval whose link failed, linked to the first of its name that it matches. In: name, id, at, failed, words, by name and id."""
-    last = None
-    held: list[tuple[int, int, list[bytes], set]] = []  # distinct intervals of the name, in order
+def _least_distinct(shingles: list[int], distinct: set[int]) -> int:
+    """The fewest different shingles that can fill _LEAST places."""
+    if len(distinct) == len(shingles):
+        return _LEAST
+    return int(np.searchsorted(np.cumsum([n for _, n in Counter(shingles).most_common()]), _LEAST)) + 1
+
+
+def _matched(name: int, rows: list[tuple[int, int, bool, bytes]]) -> Iterator[tuple[int, int, int, int, int]]:
+    """The links of one name's intervals (id, at, failed, words), which come in order.
+
+    Only pairs are compared that share as many shingles as a passage needs. They are found without looking
+    at all pairs: of q shingles that others have too, at least one of the q - needed + 1 rarest is shared.
+    """
     same: dict[bytes, tuple[int, int]] = {}
-    for batch in batches:
-        out = []
-        for name, i, at, failed, text in zip(*(batch.column(k).to_pylist() for k in range(5))):
-            if name != last:
-                last, held, same = name, [], {}
-            to = same.get(text)
-            if to:  # equal to one that has been met
-                if failed and to[0] < i:
-                    out.append((i, at, *to, name))
+    kept = []
+    for i, at, failed, text in rows:
+        to = same.setdefault(text, (i, at))
+        if to != (i, at):  # equal to one that has been met
+            if failed and to[0] < i:
+                yield i, at, *to, name
+            if to[0] < i or not failed:
                 continue
-            words = text.split(b" ")
-            mine = set(zip(*(words[k:] for k in range(SHINGLE))))
-            distinct = len(mine) == len(words) - SHINGLE + 1
-            for other, other_at, theirs, shingles in held if failed else []:
-                if other < i and (not distinct or len(mine & shingles) >= _LEAST) and compare(words, theirs):
-                    out.append((i, at, other, other_at, name))
+        words = text.split(b" ")
+        shingles = list(map(hash, zip(*(words[k:] for k in range(SHINGLE)))))
+        kept.append((i, at, failed, words, shingles, set(shingles)))
+    count = Counter(chain.from_iterable(x[-1] for x in kept))
+    where: dict[int, list[int]] = {}
+    for k, (i, at, failed, words, shingles, distinct) in enumerate(kept):
+        shared = [x for x in distinct if count[x] > 1]
+        if failed:
+            rare = sorted(shared, key=count.__getitem__)[: max(0, len(shared) - _least_distinct(shingles, distinct) + 1)]
+            for j in sorted({j for x in rare for j in where.get(x, ())}):
+                other, other_at, _, theirs, _, known = kept[j]
+                places = [n for n, x in enumerate(shingles) if x in known]
+                if other < i and len(places) >= _LEAST and places[-1] - places[0] >= WIDTH - 1 and compare(words, theirs):
+                    yield i, at, other, other_at, name
                     break
-            held.append((i, at, words, mine))
-            same[text] = (i, at)
-        columns = list(zip(*out)) if out else [[]] * 5
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["id", "at", "to", "to_at", "name"])
+        for x in shared:
+            where.setdefault(x, []).append(k)
+
+
+def _matches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, at, to, to_at, name): each interval whose link failed, linked to the first of its name that it matches. In: name, id, at, failed, words, by name and id."""
+    rows = (row for batch in batches for row in zip(*(batch.column(k).to_pylist() for k in range(5))))
+    links = (x for name, group in groupby(rows, itemgetter(0)) for x in _matched(name, [row[1:] for row in group]))
+    while out := list(islice(links, 10_000)):
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], ["id", "at", "to", "to_at", "name"])
 
 
 _RESULT = "id long, start long, end long, to long, to_start long, to_end long, similarity double, digest long"
