@@ -15,12 +15,12 @@ what is reported has at least `PASSAGE` words and a Jaccard similarity of shingl
 
 Scale: among intervals of one name, each is compared with that of the smallest document alone, never all
 with all, and every link leads to a smaller document. A name that is everywhere is met first within each
-task's own documents, so that a task sends one interval of it through the shuffle, not one per document.
+task's own documents, so that a task sends the intervals of one document through the shuffle, not of all.
 Sketches are a third of a row of three numbers per word; they are shuffled and sorted once. Texts are
 shuffled by document, and only the regions to be compared go further.
 
 A link that fails when the texts are compared isn't the last word: the interval is compared with the
-others of its name whose links failed too, and with those they had led to, in the order of documents, until
+others of its name whose links failed too, and with all places of those they had led to, in the order of documents, until
 one matches (`_linked_again`). Equal intervals count once. What can still be missed there is a passage that
 matches another of its name which itself was linked well, but not the one that that was linked to.
 """
@@ -239,9 +239,8 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = np.lexsort((owner, name))
         name, owner, at = name[order], owner[order], at[order]
         top = _first_of(name)
-        own = owner == owner[top]
-        keep = own & (np.append(True, (name[1:] != name[:-1]) | (owner[1:] != owner[:-1])))  # one interval of a name per document
-        linked = ~own
+        keep = owner == owner[top]  # all of them: the smallest document of a chunk needn't be the smallest of all
+        linked = ~keep
         # Links have a key too, which deals them out evenly; the key of the others is their name.
         spread = mix((owner[linked].astype(np.uint64) * _BASE) ^ at[linked].astype(np.uint64))
         null = np.arange(keep.sum() + linked.sum()) < keep.sum()
@@ -282,7 +281,10 @@ def _long(i: int, part: np.ndarray, shift: int) -> Iterator[pa.RecordBatch]:
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links of intervals, which come sorted by name and id, to the first of their name; links that are there already pass."""
+    """Links of intervals, which come sorted by name and id, to the first of their name; links that are there already pass.
+
+    Further intervals of the first one's document are linked to it too, so that they are known as places of the name.
+    """
     carried: tuple[int, int, int] | None = None  # the name met last, and the first interval of it
     for batch in batches:
         name, owner, at = (np.asarray(batch.column(i)) for i in range(3))
@@ -294,8 +296,8 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         new = [np.zeros(0, np.int64)] * 5
         if len(name):
             top = _first_of(name)
-            far = owner != owner[top]
-            new = [owner[far], at[far], owner[top[far]], at[top[far]], name[far]]
+            rest = np.arange(len(name)) != top
+            new = [owner[rest], at[rest], owner[top[rest]], at[top[rest]], name[rest]]
             carried = (int(name[-1]), int(owner[top[-1]]), int(at[top[-1]]))
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(old, new)], _COLUMNS[1:])
 
@@ -515,7 +517,7 @@ def _sliced(narrow: DataFrame, spans: DataFrame, name: str) -> DataFrame:
 
 def _verified(narrow: DataFrame, links: DataFrame) -> DataFrame:
     """The passages found where links lead."""
-    pairs = links.groupBy("id", "to").agg(F.collect_list(F.struct("at", "to_at")).alias("pairs"))
+    pairs = links.where("id <> to").groupBy("id", "to").agg(F.collect_list(F.struct("at", "to_at")).alias("pairs"))
     regions = materialize(pairs.mapInArrow(_regions, "id long, to long, a long, b long, to_a long, to_b long"), "regions")
     spans = regions.select("id", "a", "b").unionByName(regions.select(F.col("to").alias("id"), F.col("to_a").alias("a"), F.col("to_b").alias("b")))
     slices = _sliced(narrow, spans, "slices")
@@ -532,7 +534,7 @@ def _linked_again(narrow: DataFrame, links: DataFrame, found: DataFrame) -> Data
     all of whose words are found already needs none.
     """
     a, b = F.shiftright("at", 16), F.shiftright("at", 16) + F.shiftright("at", 8).bitwiseAND(255) + SHINGLE - 1
-    rows = links.withColumn("c", a + F.col("at").bitwiseAND(255)).withColumn("a", a).withColumn("b", b)
+    rows = links.where("id <> to").withColumn("c", a + F.col("at").bitwiseAND(255)).withColumn("a", a).withColumn("b", b)
     spans = found.select(F.col("id").alias("k"), F.col("to").alias("k_to"), "start", "end")
     same = (F.col("id") == F.col("k")) & (F.col("to") == F.col("k_to"))
     failed = rows.join(spans, same & (F.col("start") <= F.col("c")) & (F.col("end") >= F.col("c") + SHINGLE), "left_anti")
@@ -540,7 +542,8 @@ def _linked_again(narrow: DataFrame, links: DataFrame, found: DataFrame) -> Data
     failed = materialize(failed.select("name", "id", "at", "to", "to_at"), "failed")
     holders = failed.select("name", "id", "at", F.lit(True).alias("failed"))
     tops = failed.select("name", F.col("to").alias("id"), F.col("to_at").alias("at"), F.lit(False).alias("failed"))
-    holders = holders.unionByName(tops).groupBy("name", "id", "at").agg(F.max("failed").alias("failed"))
+    further = links.where("id = to").join(failed.select("name").distinct(), "name", "left_semi").select("name", "id", "at", F.lit(False).alias("failed"))
+    holders = holders.unionByName(tops).unionByName(further).groupBy("name", "id", "at").agg(F.max("failed").alias("failed"))
     holders = materialize(holders.withColumn("a", a).withColumn("b", b), "holders")
     slices = _sliced(narrow, holders.select("id", "a", "b"), "holder_slices")
     wanted = holders.join(slices, ["id", "a", "b"]).select("name", "id", "at", "failed", "words")

@@ -113,6 +113,18 @@ def test_variants_of_a_smaller_document_do_not_hide_a_passage(spark, n):
     assert {(r.id, r.to, r.start, r.end) for r in S.repeats(frame).collect()} == {(101, 100, 50, 110)}
 
 
+@pytest.mark.parametrize("n", (1, 9))
+def test_a_passage_twice_in_one_document(spark, n):
+    rng = random.Random(8)
+    p = words(rng, 60)
+    rows = [(1, words(rng, 50) + p), (2, words(rng, 30) + p + words(rng, 200) + p + words(rng, 20))]
+    # Of documents 11 and 12, the smaller has a part of another passage before all of it.
+    q = words(rng, 60)
+    rows += [(11, words(rng, 50) + q[:34] + words(rng, 300) + q), (12, words(rng, 70) + q)]
+    frame = docs(spark, [(i, " ".join(w)) for i, w in rows]).repartition(n, "doc_id")
+    assert {(r.id, r.to, r.start, r.end) for r in S.repeats(frame).collect()} == {(2, 1, 30, 90), (2, 1, 290, 350), (12, 11, 70, 130)}
+
+
 def test_partitions_do_not_matter(spark):
     rng = random.Random(9)
     common = words(rng, 70)
