@@ -51,8 +51,6 @@ WIDTH = PASSAGE - SHINGLE + 1
 BLOCK, LONG, CHUNK = 1 << 18, 1 << 22, 1 << 18
 #: Candidates lie on one diagonal if it moves by no more than this many words from one to the next.
 DRIFT = 24
-#: Shingles without a match that may lie between two matching runs of one passage.
-GAP = 16
 #: Places of a shingle in the other text from which it counts as common.
 COMMON = 8
 
@@ -371,6 +369,13 @@ def compare(left: list[bytes], right: list[bytes]) -> list[tuple[int, int, int,
             runs.append([a, b, at - (k - a)])
     runs.sort()
     longest = max((b - a for a, b, _ in runs), default=0)
+    # Places without a match that a similar passage may have: a quarter of those with one.
+    total = end = 0
+    for a, b, _ in runs:
+        total += max(0, b - max(a, end))
+        end = max(end, b)
+    gap = int(total * (1 / SIMILAR - 1) + 1e-9)
+    ahead: tuple[int, int, int] | None = None
     starts = [r[0] for r in runs]
     used = bytearray(len(mine))
     out = []
@@ -385,30 +390,50 @@ def compare(left: list[bytes], right: list[bytes]) -> list[tuple[int, int, int,
         if used[a] or used[b - 1]:
             continue
         d, same = c + b - a, b - a
-        # Take in the next run on either side as long as the whole stays similar, by number of matching places.
+        steps = [(a, b, c, d)]
+        # Take in the next run on either side as long as the whole stays similar, by number of matching places. A run after
+        # which it isn't may still be part of a passage that the runs behind it make similar again: it is tried with them.
         k = first + 1
-        while k < len(runs) and starts[k] <= b + GAP:
+        far = b, d, same
+        while k < len(runs) and starts[k] <= max(b, far[0]) + gap:
             x, y, z = runs[k]
-            if y > b and d - 1 <= z + max(0, b - x) and z <= d + GAP and not used[y - 1]:
-                more = y - max(x, b)
-                if (same + more) >= SIMILAR * ((y - a) + (z + y - x - c) - same - more):
-                    b, d, same = y, z + y - x, same + more
             k += 1
+            for e, f, n in (far, (b, d, same)):
+                if y > e and f - 1 <= z + max(0, e - x) and x <= e + gap and z <= f + gap and not used[y - 1]:
+                    n += y - max(x, e)
+                    if n >= SIMILAR * ((y - a) + (z + y - x - c) - n):
+                        b, d, same = far = y, z + y - x, n
+                        steps.append((a, b, c, d))
+                        break
+                    if (e, f) == far[:2]:
+                        ahead = y, z + y - x, n
+            else:
+                far = ahead or far
+            ahead = None
         k = first - 1
-        while k >= 0 and a - longest - GAP <= starts[k]:
+        far = a, c, same
+        while k >= 0 and min(a, far[0]) - longest - gap <= starts[k]:
             x, y, z = runs[k]
-            if x < a <= y + GAP and z + min(y, a) - x <= c + 1 and z + y - x >= c - GAP and not used[x]:
-                more = min(y, a) - x
-                if z <= c and (same + more) >= SIMILAR * ((b - x) + (d - z) - same - more):
-                    a, c, same = x, z, same + more
             k -= 1
+            for e, f, n in (far, (a, c, same)):
+                if x < e <= y + gap and z + min(y, e) - x <= f + 1 and z + y - x >= f - gap and not used[x] and z <= f:
+                    n += min(y, e) - x
+                    if n >= SIMILAR * ((b - x) + (d - z) - n):
+                        a, c, same = far = x, z, n
+                        steps.append((a, b, c, d))
+                        break
+                    if (e, f) == far[:2]:
+                        ahead = x, z, n
+            else:
+                far = ahead or far
+            ahead = None
         if b - a < WIDTH:
             continue
-        s = similarity(a, b, c, d)
-        if s < SIMILAR:
-            a, b, c = runs[first]
-            d = c + b - a
-            s = 1.0
+        # The widest of them that is similar as a set, too; the first, a single run, is.
+        for a, b, c, d in reversed(steps):
+            s = similarity(a, b, c, d)
+            if s >= SIMILAR or b - a < WIDTH:
+                break
         if b - a >= WIDTH:
             out.append((a, b + SHINGLE - 1, c, d + SHINGLE - 1, s))
             used[a:b] = b"\1" * (b - a)

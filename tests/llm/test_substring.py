@@ -67,6 +67,22 @@ def test_compare():
     assert S.compare(p, scrambled) == []
 
 
+def test_compare_takes_in_what_lies_beyond_a_long_insertion():
+    rng = random.Random(2)
+    p = words(rng, 98)
+    ((a, b, c, d, s),) = S.compare(p, p[:49] + words(rng, 13) + p[49:])
+    assert (a, b, c, d) == (0, 98, 0, 111) and 0.8 <= s < 0.82
+    p = words(rng, 200)
+    ((a, b, c, d, s),) = S.compare(p, p[:45] + words(rng, 20) + p[45:])
+    assert (a, b, c, d) == (0, 200, 0, 220) and 0.86 < s < 0.88
+    # Runs of 60, 3 and 55 shingles, in either order: the first is similar with both of the others, with neither alone.
+    p = words(rng, 131)
+    q = p[:64] + words(rng, 10) + p[64:71] + ["new"] + p[72:]
+    for x, y in ((p, q), (q, p), (p[::-1], q[::-1]), (q[::-1], p[::-1])):
+        ((a, b, c, d, s),) = S.compare(x, y)
+        assert (a, b, c, d) == (0, len(x), 0, len(y)) and 0.8 <= s < 0.82
+
+
 def test_planted_passages(spark):
     rng = random.Random(4)
     passage = words(rng, 60)
