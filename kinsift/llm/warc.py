@@ -32,8 +32,8 @@ from kinsift.llm.common import pieces, read
 from kinsift.storage import materialize, new_path
 
 DEDUP_BYTES, FILE_RECORDS = 1000, 1000
-#: Bytes that one member may expand to.
-MOST = 1 << 28
+#: Bytes that one member may expand to, unless its record declares more; bytes that no value can exceed.
+MOST, LIMIT = 1 << 28, (1 << 31) - 1
 VERSION = b"WARC/1."
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -129,7 +129,7 @@ def parse(data: bytes, at: int, offset: int) -> tuple[Found | str, int]:
     """The record that begins at `at`, or what is wrong with it, and where it ends."""
     if not data.startswith(VERSION, at):
         return "no version line", at
-    end = data.find(b"\r\n\r\n", at, at + (1 << 16))
+    end = data.find(b"\r\n\r\n", at)
     if end < 0:
         return "header without an end", at
     fields: dict[str, str] = {}
@@ -156,9 +156,17 @@ def parse(data: bytes, at: int, offset: int) -> tuple[Found | str, int]:
     return Found("record", offset, 0, None, kind, own, to, fields.get("warc-target-uri"), digest or None, None if kind == "revisit" else payload), stop + 4
 
 
+def declared(parts: list[bytes]) -> int:
+    """The length of the record that begins the content in parts, by its own header; 0 if there is none."""
+    content = b"".join(parts)
+    end = content.find(b"\r\n\r\n")
+    m = re.search(rb"\r\ncontent-length:[ \t]*(\d{1,15})[ \t]*\r\n", content[: end + 2], re.I) if content.startswith(VERSION) and end >= 0 else None
+    return end + 8 + int(m[1]) if m else 0
+
+
 def expand(data: bytes, at: int) -> tuple[bytes | str, int]:
     """The content of the gzip member that begins at `at`, or what is wrong with it, and where it ends."""
-    z, parts, held, to = zlib.decompressobj(31), [], 0, at
+    z, parts, held, to, most = zlib.decompressobj(31), [], 0, at, MOST
     while not z.eof:
         if to >= len(data):
             return "gzip member without an end", at
@@ -168,7 +176,9 @@ def expand(data: bytes, at: int) -> tuple[bytes | str, int]:
             return f"gzip member: {error}", at
         to += 1 << 15
         held += len(parts[-1])
-        if held > MOST:
+        if held > most == MOST:
+            most = max(MOST, min(declared(parts), LIMIT))
+        if held > most:
             return "gzip member too large", at
     return b"".join(parts), min(to, len(data)) - len(z.unused_data)
 

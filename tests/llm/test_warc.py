@@ -20,6 +20,17 @@ def test_names():
     assert W.page_id("<urn:uuid:6c3b1a1e-0000-4000-8000-000000000000>") is None
 
 
+def test_long_headers_and_large_members_are_read_back(monkeypatch):
+    monkeypatch.setattr(W, "MOST", 50_000)
+    rng = random.Random(7)
+    payload = bytes(rng.randrange(256) for _ in range(200_000))
+    records = [W.build(1, "é" * 30_000, b"x", None, "d"), W.build(2, "u", payload, None, "d"), W.build(3, "u", b"y", None, "d")]
+    found = list(W.salvage(b"".join(map(W.member, records))))
+    assert [(x.kind, x.page, x.payload) for x in found] == [("record", 1, b"x"), ("record", 2, payload), ("record", 3, b"y")]
+    # What expands beyond what it declares is still refused.
+    assert [x.reason for x in W.salvage(W.member(records[2] + bytes(200_000)))] == ["gzip member too large"]
+
+
 def test_query_matches_sql(spark, medium):
     got = sorted(map(tuple, W.op6_warc(spark, medium).collect()))
     c = duckdb.connect()
