@@ -2,7 +2,7 @@
 
 Lineage is cut by writing Parquet there and reading it back: the files outlive any executor, the plan
 of the reader starts at a scan, and each table is computed once. The folder is the one the cluster
-names in ``spark.checkpoint.dir``; only where that is unset (tests, one machine) one is made.
+names in ``spark.checkpoint.dir``; only where that is unset and all runs on one machine, one is made.
 """
 
 from __future__ import annotations
@@ -27,6 +27,8 @@ def shared_dir(spark: SparkSession) -> str:
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors reach")
         if not _own:
             os.makedirs("/tmp/checkpoints", exist_ok=True)
             _own.append(tempfile.mkdtemp(prefix="kinsift-", dir="/tmp/checkpoints"))
@@ -50,10 +52,10 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str = "table") -> DataFrame:
-    """Write df once and return a reader of what was written, with df's schema."""
+def materialize(df: DataFrame, name: str = "table", compression: str | None = None) -> DataFrame:
+    """Write df once and return a reader of what was written, with df's schema. compression: a codec other than the session's."""
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._kinsift_path = path
     return out
