@@ -28,7 +28,7 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window as W, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from kinsift.llm.common import pieces, read, texts
 from kinsift.operators.components import connected_components
@@ -63,12 +63,14 @@ def fingerprint(text: bytes | None) -> int:
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in pieces(batches):
         values = np.fromiter(map(fingerprint, texts(batch.column(1))), np.uint64, batch.num_rows)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values.view(np.int64))], ["id", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values.view(np.int64)), *batch.columns[2:]], ["id", "fp", *batch.schema.names[2:]])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp): the fingerprint of every row's whole text, as a signed long."""
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(_fingerprints, "id long, fp long")
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row: Column | None = None) -> DataFrame:
+    """(id, fp): the fingerprint of every row's whole text, as a signed long. row: a long that comes with it."""
+    named = [] if row is None else [row.cast("long").alias("row")]
+    narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *named)
+    return narrow.mapInArrow(_fingerprints, "id long, fp long" + (", row long" if named else ""))
 
 
 class Forest:
@@ -104,7 +106,7 @@ def _pairs(al: np.ndarray, ah: np.ndarray, bl: np.ndarray, bh: np.ndarray) -> tu
 def walk(keys: np.ndarray, lo: np.ndarray, hi: np.ndarray, depth: int, budget: int, forest: Forest, across: np.ndarray | None = None) -> None:
     """Link in `forest` what is within `budget` bits in the subtrees [lo, hi) of the sorted array `keys`.
 
-    Elements of a subtree are distinct and share their first `depth` bits. across: instead, where it is
+    Subtrees fill the array one after another. Elements of one are distinct and share their first `depth` bits. across: instead, where it is
     not negative, the subtree is [lo, across) and is walked against [across, hi) only.
     """
     if not len(lo):
@@ -184,8 +186,15 @@ def _links(batches: Iterator[pa.RecordBatch], most: int = 1 << 19) -> Iterator[p
         for g in np.flatnonzero(lower[lo] != upper[lo]):
             across[g] = lo[g] + np.searchsorted(sub[lo[g] : hi[g]], upper[lo[g]].astype(np.uint64))
         full = (across < 0) | ((across > lo) & (across < hi))
+        # The rows of subtrees with one side only go: what is left are the subtrees that are walked, end to end.
+        size = hi - lo
+        stays = np.repeat(full, size)
+        keys, fp = keys[stays], fp[stays]
+        hi = np.cumsum(size[full])
+        shift = lo[full] - (hi - size[full])
+        lo, across = lo[full] - shift, np.where(across[full] < 0, -1, across[full] - shift)
         forest = Forest(len(fp))
-        walk(keys, lo[full], hi[full], BLOCK, BUDGET, forest, across[full])
+        walk(keys, lo, hi, BLOCK, BUDGET, forest, across)
         tied = np.flatnonzero(forest.label != np.arange(len(fp)))
         return pa.RecordBatch.from_arrays([pa.array(fp[x].view(np.int64)) for x in (tied, forest.label[tied])], ["src", "dst"])
 
@@ -249,21 +258,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each class, with all its columns: that of the smallest id; of equal ones, one of them."""
-    narrow = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = materialize(fingerprints(docs, id_col, text_col), "fingerprints")
-    keepers = classes(rows).where("keeper").select(F.col("fp").alias("k"), "component_id")
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches):
-            values = np.fromiter(map(fingerprint, texts(batch.column(2))), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(values.view(np.int64))], ["row", "id", "fp"])
+    """One row of each class, with all its columns: that of the smallest id; of several with this id, one of them.
 
-    schema = T.StructType([narrow.schema["row"], T.StructField("id", T.LongType()), T.StructField("fp", T.LongType())])
-    # The fingerprints are made again rather than joined: ids may repeat, and texts are then shuffled once.
-    kept = narrow.mapInArrow(add, schema)
-    kept = kept.join(keepers, (kept.fp == keepers.k) & kept.id.eqNullSafe(keepers.component_id), "left_semi")
-    nth = F.row_number().over(W.partitionBy("fp", "id").orderBy(F.xxhash64("row")))
+    Null texts and texts without words are one class; a class of rows with null ids only keeps one row, and
+    other classes none of theirs. Repeated rows stay once. An empty table gives an empty result. Columns may
+    have any names.
+    """
+    key = F.xxhash64(F.struct("*"))  # rows that share it and the id are taken for equal
+    rows = materialize(fingerprints(docs, id_col, text_col, key), "fingerprints")
+    keepers = classes(rows).where("keeper").select(F.col("fp").alias("k"), "component_id")
+    chosen = rows.join(keepers, (F.col("fp") == F.col("k")) & F.col("id").eqNullSafe(F.col("component_id")), "left_semi")
+    chosen = chosen.groupBy("fp", "id").agg(F.min("row").alias("chosen")).select(F.col("id").alias("keeper"), "chosen")
+    kept = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("id"), key.alias("key"))
+    kept = kept.join(chosen, (F.col("key") == F.col("chosen")) & F.col("id").eqNullSafe(F.col("keeper")), "left_semi")
+    nth = F.row_number().over(W.partitionBy("key", "id").orderBy("key"))  # equal rows: any of them
     return kept.withColumn("nth", nth).where("nth = 1").select("row.*")
 
 

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -61,6 +62,33 @@ def test_links_brute(spark, split):
     assert forest.label.tolist() == plain_classes(list(enumerate(fps)))
 
 
+def test_subtrees_with_one_side_link_nothing():
+    """Such subtrees of two rotations stand next to each other; as rotated, what they hold is alike, as it is not."""
+    rng = np.random.default_rng(3)
+    for _ in range(20):
+        key = int(rng.integers(0, 2**63)) | 1 << 40
+        turned = key ^ 1
+        other = (turned >> 16 | turned << 48) & (1 << 64) - 1  # its rotation by a block is `turned`
+        near = key ^ 1 << 7
+        rows = [(0, 1, 0, 1, key), (1, 1, 0, 1, other), (1, 2, 5, 9, other ^ 6), (2, 3, -1, -1, key), (2, 3, -1, -1, near)]
+        columns = [pa.array(np.array(x, np.uint64).view(np.int64) if k == 4 else np.array(x)) for k, x in enumerate(zip(*rows))]
+        batch = pa.RecordBatch.from_arrays(columns, ["r", "block", "lower", "upper", "fp"])
+        found = [sorted(x.values()) for y in S._links(iter([batch])) for x in y.to_pylist()]
+        assert found == [sorted(np.array([key, near], np.uint64).view(np.int64).tolist())]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_links_join_nothing_that_is_apart(spark, seed):
+    rng = np.random.default_rng(seed)
+    base = rng.integers(0, 2**64, 60, dtype=np.uint64) & np.uint64(0xFFFF_FFFF_0F0F_FFFF)
+    base = np.concatenate([base, base ^ (np.uint64(1) << rng.integers(0, 64, 60).astype(np.uint64)), (base >> np.uint64(16)) | (base << np.uint64(48))])
+    fps = sorted({int(x) for x in base})
+    signed = np.array(fps, np.uint64).view(np.int64).tolist()
+    label = dict(zip(signed, plain_classes(list(enumerate(fps)))))
+    found = S.links(spark.createDataFrame([(v,) for v in signed], "fp long").coalesce(1), 2).collect()
+    assert found and all(label[r.src] == label[r.dst] for r in found)
+
+
 def test_query_brute(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").collect()
     got = {r.doc_id: (r.fingerprint, r.component_id) for r in S.op1_simhash(spark, small).collect()}
