@@ -5,8 +5,8 @@ response and the others are revisits that refer to it. Every record is a gzip me
 archives of the web are. The files are written by Spark's text writer, so they can lie in any store
 that Spark writes to and a lost executor's files are never seen half written: a row is a member without
 its last byte, and the line separator is that byte. A gzip member ends in the upper byte of its length,
-which is 0 below 16 MiB; a larger member is followed by an empty one, which ends in 0 too. Files hold at
-most `FILE_RECORDS` records.
+which is 0 below 16 MiB; a larger member is followed by an empty one, which ends in 0 too. Files are rolled
+by bytes: a task gathers members up to `FILE_BYTES`, or one larger one, into a row, and a row is a file.
 
 Reading. A file is walked from its start. A record counts if its member's checksum, its header, its
 content length, the two line ends after it and its payload digest are right. After a failed check the
@@ -31,7 +31,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from kinsift.llm.common import pieces, read
 from kinsift.storage import materialize, new_path
 
-DEDUP_BYTES, FILE_RECORDS = 1000, 1000
+DEDUP_BYTES = 1000
+#: Bytes of a file, unless a single member has more.
+FILE_BYTES = 16 << 20
 #: Bytes that one member may expand to, unless its record declares more; bytes that no value can exceed.
 MOST, LIMIT = 1 << 28, (1 << 31) - 1
 VERSION = b"WARC/1."
@@ -93,23 +95,40 @@ def referred(pages: DataFrame, id_col: str, payload_col: str) -> DataFrame:
     return joined.withColumn("refers_to", F.when(F.col(id_col) < F.col("_last"), F.col("_last"))).select(*pages.columns, "refers_to")
 
 
-def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", date: str = "2024-01-01T00:00:00Z") -> None:
-    """Write a record for every row of pages to gzip archives in the folder path.
+def gathered(members: Iterator[bytes], most: int) -> Iterator[bytes]:
+    """Members one after another, in pieces of at most `most` bytes or of one member."""
+    held, size = [], 0
+    for one in members:
+        if held and size + len(one) > most:
+            yield b"".join(held)
+            held, size = [], 0
+        held.append(one)
+        size += len(one)
+    if held:
+        yield b"".join(held)
+
+
+def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", date: str = "2024-01-01T00:00:00Z", file_bytes: int = FILE_BYTES) -> None:
+    """Write a record for every row of pages to gzip archives in the folder path, of at most file_bytes or one record each.
 
     A null payload is an empty one, a null URL has no header line. A row with a null id is a response and
     is nobody's original. Equal rows are both written, and rows that share the largest id of a payload
     are all responses. An empty table makes a folder without records. Other columns aren't written.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[bytes]:
         for batch in pieces(batches):
             rows = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist(), batch.column(3).to_pylist())
-            made = [member(build(page, url, payload or b"", to, date))[:-1] for page, url, payload, to in rows]
-            yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], ["value"])
+            for page, url, payload, to in rows:
+                yield member(build(page, url, payload or b"", to, date))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for file in gathered(made(batches), file_bytes):
+            yield pa.RecordBatch.from_arrays([pa.array([file[:-1]], pa.binary())], ["value"])
 
     narrow = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.col(payload_col).alias("payload"))
-    members = referred(narrow, "id", "payload").mapInArrow(run, "value binary")
-    members.select(F.col("value").cast("string")).write.option("lineSep", "\0").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    files = referred(narrow, "id", "payload").mapInArrow(run, "value binary")
+    files.select(F.col("value").cast("string")).write.option("lineSep", "\0").option("maxRecordsPerFile", 1).text(path)
 
 
 class Found(NamedTuple):

@@ -59,6 +59,16 @@ def test_files_are_gzip_members(spark, tmp_path):
     assert [x.page for x in W.salvage(gzip.decompress(raw))] == [x.page for x in W.salvage(raw)]  # not compressed, too
 
 
+def test_files_are_rolled_by_bytes(spark, tmp_path):
+    rng = random.Random(5)
+    rows = [(i, "u", "".join(chr(rng.randrange(33, 127)) for _ in range(20_000 if i == 7 else 300))) for i in range(40)]
+    W.write_warc(pages(spark, rows).coalesce(1), f"file://{tmp_path}/w", file_bytes=3000)
+    files = [x.read_bytes() for x in (tmp_path / "w").glob("part-*")]
+    assert len(files) > 5 and all(len(x) <= 3000 or len(list(W.salvage(x))) == 1 for x in files) and max(map(len, files)) > 3000
+    found = W.read_warc(spark, f"file://{tmp_path}/w").collect()
+    assert {(r.page_id, bytes(r.payload).decode()) for r in found} == {(i, t) for i, _, t in rows} and len(found) == 40
+
+
 def test_large_record_ends_in_a_zero_byte():
     record = W.build(1, "u", bytes(17 << 20), None, "2024-01-01T00:00:00Z")
     raw = W.member(record)
