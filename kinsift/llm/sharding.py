@@ -3,14 +3,15 @@
 Bytes, tokens and rows are balanced jointly: an item is a vector of its shares of the three, a shard's
 residual capacity is a vector too, and items are placed, largest first, where the dot product of the
 two is highest among the shards that still have room for the item's bytes (where none has: the one with
-the most room). Rows with equal texts are one group and stay together, so that copies never sit in two
-shards, up to a group that would fill a shard, which is cut into pieces.
+the most room). Rows with equal texts are one group and one item, so that copies never sit in two shards,
+up to a group that would fill a shard, which is cut into pieces.
 
-Packing looks at every item in turn, so their number is bounded whatever the number of rows: a group
-of more than 1/1024 of a shard is an item (there are at most 1024 per shard), and all the lighter groups
-fall by their hash into 1024 buckets per shard, which are items. Totals are summed before any shuffle;
-the driver sees at most 2 * 1024 * shards rows of four numbers plus the pieces, and the tables it sends
-back have as many. Rows themselves are never shuffled for their shard, but once for their slot.
+Packing looks at every group in turn, whatever their number. Groups of more than 1/1024 of a shard are
+packed first, on the driver; there are at most 1024 of them per shard, and their pieces. What room they
+leave is shared out: the lighter groups fall by their hash into parts of about `PART_GROUPS`, and a part
+has the share of every shard's room that it has of all lighter groups' bytes, tokens and rows. Tasks pack
+their parts one by one against these shares, so the driver sees neither groups nor parts. Sums are made
+before any shuffle; texts are never shuffled, rows of six numbers are joined to their groups' shards.
 
 The law that holds is `bytes`: the shards' sizes are near equal. Slots number a shard's rows without a
 gap. They are counted in parts of a shard, whose offsets are running sums, so that no task orders a
@@ -19,14 +20,19 @@ whole shard.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from kinsift.llm.common import read, word_count
-from kinsift.storage import materialize
+from kinsift.llm.common import read, trim, word_count
+from kinsift.storage import discard, materialize
 
-#: Items a shard is made of, at the least, where there are that many groups.
+#: Groups of over 1/GRAIN of a shard are packed before all others.
 GRAIN = 1024
+#: Lighter groups that one task packs together, about.
+PART_GROUPS = 50_000
 #: A group of over this share of a shard is cut into pieces.
 WHOLE = 0.9
 #: Rows of a part of a shard that one task numbers.
@@ -35,26 +41,39 @@ PART_ROWS = 50_000
 ROW_BYTES = 16
 
 
-def pack(items: np.ndarray, shards: int) -> np.ndarray:
-    """The shard of every item. items: a row of bytes, tokens and rows for each."""
-    total = items.sum(axis=0)
-    share = items / np.where(total > 0, total, 1) * shards  # capacity is 1 in each dimension
-    room = np.ones((shards, items.shape[1]))
-    out = np.zeros(len(items), np.int64)
-    for i in np.lexsort((np.arange(len(items)), -share.max(axis=1))):
+def place(share: np.ndarray, room: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """The shard of every item, taken in the given order; room, of the same unit, is what shards have left and is used up."""
+    out = np.zeros(len(share), np.int64)
+    for i in order.tolist():
         item = share[i]
-        fit = room[:, 0] >= item[0]
-        score = np.where(fit, room @ item, -np.inf) if fit.any() else room[:, 0]
-        best = int(np.argmax(score))
+        score = np.where(room[:, 0] >= item[0], room @ item, -np.inf)
+        best = int(score.argmax())
+        if score[best] == -np.inf:
+            best = int(room[:, 0].argmax())
         room[best] -= item
         out[i] = best
     return out
 
 
-def sized(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, size, tokens, text_crc32, k1, k2): all that packing needs of a row; k1 and k2 name its text."""
+def shares(items: np.ndarray, total: np.ndarray, shards: int) -> np.ndarray:
+    """Items in units of a shard's capacity, which is 1 in each dimension."""
+    return items / np.where(total > 0, total, 1) * shards
+
+
+def largest_first(share: np.ndarray) -> np.ndarray:
+    return np.lexsort((np.arange(len(share)), -share.max(axis=1, initial=0)))
+
+
+def part_room(room: np.ndarray, own: np.ndarray, light: np.ndarray) -> np.ndarray:
+    """A part's share of every shard's room, if its items sum up to `own` and those of all parts to `light`."""
+    return room * np.where(light > 0, own / np.where(light > 0, light, 1), 0)
+
+
+def sized(docs: DataFrame, id_col: str, text_col: str, row: Column | None = None) -> DataFrame:
+    """(id, size, tokens, text_crc32, k1, k2): all that packing needs of a row; k1 and k2 name its text. row: what comes along."""
     text = F.col(text_col)
     return docs.select(
+        *([] if row is None else [row.alias("row")]),
         F.col(id_col).alias("id"),
         (F.coalesce(F.octet_length(text), F.lit(0)) + ROW_BYTES).cast("long").alias("size"),
         word_count(text).alias("tokens"),
@@ -64,38 +83,73 @@ def sized(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
-def assign_shards(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _pack_parts(shards: int, total: np.ndarray, light: np.ndarray, room: np.ndarray):
+    """The shard of every group of a task's parts, which come one after another. In: part, k1, k2, bytes, tokens, rows."""
+
+    def packed(table: pa.Table) -> pa.RecordBatch:
+        part, k1, k2 = (table.column(k).to_numpy() for k in range(3))
+        share = shares(np.stack([table.column(k).to_numpy() for k in range(3, 6)], axis=1).astype(float), total, shards)
+        by = np.lexsort((k2, k1))  # the order in which rows come is not the same in every run
+        by = by[largest_first(share[by])]
+        own_room = part_room(room, share.sum(axis=0), light)
+        return pa.RecordBatch.from_arrays([pa.array(k1), pa.array(k2), pa.array(place(share, own_room, by).astype(np.int32))], ["g1", "g2", "shard"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            part = batch.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(cuts, cuts[1:]):
+                if a == b:
+                    continue
+                if held and held[-1].column(0)[0].as_py() != part[a]:
+                    yield packed(pa.Table.from_batches(held))
+                    held = []
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield packed(pa.Table.from_batches(held))
+        trim()
+
+    return run
+
+
+def assign_shards(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text", part_groups: int = PART_GROUPS, row: Column | None = None) -> DataFrame:
     """(id_col, size, tokens, text_crc32, law, shard, slot, grown_shard) for every row of docs.
 
     Null texts have no bytes and are equal to each other but not to the empty text; their crc32 is that
     of no bytes. Null and repeated ids are rows like any other. An empty table gives an empty result.
-    Only the two named columns are looked at.
+    Only the two named columns are looked at. row: a struct that comes along as `row`.
     """
     spark = docs.sparkSession
-    rows = materialize(sized(docs, id_col, text_col), "sized")
-    n, total = rows.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
-    least, whole = total / (shards * GRAIN), total / shards * WHOLE
-    groups = rows.groupBy("k1", "k2").agg(F.sum("size").alias("bytes"))
+    rows = materialize(sized(docs, id_col, text_col, row), "sized")
+    others = [] if row is None else ["row"]
+    sums = [F.sum("size").alias("bytes"), F.sum("tokens").alias("tokens"), F.count("*").alias("rows")]
+    groups = materialize(rows.groupBy("k1", "k2").agg(*sums), "groups")
+    facts = groups.agg(F.count("*"), *(F.coalesce(F.sum(c), F.lit(0)) for c in ("bytes", "tokens", "rows"))).first()
+    n_groups, total = facts[0], np.array(facts[1:], float)
+    least, whole = total[0] / (shards * GRAIN), total[0] / shards * WHOLE
     cut = F.when(F.col("bytes") > whole, F.ceil(F.col("bytes") / F.lit(max(whole, 1.0) / 4))).otherwise(1).cast("int")
-    heavy = groups.where(F.col("bytes") > F.lit(least)).select("k1", "k2", cut.alias("cut"))
-    heavy = F.broadcast(materialize(heavy, "heavy"))  # at most shards * GRAIN rows, by its threshold
-    keyed = rows.join(heavy, ["k1", "k2"], "left")
-    light = F.pmod(F.col("k1"), F.lit(shards * GRAIN))
-    item = F.struct(
-        F.when(F.col("cut").isNull(), light).otherwise(F.col("k1")).alias("a"),
-        F.when(F.col("cut").isNull(), F.lit(0).cast("long")).otherwise(F.col("k2")).alias("b"),
-        F.when(F.col("cut").isNull(), F.lit(-1).cast("long")).otherwise(F.pmod(F.xxhash64("id", "k1"), F.col("cut"))).alias("piece"),  # -1: a bucket
-    )
-    keyed = keyed.select("id", "size", "tokens", "text_crc32", item.alias("item"))
-    sums = keyed.groupBy("item").agg(F.sum("size").alias("bytes"), F.sum("tokens").alias("tokens"), F.count("*").alias("rows"))
-    items = sorted(map(tuple, sums.select("bytes", "tokens", "rows", "item.a", "item.b", "item.piece").collect()))
-    shard = pack(np.array([x[:3] for x in items], np.float64), shards) if items else []
-    placed = [(*x[3:], int(k)) for x, k in zip(items, shard)]
-    plan = spark.createDataFrame(placed, "a long, b long, piece long, shard int").select(F.struct("a", "b", "piece").alias("item"), "shard")
-    keyed = keyed.join(F.broadcast(plan), "item").drop("item")
-    return _slots(keyed, n, shards).select(
-        F.col("id").alias(id_col), "size", "tokens", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
-    )
+    heavy = groups.where(F.col("bytes") > F.lit(least))  # at most shards * GRAIN rows, by its threshold
+    heavy = F.broadcast(materialize(heavy.select(F.col("k1").alias("h1"), F.col("k2").alias("h2"), cut.alias("cut")), "heavy"))
+    keyed = rows.join(heavy, (F.col("k1") == F.col("h1")) & (F.col("k2") == F.col("h2")), "left").drop("h1", "h2")
+    keyed = keyed.withColumn("piece", F.pmod(F.xxhash64("id", "k1"), F.col("cut")).cast("int")).drop("cut")
+    known = sorted(map(tuple, keyed.where("piece IS NOT NULL").groupBy("k1", "k2", "piece").agg(*sums).collect()))
+    share = shares(np.array([x[3:] for x in known], float).reshape(-1, 3), total, shards)
+    room = np.ones((shards, 3))
+    shard = place(share, room, largest_first(share))
+    plan = spark.createDataFrame([(*x[:3], int(k)) for x, k in zip(known, shard)], "g1 long, g2 long, g3 int, shard int")
+    same = (F.col("k1") == F.col("g1")) & (F.col("k2") == F.col("g2"))
+    first = keyed.where("piece IS NOT NULL").join(F.broadcast(plan), same & (F.col("piece") == F.col("g3"))).drop("g1", "g2", "g3", "piece")
+
+    parts = max(1, -(-n_groups // part_groups))
+    lighter = groups.where(F.col("bytes") <= F.lit(least)).select(F.pmod(F.xxhash64("k1", "k2"), F.lit(parts)).alias("part"), "k1", "k2", "bytes", "tokens", "rows")
+    packing = _pack_parts(shards, total, shards - share.sum(axis=0), room)
+    placed = lighter.repartition("part").sortWithinPartitions("part").mapInArrow(packing, "g1 long, g2 long, shard int")
+    rest = keyed.where("piece IS NULL").join(placed, same).drop("g1", "g2", "piece")
+    out = materialize(_slots(first.unionByName(rest), int(total[2]), shards), "shards")
+    for table in (rows, groups):
+        discard(table)
+    return out.select(F.col("id").alias(id_col), "size", "tokens", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), *others)
 
 
 def _slots(rows: DataFrame, n: int, shards: int) -> DataFrame:
@@ -108,15 +162,15 @@ def _slots(rows: DataFrame, n: int, shards: int) -> DataFrame:
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 40, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Write docs to a folder per shard below path, rows in slot order, and return the assignment.
+    """Write docs to a folder per shard below path (`shard=K`), rows in slot order, and return the assignment.
 
-    Ids have to be unique and not null here, since they join the rows to their shards.
+    The files hold a column `row` with all columns of docs, whatever their names, and `slot`. Every row is
+    written, null and repeated ids and repeated rows too; an empty table writes no rows.
     """
-    plan = materialize(assign_shards(docs, shards, id_col, text_col), "assignment")
-    named = plan.select(F.col(id_col).alias("_id"), F.col("shard").alias("_shard"), F.col("slot").alias("_slot"))
-    out = docs.join(named, docs[id_col] == named["_id"]).drop("_id")
-    out.repartition("_shard", (F.col("_slot") / PART_ROWS).cast("long")).sortWithinPartitions("_shard", "_slot").write.partitionBy("_shard").parquet(path)
-    return plan
+    plan = assign_shards(docs, shards, id_col, text_col, row=F.struct("*"))
+    out = plan.select("row", "slot", "shard").repartition("shard", (F.col("slot") / PART_ROWS).cast("long")).sortWithinPartitions("shard", "slot")
+    out.write.partitionBy("shard").parquet(path)
+    return plan.drop("row")
 
 
 def op4_sharding(spark, sf_dir: str) -> DataFrame:

@@ -17,14 +17,61 @@ def test_word_count(spark):
     assert [r.n for r in rows] == [len((t or "").encode().split()) for t in texts]
 
 
-def test_pack_balances_jointly():
+def test_place_balances_jointly():
     rng = np.random.default_rng(0)
     items = np.stack([rng.lognormal(5, 1, 5000), rng.lognormal(3, 1, 5000), np.ones(5000)], axis=1)
-    shard = S.pack(items, 16)
+    share = S.shares(items, items.sum(axis=0), 16)
+    shard = S.place(share, np.ones((16, 3)), S.largest_first(share))
     for k in range(3):
         load = np.bincount(shard, items[:, k], 16)
         assert load.max() / load.mean() < 1.03
-    assert S.pack(np.zeros((0, 3)), 4).tolist() == []
+    assert S.place(np.zeros((0, 3)), np.ones((4, 3)), np.zeros(0, int)).tolist() == []
+
+
+def plainly_best(items, shard, room):
+    """Every item, in order, lies where the dot product with what is left is highest, or where the most room is if it fits nowhere."""
+    for item, own in zip(items, shard):
+        fits = [k for k, r in enumerate(room) if r[0] >= item[0]]
+        if fits:
+            score = {k: sum(x * y for x, y in zip(room[k], item)) for k in fits}
+            assert score[own] >= max(score.values()) - 1e-9
+        else:
+            assert room[own][0] >= max(r[0] for r in room) - 1e-9
+        room[own] = [x - y for x, y in zip(room[own], item)]
+    return room
+
+
+@pytest.mark.parametrize("part_groups", (50_000, 120))
+def test_every_group_lies_where_the_dot_product_is_highest(spark, medium, part_groups):
+    shards = 3
+    # Larger and smaller groups than 1/1024 of a shard, and one that would fill a shard.
+    docs = spark.read.parquet(f"{medium}/documents.parquet").select("doc_id", "text")
+    tiny = spark.range(600).select((F.col("id") + 10**6).alias("doc_id"), F.concat(F.lit("t "), (F.col("id") % 500).cast("string")).alias("text"))
+    docs = docs.unionByName(tiny)
+    got = {r.doc_id: r.shard for r in S.assign_shards(docs, shards, part_groups=part_groups).collect()}
+    k1, k2 = F.xxhash64("text"), F.xxhash64(F.lit(1), F.col("text"))
+    rows = docs.select("doc_id", "text", k1.alias("k1"), k2.alias("k2"), F.xxhash64(k1, k2).alias("h")).collect()
+    groups = defaultdict(list)
+    for r in rows:
+        groups[r.k1, r.k2].append(r)
+    facts = {k: (sum(len(r.text.encode()) + 16 for r in g), sum(len(r.text.encode().split()) for r in g), len(g)) for k, g in groups.items()}
+    total = [sum(f[d] for f in facts.values()) for d in range(3)]
+    share = {k: tuple(f[d] / total[d] * shards for d in range(3)) for k, f in facts.items()}
+    where = {k: {got[r.doc_id] for r in g} for k, g in groups.items()}
+    assert all(len(x) == 1 for x in where.values()) and max(f[0] for f in facts.values()) < 0.9 * total[0] / shards
+    heavy = sorted((k for k in facts if facts[k][0] > total[0] / (shards * 1024)), key=lambda k: (-max(share[k]), k))
+    room = plainly_best([share[k] for k in heavy], [min(where[k]) for k in heavy], [[1.0] * 3 for _ in range(shards)])
+    parts = -(-len(facts) // part_groups)
+    light = [k for k in facts if facts[k][0] <= total[0] / (shards * 1024)]
+    assert len(heavy) > 100 and len(light) > 300
+    of = defaultdict(list)
+    for k in light:
+        of[groups[k][0].h % parts].append(k)
+    left = [shards - sum(share[k][d] for k in heavy) for d in range(3)]
+    for keys in of.values():
+        keys.sort(key=lambda k: (-max(share[k]), k))
+        own = [sum(share[k][d] for k in keys) / left[d] for d in range(3)]
+        plainly_best([share[k] for k in keys], [min(where[k]) for k in keys], [[r[d] * own[d] for d in range(3)] for r in room])
 
 
 def test_shards(spark, medium):
@@ -64,10 +111,14 @@ def test_shards_of_odd_rows(spark):
 
 
 def test_written_shards(spark, small, tmp_path):
-    docs = spark.read.parquet(f"{small}/documents.parquet")
-    S.write_shards(docs, str(tmp_path / "out"), shards=3)
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text", F.lit(1).alias("shard"), F.lit("s").alias("slot"), F.lit(2).alias("_id"))
+    odd = spark.createDataFrame([(None, "a", 1, "s", 2), (None, None, 1, "s", 2), (5, "twice", 1, "s", 2), (5, "twice", 1, "s", 2), (5, "thrice", 1, "s", 2)], docs.schema)
+    docs = docs.unionByName(odd)
+    plan = S.write_shards(docs, str(tmp_path / "out"), shards=3)
     back = spark.read.parquet(str(tmp_path / "out"))
-    assert back.count() == docs.count() and Counter(r._shard for r in back.collect()).keys() == {0, 1, 2}
+    assert Counter(tuple(r.row) for r in back.collect()) == Counter(map(tuple, docs.collect()))
+    assert {(r.row.doc_id, r.shard, r.slot) for r in back.collect()} == {(r.doc_id, r.shard, r.slot) for r in plan.collect()}
+    S.write_shards(docs.limit(0), str(tmp_path / "none"), shards=3)
 
 
 def plain_targets(sizes, weights, share, most):
