@@ -31,6 +31,12 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def beside(keep: list[str], own: list[str]) -> list[str]:
+    """The columns of `keep` that come along beside an operator's own; one with the name of an own column gives way to it."""
+    taken = {name.lower() for name in own}
+    return [c for c in keep if c.lower() not in taken]
+
+
 def texts(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
     """The values of a string column as UTF-8 bytes."""
     return column.cast(pa.binary()).to_pylist()
