@@ -13,8 +13,8 @@ from kinsift.llm.common import held_out
 from kinsift.storage import materialize
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, labelled: int, unlabelled: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, text, y) of at most `labelled` rows with a label (y 0 or 1) and `unlabelled` ones without (y null).
+def sample(docs: DataFrame, labels: DataFrame, label: str, labelled: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, text, y) of at most `labelled` rows with a label (y 0 or 1).
 
     None of them is held out. Which rows: those with the lowest hashes of their ids, so the same in every
     run. Of rows that repeat an id one is taken; of labels that repeat one, the larger. Other labels than
@@ -22,10 +22,7 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, labelled: int, unlabe
     """
     known = labels.where(F.col(label).isin(0, 1)).groupBy(F.col("doc_id").alias("k")).agg(F.max(label).cast("int").alias("y"))
     chosen = known.where(~held_out(F.col("k")) & F.col("k").isNotNull()).orderBy(F.xxhash64("k"), "k").limit(labelled)
-    if unlabelled:
-        rest = docs.select(F.col(id_col).alias("k")).where(F.col("k").isNotNull() & ~held_out(F.col("k"))).distinct().join(known, "k", "left_anti")
-        chosen = chosen.unionByName(rest.orderBy(F.xxhash64("k"), "k").limit(unlabelled).withColumn("y", F.lit(None).cast("int")))
-    chosen = F.broadcast(materialize(chosen, "chosen"))  # at most labelled + unlabelled rows
+    chosen = F.broadcast(materialize(chosen, "chosen"))  # at most `labelled` rows
     rows = docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("text")).join(chosen, "k")
     return materialize(rows.groupBy(F.col("k").alias("id")).agg(F.min("text").alias("text"), F.first("y").alias("y")), "sample")
 

@@ -24,7 +24,7 @@ from kinsift.llm.learning import lasso_logistic, sample, sigmoid
 #: Labelled rows that the rules are learned from, at the most.
 SAMPLE = 20_000
 TREES, DEPTH, BINS, RATE, LEAST_ROWS = 40, 3, 48, 0.3, 8
-#: Weight of the L1 penalty; rules at the most.
+#: The L1 penalty's first weight; how many rules an ensemble may have to be sparse. The penalty is raised until it is.
 STRENGTH, RULES = 2e-3, 120
 
 STATISTICS = [
@@ -181,10 +181,14 @@ def fit(x: np.ndarray, y: np.ndarray) -> Rules:
     if not rules:
         return Rules([], [], float(np.log(y.mean() / (1 - y.mean()))))
     a = np.stack([f for _, f in fired.values()], axis=1).astype(np.float32)
-    w, _ = lasso_logistic(a, y.astype(np.float32), STRENGTH)
-    use = np.argsort(-np.abs(w), kind="stable")[:RULES]
-    use = use[np.abs(w[use]) > 1e-4]
-    w, b = lasso_logistic(a[:, use], y.astype(np.float32), STRENGTH / 10)  # the shrinkage of those that stay is taken back
+    strength = STRENGTH
+    while True:
+        w, _ = lasso_logistic(a, y.astype(np.float32), strength)
+        use = np.flatnonzero(np.abs(w) > 1e-4)
+        if len(use) <= RULES:
+            break
+        strength *= 1.25
+    w, b = lasso_logistic(a[:, use], y.astype(np.float32), strength / 10)  # the shrinkage of those that stay is taken back
     return Rules([rules[i] for i in use], [float(v) for v in w], b)
 
 
@@ -208,7 +212,11 @@ def score(docs: DataFrame, model: Rules, carried: Column, text_col: str = "text"
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """The rows of docs, with all their columns, that score at least the threshold."""
+    """The rows of docs, with all their columns, that score at least the threshold.
+
+    Null and empty texts score like any; repeated rows and rows with null ids are each judged. An empty table
+    gives an empty result, and without labels of both kinds all rows have one score. Columns may have any names.
+    """
     return score(docs, learn(docs, labels), F.struct("*")).where(F.col("score") >= threshold).select("carried.*")
 
 

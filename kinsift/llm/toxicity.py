@@ -8,13 +8,14 @@ occurs. Pattern voters look at the text's form: direct address with an insult's
 masked words, piled exclamation marks.
 
 Label model. Every voter has a table of how it votes for toxic and for other texts. The tables and the
-posterior of each text are estimated together by expectation maximization, with the known labels held
-fixed, over labelled and unlabelled rows. Voters aren't independent: what their votes have in common
-beyond the label is measured as the correlation of their residuals, and a voter's say is divided by the
-sum of its correlations, so that a clique of voters counts about once.
+posterior of each text are estimated together by expectation maximization over the sample: known labels
+say which table a row's votes count for, posteriors say it for rows without one. Voters aren't
+independent: what their votes have in common beyond the label is measured as the correlation of their
+residuals, and a voter's say is divided by the sum of its correlations, so that a clique of voters counts
+about once.
 
 Classifier. A linear classifier (logistic regression on lexicon entries and patterns) is trained on the
-posteriors, and scores every text.
+posteriors of all rows of the sample, whether their labels are known or not, and scores every text.
 """
 
 from __future__ import annotations
@@ -31,12 +32,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from kinsift.llm.common import held_out, pieces, read
+from kinsift.llm.common import beside, held_out, pieces, read
 from kinsift.llm.learning import sample, sigmoid, sparse_logistic
 from kinsift.storage import materialize
 
-#: Rows with and without a label that are learned from, and entries of the lexicon, at the most.
-LABELLED, UNLABELLED, LEXICON = 20_000, 10_000, 4000
+#: Labelled rows that are learned from, at the most.
+LABELLED = 20_000
 BEGINNINGS = range(3, 9)
 LEAST_TEXTS = 3
 #: Bounds of the voters' strengths: log odds of an entry.
@@ -67,7 +68,7 @@ def occurring(text: str | None) -> set[str]:
 
 
 def mine(rows: DataFrame) -> list[tuple[str, float]]:
-    """(entry, log odds) of the lexicon, strongest evidence first. rows: text, y; those without y don't count."""
+    """(entry, log odds) of the lexicon, strongest evidence first. rows: a bounded sample (text, y); those without y don't count."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, 1 << 20):
@@ -89,8 +90,8 @@ def mine(rows: DataFrame) -> list[tuple[str, float]]:
     strong = counted.where(F.col("p") >= LEAST_TEXTS).withColumn("odds", odds).withColumn("ratio", ratio).where(F.col("odds") > STRENGTHS[0])
     strong = materialize(strong, "entries")
     tries = max(strong.count(), 100)
-    found = strong.where(F.col("ratio") > 2 * math.log(tries)).orderBy(F.desc("ratio"), "entry").limit(LEXICON)
-    return [(r.entry, r.odds) for r in found.select("entry", "odds").collect()]
+    found = strong.where(F.col("ratio") > 2 * math.log(tries)).select("entry", "odds", "ratio").collect()
+    return [(r.entry, r.odds) for r in sorted(found, key=lambda r: (-r.ratio, r.entry))]
 
 
 class Hits:
@@ -148,14 +149,17 @@ class LabelModel(NamedTuple):
 
 
 def label_model(cast: np.ndarray, y: np.ndarray) -> tuple[LabelModel, np.ndarray]:
-    """The model of votes, and every row's posterior. y: 1, 0, or NaN where the label isn't known."""
+    """The model of votes, and every row's posterior. y: 1, 0, or NaN where the label isn't known.
+
+    Labels only say which of a voter's two tables a row counts for; the posterior is the votes' alone.
+    """
     known = ~np.isnan(y)
     prior = float(np.clip(y[known].mean() if known.any() else 0.1, 0.01, 0.99))
     one_hot = np.stack([cast == v for v in range(3)], axis=2).astype(float)
-    q = np.where(known, np.nan_to_num(y), np.clip(prior + 0.3 * ((cast == 1).sum(1) > 0) - 0.05, 0.02, 0.98))
-    say = np.ones(cast.shape[1])
-    model = LabelModel(np.full((cast.shape[1], 2, 3), 1 / 3), say, prior)
+    guess = np.clip(prior + 0.3 * ((cast == 1).sum(1) > 0) - 0.05, 0.02, 0.98)
+    model, posterior = LabelModel(np.full((cast.shape[1], 2, 3), 1 / 3), np.ones(cast.shape[1]), prior), guess
     for _ in range(ROUNDS):
+        q = np.where(known, np.nan_to_num(y), posterior)
         weight = np.stack([1 - q, q])
         tables = np.einsum("yi,ijv->jyv", weight, one_hot) + 0.5
         tables /= tables.sum(axis=2, keepdims=True)
@@ -165,11 +169,12 @@ def label_model(cast: np.ndarray, y: np.ndarray) -> tuple[LabelModel, np.ndarray
         shared = np.abs(residual.T @ residual / len(cast) / spread / spread[:, None])
         say = 1 / np.maximum(np.where(shared > 0.1, np.minimum(shared, 1), 0).sum(axis=1), 1)
         model = LabelModel(tables, say, prior)
-        new = np.where(known, np.nan_to_num(y), model.posterior(cast))
-        if np.abs(new - q).max() < 1e-4:
+        new = model.posterior(cast)
+        settled = np.abs(new - posterior).max() < 1e-4
+        posterior = new
+        if settled:
             break
-        q = new
-    return model, q
+    return model, posterior
 
 
 class Classifier(NamedTuple):
@@ -178,9 +183,12 @@ class Classifier(NamedTuple):
     intercept: float
 
 
-def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", labelled: int = LABELLED, unlabelled: int = UNLABELLED) -> Classifier:
-    """A classifier from at most so many rows, none of them held out. Without labels of both kinds: a score of 0.05 or 0.95 for all."""
-    rows = sample(docs, labels, label, labelled, unlabelled)
+def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", labelled: int = LABELLED) -> Classifier:
+    """A classifier from at most `labelled` labelled rows, none of them held out. Without labels of both kinds: a score of 0.05 or 0.95 for all.
+
+    Repeated ids count once, with the larger label; null ids and other labels than 0 and 1 don't count.
+    """
+    rows = sample(docs, labels, label, labelled)
     lexicon = mine(rows)
     entries = [e for e, _ in lexicon]
 
@@ -209,18 +217,22 @@ def score(docs: DataFrame, model: Classifier, keep: list[str], text_col: str = "
     """The columns `keep` and `score` (0 to 1) for every row of docs.
 
     Null and empty texts have no words and the score of the intercept. Null and repeated ids and repeated
-    rows stay rows; an empty table gives an empty result. Only the named columns are looked at.
+    rows stay rows; an empty table gives an empty result. Only the named columns are looked at; a column
+    of `keep` with the name score gives way to the score.
     """
     entries, weights, intercept = model
+    keep = beside(keep, ["score"])
+    inner = [f"_{i}" for i in range(len(keep))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hits = Hits(entries)
         for batch in pieces(batches):
-            raw = np.array([intercept + sum(map(weights.__getitem__, sorted(hits(x)))) for x in batch.column(len(keep)).to_pylist()], float)
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(sigmoid(raw))], [*keep, "score"])
+            raw = np.array([intercept + sum(map(weights.__getitem__, sorted(hits(x)))) for x in batch.column(len(inner)).to_pylist()], float)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(inner)], pa.array(sigmoid(raw))], [*inner, "score"])
 
-    schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep] + ["score double"])
-    return docs.select(*keep, F.col(text_col).cast("string").alias("_text")).mapInArrow(run, schema)
+    schema = ", ".join([f"{i} {docs.schema[c].dataType.simpleString()}" for i, c in zip(inner, keep)] + ["score double"])
+    rows = docs.select(*(F.col(c).alias(i) for i, c in zip(inner, keep)), F.col(text_col).cast("string").alias("_text"))
+    return rows.mapInArrow(run, schema).select(*(F.col(i).alias(c) for i, c in zip(inner, keep)), "score")
 
 
 def op2_toxicity(spark, sf_dir: str, threshold: float = 0.3) -> DataFrame:

@@ -1,3 +1,7 @@
+import math
+import re
+import zlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -30,8 +34,6 @@ def measured(spark, sf, rows, label):
 
 
 def test_held_out(spark):
-    import zlib
-
     rows = spark.range(200).select("id", held_out(F.col("id")).alias("h")).collect()
     assert all(r.h == (zlib.crc32(str(r.id).encode()) % 4 == 2) for r in rows)
     assert spark.range(1).select(held_out(F.lit(None).cast("long")).alias("h")).first().h is False
@@ -51,6 +53,60 @@ def test_toxicity_on_held_out_rows(spark, medium):
     assert area > 0.8 and right > 0.9
 
 
+def test_quality_query_end_to_end(spark, small):
+    """The query's scores are those of its rules, told from whole texts one by one."""
+    frame = spark.read.parquet(f"{small}/documents.parquet")
+    model = Q.learn(frame, spark.read.parquet(f"{small}/labels.parquet"))
+    got = {r.doc_id: r for r in Q.op3_quality(spark, small).collect()}
+    texts = {r.doc_id: r.text for r in frame.collect()}
+    assert got.keys() == texts.keys() and 0 < len(model.rules) <= Q.RULES
+    for i, text in texts.items():
+        x = Q.statistics(text.encode())
+        margin = model.intercept
+        for rule, weight in zip(model.rules, model.weights):
+            margin += weight * all((x[j] > limit) == above for j, above, limit in rule)
+        want = 1 / (1 + math.exp(-margin))
+        assert abs(got[i].score - want) < 1e-9 and got[i].predicted == (got[i].score >= 0.7)
+        assert got[i].held_out == (zlib.crc32(str(i).encode()) % 4 == 2)
+
+
+def test_toxicity_query_end_to_end(spark, medium):
+    """The query's scores are those of its lexicon and patterns, looked for in whole texts one by one."""
+    frame = spark.read.parquet(f"{medium}/documents.parquet")
+    model = X.learn(frame, spark.read.parquet(f"{medium}/labels.parquet"))
+    got = {r.doc_id: r for r in X.op2_toxicity(spark, medium).collect()}
+    assert got.keys() == {r.doc_id for r in frame.select("doc_id").collect()} and model.entries
+    for r in frame.collect():
+        words = {w for w in re.findall(r"[^\W\d_]+", r.text.lower())}
+        margin = model.intercept
+        for entry, weight in zip(model.entries, model.weights):
+            name, least = entry.rstrip("$+"), 2 if entry.endswith("+") else 1
+            if entry.endswith("$+"):
+                holds = False  # a word is one of its own kind: it can't be there twice
+            elif entry.endswith("$"):
+                holds = name in words
+            else:
+                holds = sum(w.startswith(name) for w in words) >= least
+            margin += weight * holds
+        margin += sum(w for w, (_, p) in zip(model.weights[len(model.entries) :], X.PATTERNS) if p.search(r.text))
+        assert abs(got[r.doc_id].score - L.sigmoid(margin)) < 1e-9 and got[r.doc_id].predicted == (got[r.doc_id].score >= 0.3)
+
+
+def test_known_labels_are_no_targets():
+    """A row whose label contradicts all its votes gets the posterior of its votes."""
+    rng = np.random.default_rng(5)
+    y = (rng.random(4000) < 0.3).astype(float)
+    cast = np.stack([np.where(rng.random(4000) < 0.95, y, 1 - y).astype(np.int8) for _ in range(3)], axis=1)
+    cast[:5], y[:5] = 1, 0
+    _, posterior = X.label_model(cast, y)
+    assert (posterior[:5] > 0.9).all()
+
+
+def test_a_kept_column_gives_way_to_the_score(spark):
+    out = X.score(docs(spark), X.Classifier([], np.zeros(len(X.PATTERNS)), 0.0), ["doc_id", "score", "y"])
+    assert out.columns == ["doc_id", "y", "score"] and all(r.score == 0.5 for r in out.collect())
+
+
 def test_compiled_rules_equal_plain_ones(spark, small):
     texts = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").collect()
     x = np.array([Q.statistics(r.text.encode()) for r in texts])
