@@ -6,12 +6,17 @@ and similarity is looked for among first members. Groups, reasons and scores are
 
 from __future__ import annotations
 
+from itertools import combinations
+from math import comb
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from kinsift.functions import measures as M
 from kinsift.options import IMAGE_EXTENSIONS, THUMBNAIL_MEAN, VIDEO_EXTENSIONS, ScanOptions
 from kinsift.storage import materialize
 
+#: Blocks in which close hashes are made to agree, at the most.
+MOST_BLOCKS = 4
 
 
 def same_size(files: DataFrame) -> DataFrame:
@@ -46,42 +51,60 @@ def exact_edges(hashed: DataFrame) -> DataFrame:
 
 
 class Bands:
-    """A hash of `bits` bits cut into one band more than the threshold: what is within the threshold agrees in a band."""
+    """Keys of which two hashes within a threshold share one, whatever their bits.
+
+    A hash of `bits` bits is cut into threshold + c blocks. Two hashes within the threshold agree in at least
+    c of them, so each choice of c blocks is a key. More blocks make keys longer and more in number; c is the
+    one for which `items` hashes make the fewest rows and candidates, if bits are evenly spread.
+    """
 
-    def __init__(self, threshold: int, bits: int) -> None:
+    def __init__(self, threshold: int, bits: int, items: float = 0) -> None:
         if threshold >= bits:
             raise ValueError("every pair is within this threshold")
-        n = max(threshold, 0) + 1
-        self.edges = [round(i * bits / n) for i in range(n + 1)]
-        self.masks = [F.lit((1 << hi - lo) - 1 if hi - lo < 64 else -1).cast("long") for lo, hi in zip(self.edges, self.edges[1:])]
-
-    def value(self, dhash: Column, band: int) -> Column:
-        return F.shiftrightunsigned(dhash, self.edges[band]).bitwiseAND(self.masks[band])
+        t = max(threshold, 0)
+        chosen = min(range(1, min(MOST_BLOCKS, bits - t) + 1), key=lambda c: self.cost(t, c, bits, items))
+        n = t + chosen
+        self.cuts = [round(i * bits / n) for i in range(n + 1)]
+        blocks = [(1 << hi) - (1 << lo) for lo, hi in zip(self.cuts, self.cuts[1:])]
+        self.blocks, self.agree = blocks, chosen
+        self.choices = [sum(1 << i for i in some) for some in combinations(range(n), chosen)]
+        #: Bits of the shortest key.
+        self.width = min(sum(blocks[i].bit_count() for i in range(n) if some >> i & 1) for some in self.choices)
+
+    @staticmethod
+    def cost(threshold: int, agree: int, bits: int, items: float) -> float:
+        keys = comb(threshold + agree, agree)
+        return items * keys + items * items / 2 * keys / 2 ** (bits * agree // (threshold + agree)) + keys
+
+    def key(self, dhash: Column, choice: int) -> Column:
+        mask = sum(m for i, m in enumerate(self.blocks) if choice >> i & 1)
+        return dhash.bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask).cast("long"))
 
     def cut(self, items: DataFrame, keys: list[str], names: list[str], side: str) -> DataFrame:
-        """keys, band, value and side_X of names: a row for each band of each item with a hash."""
-        parts = F.array(*(F.struct(F.lit(i).alias("band"), self.value(F.col("dhash"), i).alias("value")) for i in range(len(self.masks))))
-        rows = items.where("dhash IS NOT NULL").select(*keys, *names, F.explode(parts).alias("_b"))
-        return rows.select(*keys, F.col("_b.band").alias("band"), F.col("_b.value").alias("value"), *(F.col(c).alias(f"{side}_{c}") for c in names))
+        """keys, band, value and side_X of names and `others`: a row for each key of each item with a hash. others: the blocks before a key's last that aren't in it."""
+        one = lambda c: F.struct(F.lit(c).cast("long").alias("band"), self.key(F.col("dhash"), c).alias("value"), F.lit((1 << c.bit_length() - 1) - 1 & ~c).cast("long").alias("others"))
+        rows = items.where("dhash IS NOT NULL").select(*keys, *names, F.explode(F.array(*map(one, self.choices))).alias("_b"))
+        return rows.select(*keys, "_b.band", "_b.value", F.col("_b.others").alias(f"{side}_others"), *(F.col(c).alias(f"{side}_{c}") for c in names))
 
     def first(self, xor: Column) -> Column:
-        """The first band in which two hashes agree."""
-        out = F.lit(len(self.masks))
-        for i in range(len(self.masks) - 1, -1, -1):
-            out = F.when(self.value(xor, i) == 0, i).otherwise(out)
-        return out
+        """Whether a pair that shares a key comes from it: no block before the key's last agrees but those of the key."""
+        agreed = F.lit(0).cast("long")
+        for i in range(len(self.blocks)):
+            agreed += F.when(self.key(xor, 1 << i) == 0, 1 << i).otherwise(0)
+        return agreed.bitwiseAND(F.col("l_others")) == 0
 
 
 def hamming_pairs(items: DataFrame, keys: list[str], threshold: int, keep: list[str], bits: int = 64, also: Column | None = None) -> DataFrame:
     """(src, dst, distance and l_/r_ columns of `keep`) of items with equal keys whose dhash differs in at most threshold bits.
 
-    also: a further condition on the columns l_X and r_X. A pair comes once, from the first band in which
-    it agrees, so that nothing has to be made distinct afterwards. A negative threshold pairs nothing.
+    also: a further condition on the columns l_X and r_X. A pair comes once, from the first blocks in which
+    it agrees, so that nothing has to be made distinct afterwards. A negative threshold pairs nothing. The
+    items are counted first, since their number decides how long the keys are.
     """
-    bands, names = Bands(threshold, bits), ["id", "dhash", *keep]
+    bands, names = Bands(threshold, bits, items.count()), ["id", "dhash", *keep]
     left, right = (bands.cut(items, keys, names, side) for side in "lr")
     xor = F.col("l_dhash").bitwiseXOR(F.col("r_dhash"))
-    close = (F.col("l_id") < F.col("r_id")) & (F.bit_count(xor) <= threshold) & (F.col("band") == bands.first(xor))
+    close = (F.col("l_id") < F.col("r_id")) & (F.bit_count(xor) <= threshold) & bands.first(xor)
     if also is not None:  # looked at for close pairs alone, whatever order the optimizer gives conditions
         close &= F.when(F.bit_count(xor) <= threshold, also).otherwise(F.lit(False))
     pairs = left.join(right, [*keys, "band", "value"]).where(close)
@@ -90,10 +113,10 @@ def hamming_pairs(items: DataFrame, keys: list[str], threshold: int, keep: list[
 
 def hamming_search(items: DataFrame, queries: DataFrame, threshold: int, bits: int = 64) -> DataFrame:
     """(query_id, id, distance): the items within threshold bits of each query, itself included if it is one. Both: id, dhash."""
-    bands = Bands(threshold, bits)
+    bands = Bands(threshold, bits, items.count())
     left, right = bands.cut(queries, [], ["id", "dhash"], "l"), bands.cut(items, [], ["id", "dhash"], "r")
     xor = F.col("l_dhash").bitwiseXOR(F.col("r_dhash"))
-    near = left.join(right, ["band", "value"]).where((F.bit_count(xor) <= threshold) & (F.col("band") == bands.first(xor)))
+    near = left.join(right, ["band", "value"]).where((F.bit_count(xor) <= threshold) & bands.first(xor))
     return near.select(F.col("l_id").alias("query_id"), F.col("r_id").alias("id"), F.bit_count(xor).alias("distance"))
 
 
@@ -138,7 +161,7 @@ def image_edges(prints: DataFrame, threshold: int, bits: int = 64, mean: float =
     same = star(firsts, ["width", "height", "dhash", "look"], "image")
     single = firsts.where("look IS NULL OR dhash IS NULL").select("width", "height", "id", "dhash", "thumbnail")
     looks = firsts.where("look IS NOT NULL AND dhash IS NOT NULL").groupBy("width", "height", "dhash", "look").agg(F.min_by(F.struct("id", "thumbnail"), "id").alias("f"))
-    apart = looks.select("width", "height", "f.id", "dhash", "f.thumbnail").unionByName(single)
+    apart = materialize(looks.select("width", "height", "f.id", "dhash", "f.thumbnail").unionByName(single), "apart")
     alike = M.mean_difference(F.col("l_thumbnail"), F.col("r_thumbnail")) <= mean
     pairs = hamming_pairs(apart, ["width", "height"], threshold, ["thumbnail"], bits, alike)
     similar = pairs.select("src", "dst", F.lit("image").alias("reason"), M.similarity_score(F.col("distance"), threshold).alias("score"))
@@ -175,18 +198,18 @@ def video_metadata_candidates(videos: DataFrame) -> DataFrame:
     return videos.join(keys, same, "left_semi")
 
 
-def _frames(options: ScanOptions, count: int, bits: int) -> Bands | None:
-    """Bands for each of `count` frames: within the threshold in all, two videos are within its share in one frame. None if they would be too narrow to tell videos apart."""
-    bands = Bands(min(max(options.video_threshold, 0) // max(count, 1), bits - 1), bits)
-    return bands if bits // len(bands.masks) >= 8 else None
+def _frames(options: ScanOptions, count: int, bits: int, items: float) -> Bands | None:
+    """Keys for each of `count` frames: within the threshold in all, two videos are within its share in one frame. None if they would be too short to tell videos apart."""
+    bands = Bands(min(max(options.video_threshold, 0) // max(count, 1), bits - 1), bits, items)
+    return bands if bands.width >= 8 else None
 
 
 def _frame_pairs(videos: DataFrame, options: ScanOptions, count: int, bits: int) -> DataFrame:
-    """l_ and r_ id, duration and frame_hashes of videos that agree in resolution and about in duration, and in a band of a frame where frames have bands."""
+    """l_ and r_ id, duration and frame_hashes of videos that agree in resolution and about in duration, and in a key of a frame where frames have keys."""
     rows = _complete(videos).withColumn("_b", _bucket(F.col("duration")))
-    bands, keys = _frames(options, count, bits), ["width", "height", "_k"]
+    bands, keys = _frames(options, count, bits, videos.count()), ["width", "height", "_k"]
     if bands:
-        place = [F.struct(F.lit(f).alias("f"), F.lit(b).alias("b"), bands.value(F.get("frame_hashes", f), b).alias("v")) for f in range(count) for b in range(len(bands.masks))]
+        place = [F.struct(F.lit(f).alias("f"), F.lit(c).alias("b"), bands.key(F.get("frame_hashes", f), c).alias("v")) for f in range(count) for c in bands.choices]
         rows = rows.withColumn("_at", F.explode(F.array(*place))).where("_at.v IS NOT NULL")
         rows, keys = rows.select("*", "_at.f", "_at.b", "_at.v").drop("_at"), [*keys, "f", "b", "v"]
     names = ["id", "duration", "frame_hashes"]
