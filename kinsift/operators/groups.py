@@ -14,12 +14,12 @@ from kinsift.storage import materialize
 
 
 def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
-    """df with 1, 2, ... in the given order (which has to tell rows apart), without ordering all rows in one task."""
+    """df with 1, 2, ... in the given order, without ordering all rows in one task. Rows that tie get neighbouring numbers, in any order."""
     placed = materialize(df.orderBy(*order).withColumn("_part", F.spark_partition_id()), "ordered")
     counts = placed.groupBy("_part").agg(F.count("*").alias("_n"))  # a row for each task of the sort
     offsets = counts.select("_part", (F.sum("_n").over(W.orderBy("_part")) - F.col("_n")).alias("_before"))
     nth = F.row_number().over(W.partitionBy("_part").orderBy(*order))
-    return placed.withColumn("_nth", nth).join(F.broadcast(offsets), "_part").withColumn(name, (F.col("_before") + F.col("_nth")).cast("int")).drop("_part", "_nth", "_before")
+    return placed.withColumn("_nth", nth).join(F.broadcast(offsets), "_part").withColumn(name, (F.col("_before") + F.col("_nth")).cast("long")).drop("_part", "_nth", "_before")
 
 
 def members_of(files: DataFrame, labels: DataFrame) -> DataFrame:
@@ -59,12 +59,12 @@ def group_hashes(members: DataFrame, groups: DataFrame) -> DataFrame:
         if digest:
             yield _hash_batch([(now, digest.hexdigest()[:12])])
 
-    return rows.mapInArrow(run, "group_id int, group_hash string")
+    return rows.mapInArrow(run, "group_id long, group_hash string")
 
 
 def _hash_batch(done: list[tuple[int, str]]) -> pa.RecordBatch:
     ids, keys = zip(*done) if done else ((), ())
-    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(keys, pa.string())], ["group_id", "group_hash"])
+    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.string())], ["group_id", "group_hash"])
 
 
 def build_groups(files: DataFrame, edges: DataFrame, labels: DataFrame | None = None, with_hash: bool = True) -> tuple[DataFrame, DataFrame]:

@@ -6,17 +6,14 @@ buckets, and closes graphs by recursion where the plans use stars.
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from kinsift.functions import measures as M, paths as P
 from kinsift.operators import edges as E, groups as G, keeper as K, session as S, views as V
 from kinsift.operators.components import connected_components
 from kinsift.options import ScanOptions
-from kinsift.sources import filetree, tables as T
-from kinsift.storage import local_path, materialize, shared_dir
+from kinsift.sources import tables as T
+from kinsift.storage import materialize
 
 MARKERS = ("/src1/",)
 VIDEO = ScanOptions(video_threshold=60, video_frame_threshold=14)
@@ -162,14 +159,14 @@ def exact_edges(spark, sf):
     return E.exact_edges(T.hashed_documents(docs(spark, sf)))
 
 
-@query("exact_groups", f"WITH {EXACT} SELECT CAST(group_id AS INT) AS group_id, kind, score, n_members, CAST(n_bytes AS BIGINT) AS n_bytes, first_path FROM numbered")
+@query("exact_groups", f"WITH {EXACT} SELECT CAST(group_id AS BIGINT) AS group_id, kind, score, n_members, CAST(n_bytes AS BIGINT) AS n_bytes, first_path FROM numbered")
 def exact_groups(spark, sf):
     return exact(spark, sf)[1].select("group_id", "kind", "score", "n_members", "n_bytes", F.col("first_path_cf").alias("first_path"))
 
 
 @query(
     "cross_root_groups",
-    f"""WITH {EXACT} SELECT CAST(group_id AS INT) AS group_id, array_to_string(list_sort(list(DISTINCT root)), ',') AS roots, count(*) AS n
+    f"""WITH {EXACT} SELECT CAST(group_id AS BIGINT) AS group_id, array_to_string(list_sort(list(DISTINCT root)), ',') AS roots, count(*) AS n
     FROM members GROUP BY group_id HAVING count(DISTINCT root) = 2""",
 )
 def cross_root_groups(spark, sf):
@@ -180,7 +177,7 @@ def cross_root_groups(spark, sf):
 
 @query(
     "group_hash",
-    f"""WITH {EXACT} SELECT CAST(group_id AS INT) AS group_id,
+    f"""WITH {EXACT} SELECT CAST(group_id AS BIGINT) AS group_id,
     substr(sha256('kind' || chr(0) || 'exact' || chr(0) || 'score' || chr(0) || '100' || chr(0) || 'reason' || chr(0) || 'exact' || chr(0)
       || string_agg('record' || chr(0) || path || chr(0) || root || chr(0) || size || chr(0) || exact_hash || chr(0), '' ORDER BY path, id)), 1, 12) AS group_hash
     FROM members GROUP BY group_id""",
@@ -189,7 +186,7 @@ def group_hash(spark, sf):
     return exact(spark, sf, True)[1].select("group_id", "group_hash")
 
 
-@query("group_members", f"WITH {EXACT} SELECT CAST(group_id AS INT) AS group_id, CAST(pos AS INT) AS pos, id, path FROM members")
+@query("group_members", f"WITH {EXACT} SELECT CAST(group_id AS BIGINT) AS group_id, CAST(pos AS BIGINT) AS pos, id, path FROM members")
 def group_members(spark, sf):
     return exact(spark, sf)[0].select("group_id", "pos", "id", "path")
 
@@ -217,7 +214,7 @@ def duplicate_name_flags(spark, sf):
     return K.copy_names(exact(spark, sf)[0]).select("id", "is_copy_name")
 
 
-@query("recommended_actions", f"WITH {ACTED} SELECT CAST(group_id AS INT) AS group_id, id, action FROM acted")
+@query("recommended_actions", f"WITH {ACTED} SELECT CAST(group_id AS BIGINT) AS group_id, id, action FROM acted")
 def recommended_actions(spark, sf):
     return K.recommended(exact(spark, sf)[0], MARKERS).select("group_id", "id", "action")
 
@@ -225,7 +222,7 @@ def recommended_actions(spark, sf):
 def _keep_root_sql(root: str) -> str:
     chosen = f"SELECT * FROM (SELECT *, max(root = '{root}') OVER (PARTITION BY group_id) AS any_in FROM members) WHERE root = '{root}' OR NOT any_in"
     return f"""WITH {EXACT}, cand AS ({chosen}), {STEMS}
-    SELECT CAST(m.group_id AS INT) AS group_id, m.id, CASE WHEN b.is_keeper THEN 'KEEP' ELSE 'DELETE' END AS action FROM members m LEFT JOIN best b ON b.id = m.id"""
+    SELECT CAST(m.group_id AS BIGINT) AS group_id, m.id, CASE WHEN b.is_keeper THEN 'KEEP' ELSE 'DELETE' END AS action FROM members m LEFT JOIN best b ON b.id = m.id"""
 
 
 def _keep_root(root: str):
@@ -244,7 +241,7 @@ def delete_candidates(spark, sf):
 
 @query(
     "action_counts",
-    f"""WITH {ACTED} SELECT CAST(group_id AS INT) AS group_id, count(*) FILTER (action = 'KEEP') AS keep, count(*) FILTER (action = 'DELETE') AS "delete",
+    f"""WITH {ACTED} SELECT CAST(group_id AS BIGINT) AS group_id, count(*) FILTER (action = 'KEEP') AS keep, count(*) FILTER (action = 'DELETE') AS "delete",
     CAST(0 AS BIGINT) AS deleted FROM acted GROUP BY group_id""",
 )
 def action_counts(spark, sf):
@@ -253,7 +250,7 @@ def action_counts(spark, sf):
 
 @query(
     "unsafe_groups",
-    f"""WITH {ACTED} SELECT CAST(group_id AS INT) AS group_id FROM (SELECT group_id, CASE WHEN is_keeper AND group_id % 3 = 0 THEN 'DELETE' ELSE action END AS a FROM acted)
+    f"""WITH {ACTED} SELECT CAST(group_id AS BIGINT) AS group_id FROM (SELECT group_id, CASE WHEN is_keeper AND group_id % 3 = 0 THEN 'DELETE' ELSE action END AS a FROM acted)
     GROUP BY group_id HAVING bool_and(a IN ('DELETE', 'DELETED'))""",
 )
 def unsafe_groups(spark, sf):
@@ -264,7 +261,7 @@ def unsafe_groups(spark, sf):
 
 @query(
     "deleted_session",
-    f"""WITH {ACTED} SELECT CAST(group_id AS INT) AS group_id, id,
+    f"""WITH {ACTED} SELECT CAST(group_id AS BIGINT) AS group_id, id,
     CASE WHEN action = 'DELETE' AND id % 2 = 0 THEN 'DELETED' ELSE CASE WHEN is_keeper THEN 'KEEP' ELSE 'DELETE' END END AS action FROM acted""",
 )
 def deleted_session(spark, sf):
@@ -290,7 +287,7 @@ _MODES_SQL = {
 
 
 def _ranks_sql() -> str:
-    ranks = [f"CAST(row_number() OVER (ORDER BY {keys.format(d=d)}, group_id, pos) AS INT) AS {mode}_{d.lower()}" for mode, keys in _MODES_SQL.items() for d in ("ASC", "DESC")]
+    ranks = [f"CAST(row_number() OVER (ORDER BY {keys.format(d=d)}, group_id, pos) AS BIGINT) AS {mode}_{d.lower()}" for mode, keys in _MODES_SQL.items() for d in ("ASC", "DESC")]
     return f"WITH {ACTED} SELECT id, {', '.join(ranks)} FROM acted"
 
 
@@ -311,7 +308,7 @@ def session_rows_by_mode(spark, sf):
     "group_details",
     f"""WITH {ACTED}, h AS (SELECT group_id, substr(sha256('kind' || chr(0) || 'exact' || chr(0) || 'score' || chr(0) || '100' || chr(0) || 'reason' || chr(0) || 'exact' || chr(0)
       || string_agg('record' || chr(0) || path || chr(0) || root || chr(0) || size || chr(0) || exact_hash || chr(0), '' ORDER BY path, id)), 1, 12) AS k FROM members GROUP BY group_id)
-    SELECT CAST(group_id AS INT) AS group_id, 'Group ' || group_id || ': files=' || count(*) || ' key=' || any_value(k) || ' kind=exact score=100 keep=' || count(*) FILTER (action = 'KEEP')
+    SELECT CAST(group_id AS BIGINT) AS group_id, 'Group ' || group_id || ': files=' || count(*) || ' key=' || any_value(k) || ' kind=exact score=100 keep=' || count(*) FILTER (action = 'KEEP')
       || ' delete=' || count(*) FILTER (action = 'DELETE') || ' deleted=0' AS detail FROM acted JOIN h USING (group_id) GROUP BY group_id""",
 )
 def group_details(spark, sf):
@@ -387,7 +384,7 @@ def components(spark, sf):
 
 @query(
     "mixed_groups",
-    recursive(f"""{MIXED} SELECT CAST(row_number() OVER (ORDER BY n_members DESC, kind, first_path, component) AS INT) AS group_id, kind, score, n_members,
+    recursive(f"""{MIXED} SELECT CAST(row_number() OVER (ORDER BY n_members DESC, kind, first_path, component) AS BIGINT) AS group_id, kind, score, n_members,
     CAST(n_bytes AS BIGINT) AS n_bytes, first_path FROM mixed"""),
 )
 def mixed_groups(spark, sf):
@@ -503,16 +500,3 @@ def probe_output_parse(spark, sf):
 def page_names(spark, sf):
     name = P.base_name(F.col("url"))
     return T.read(spark, sf, "pages").select("page_id", name.alias("name"), P.extension(name).alias("extension"))
-
-
-@query("file_tree_scan")
-def file_tree_scan(spark, sf):
-    """Two overlapping folders with empty, hidden and equal files, written to the shared folder; needs folders that all executors reach by path."""
-    top = os.path.join(local_path(shared_dir(spark)) or tempfile.mkdtemp(), "tree")
-    for name, text in {"a/x.txt": "same", "a/b/y.TXT": "same", "a/.hidden": "", "a/b/_under": "", "a/b/z.bin": "other"}.items():
-        os.makedirs(os.path.dirname(os.path.join(top, name)), exist_ok=True)
-        with open(os.path.join(top, name), "w") as file:
-            file.write(text)
-    found = filetree.read_tree(spark, f"{top}/a", "A").unionByName(filetree.read_tree(spark, f"{top}/a/b", "B"))
-    files = filetree.union_roots(materialize(found.where("error IS NULL"), "found"), ["A", "B"])
-    return files.select("id", F.col("name_cf").alias("name"), P.root_label(F.col("roots")).alias("roots"), "size", "extension")
