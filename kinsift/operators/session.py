@@ -1,8 +1,10 @@
 """The state of a review: actions of members, as DataFrames.
 
 The state is a table of overrides (id, action) over KEEP, and a table of deleted ids that nothing takes
-back. Every change makes new tables; a change that looks at all members is a plan, one that names ids is
-a row added and the older row of the id taken out. What the driver holds is the plans, never the rows.
+back. A change that looks at all members writes a new table of overrides. What is said of single records
+(set_action, toggle) is a note of one id that the driver holds, one for each id that somebody named, and is
+laid over the table when rows are asked for; the next change of all members takes the notes in. So an edit
+costs a look at one record and writes nothing.
 """
 
 from __future__ import annotations
@@ -33,13 +35,20 @@ class Session:
         self.members, self.groups, self.markers = members, groups, markers
         self.deleted = self.spark.createDataFrame([], "id long")
         self.actions = self.spark.createDataFrame([], "id long, action string")
+        self.notes: dict[int, str] = {}
         self.apply_recommended_to_all(markers)
 
+    def _noted(self) -> DataFrame:
+        return self.spark.createDataFrame(list(self.notes.items()), "id long, noted string")
+
     def with_actions(self) -> DataFrame:
         """members with `action`; what is deleted is DELETED, what has no action is KEEP."""
-        gone = self.deleted.distinct().withColumn("_gone", F.lit(True))
+        gone = self.deleted.withColumn("_gone", F.lit(True))
         rows = self.members.join(self.actions, "id", "left").join(gone, "id", "left")
-        return rows.withColumn("action", F.when(F.col("_gone"), "DELETED").otherwise(F.coalesce("action", F.lit("KEEP")))).drop("_gone")
+        action = F.coalesce("action", F.lit("KEEP"))
+        if self.notes:
+            rows, action = rows.join(self._noted(), "id", "left"), F.coalesce("noted", action)
+        return rows.withColumn("action", F.when(F.col("_gone"), "DELETED").otherwise(action)).drop("_gone", "noted")
 
     def rows(self) -> DataFrame:
         """A row for each member with its group's kind, score and, if it has one, group_hash; in the order of group_id and pos."""
@@ -50,28 +59,38 @@ class Session:
         row = self.with_actions().where(F.col("id") == record_id).select("action").first()
         return row.action if row else "KEEP"
 
+    def _fold(self) -> None:
+        """Take the notes into the tables."""
+        if self.notes:
+            notes, self.notes = self._noted().withColumnRenamed("noted", "action"), {}
+            self._delete(notes.where("action = 'DELETED'").select("id"))
+            self._override(notes)
+
     def _override(self, changes: DataFrame) -> None:
         """changes: id, action; the deleted keep theirs."""
+        self._fold()
         changes = changes.join(self.deleted, "id", "left_anti")
         rest = self.actions.join(changes, "id", "left_anti")
-        self.actions = materialize(rest.unionByName(changes), "actions")
+        self.actions = materialize(rest.unionByName(changes), "actions")  # older tables stay: rows handed out before still read them
+
+    def _delete(self, ids: DataFrame) -> None:
+        self.deleted = materialize(self.deleted.unionByName(ids).distinct(), "deleted")
 
     def set_action(self, record_id: int, action: str) -> None:
         """Nothing happens to a deleted record. DELETED is for good."""
         if action not in ACTIONS:
             raise ValueError(f"unknown action {action!r}")
-        one = self.spark.createDataFrame([(record_id, action)], "id long, action string")
-        self._override(one)
-        if action == "DELETED":
-            self.deleted = self.deleted.unionByName(one.select("id"))
+        if self.notes.get(record_id) != "DELETED":
+            self.notes[record_id] = action
 
     def toggle(self, record_id: int) -> None:
-        """From KEEP to DELETE, from anything else to KEEP."""
-        now = self.with_actions().where(F.col("id") == record_id)
-        flipped = F.when(F.col("action") == "KEEP", "DELETE").otherwise("KEEP")
-        self._override(materialize(now.select("id", flipped.alias("action")), "toggled"))
+        """From KEEP to DELETE, from anything else to KEEP; a deleted or unknown record stays as it is."""
+        row = self.with_actions().where(F.col("id") == record_id).select("action").first()
+        if row and row.action != "DELETED":
+            self.notes[record_id] = "DELETE" if row.action == "KEEP" else "KEEP"
 
     def apply_recommended_to_all(self, markers: tuple[str, ...]) -> None:
+        self._fold()
         self.actions = self.spark.createDataFrame([], "id long, action string")
         self._override(recommended(self.members, markers).select("id", "action"))
 
@@ -97,9 +116,8 @@ class Session:
         """paths: a table with a column `path`, or strings; compared as they are written."""
         if not isinstance(paths, DataFrame):
             paths = self.spark.createDataFrame([(p,) for p in paths], "path string")
-        gone = materialize(self.members.join(paths.select("path").distinct(), "path", "left_semi").select("id"), "deleted")
-        self._override(gone.withColumn("action", F.lit("DELETED")))
-        self.deleted = self.deleted.unionByName(gone)
+        self._fold()
+        self._delete(self.members.join(paths.select("path").distinct(), "path", "left_semi").select("id"))
 
     def totals(self) -> DataFrame:
         """One row: duplicate_file_count and duplicate_byte_count (kept ones too), delete_count and delete_bytes."""
