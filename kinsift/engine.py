@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from kinsift.operators import edges as E
 from kinsift.operators.groups import build_groups, scan_totals
 from kinsift.operators.session import Session
-from kinsift.options import ScanOptions, worker_plan
+from kinsift.options import ScanOptions
 from kinsift.sources import content, filetree
 from kinsift.storage import materialize
 
@@ -39,9 +39,14 @@ class ScanResult:
         return Session(self.members, self.groups, markers)
 
 
-def with_hashes(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+def dealt(files: DataFrame, tasks: int | None) -> DataFrame:
+    """files in at least one task, and in as many as are asked for: what opens files is slow, whatever their rows weigh."""
+    return files if tasks is None else files.repartition(max(tasks, 1), "path")
+
+
+def with_hashes(files: DataFrame, tasks: int | None = None) -> tuple[DataFrame, DataFrame]:
     """files with exact_hash, of those alone whose size another file has; and warnings of what couldn't be read."""
-    hashes = materialize(content.content_hashes(E.same_size(files)), "hashes")
+    hashes = materialize(content.content_hashes(dealt(E.same_size(files), tasks)), "hashes")
     hashed = files.join(hashes.select("id", "exact_hash"), "id", "left")
     bad = hashes.where("error IS NOT NULL").join(files.select("id", "path"), "id").select(F.lit("hash").alias("stage"), "path", F.concat(F.lit("no content of "), "path", F.lit(": "), "error").alias("message"))
     return hashed, bad
@@ -52,7 +57,7 @@ def scan_files(files: DataFrame, options: ScanOptions, warnings: DataFrame, prog
     spark = files.sparkSession
     say = progress or log.info
     say("comparing contents")
-    hashed, bad = with_hashes(files)
+    hashed, bad = with_hashes(files, options.hash_workers)
     hashed = materialize(hashed, "files")
     warnings = warnings.unionByName(bad)
     found = E.exact_edges(hashed)
@@ -60,14 +65,14 @@ def scan_files(files: DataFrame, options: ScanOptions, warnings: DataFrame, prog
     images = options.enable_image_similarity and content.has_pillow()
     if images:
         say("comparing pictures")
-        prints = materialize(content.picture_prints(E.image_candidates(hashed, options)), "pictures")
+        prints = materialize(content.picture_prints(dealt(E.image_candidates(hashed, options), options.image_workers)), "pictures")
         found = found.unionByName(E.image_edges(prints, options.image_threshold))
     elif options.enable_image_similarity:
         notes.append(("image", None, NO_PILLOW))
     videos = options.enable_video_similarity and content.has_ffmpeg()
     if videos:
         say("comparing videos")
-        known = E.video_candidates(hashed, options)
+        known = dealt(E.video_candidates(hashed, options), options.video_workers)
         facts = materialize(content.video_metadata(known), "metadata").join(hashed.select("id", "path"), "id")
         few = materialize(content.video_frames(E.video_metadata_candidates(facts), min(2, options.video_sample_count)), "few_frames")
         left = E.video_frame_candidates(few, options).drop("frame_hashes")
@@ -98,6 +103,4 @@ def scan(spark: SparkSession, options: ScanOptions, progress: Callable[[str], No
     problems = found.where("error IS NOT NULL").select(F.lit("collect").alias("stage"), "path", F.col("error").alias("message"))
     warnings = spark.createDataFrame(notes, "stage string, path string, message string").unionByName(problems)
     files = materialize(filetree.union_roots(found.where("error IS NULL"), list(roots), options.case_insensitive_paths), "collected")
-    plan = worker_plan(options, os.cpu_count() or 1)
-    say(f"tasks at a time: {', '.join(f'{k}={v}' for k, v in plan.items())}")
     return scan_files(files, options, warnings, progress)

@@ -54,7 +54,7 @@ def total(distances: Column) -> Column:
 
 
 def sample_ratios(count: int) -> list[float]:
-    """Where frames are taken: from a tenth to nine tenths of the duration, evenly."""
+    """Where frames are taken: from a tenth to nine tenths of the duration, evenly (fixed values)."""
     if count <= 1:
         return [0.5]
     step = 0.8 / (count - 1)
@@ -93,8 +93,3 @@ def probe_value(output: Column, key: str) -> Column:
 
 def action_rank(action: Column) -> Column:
     return F.when(action == "DELETE", 0).when(action == "KEEP", 1).when(action == "DELETED", 2).otherwise(3)
-
-
-def reports_progress(index: Column, count: Column) -> Column:
-    """Whether the index-th of count items is announced: the first, every fiftieth, the last."""
-    return (index == 1) | (index % 50 == 0) | (index == count)

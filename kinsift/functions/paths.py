@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import unicodedata
+from bisect import bisect_right
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
@@ -67,25 +69,18 @@ def root_label(roots: Column) -> Column:
     return F.array_join(F.array_sort(roots), ",")
 
 
-def char_width(char: str) -> int:
-    return 0 if unicodedata.combining(char) else 1 + (unicodedata.east_asian_width(char) in "FW")
+def cells(char: str) -> int:
+    """Terminal cells of a character (fixed rule): none for combining marks, two for wide ones."""
+    return 0 if unicodedata.combining(char) else {"F": 2, "W": 2}.get(unicodedata.east_asian_width(char), 1)
 
 
 def fit_text(text: str, width: int) -> str:
-    """Cut or fill up to a width in terminal cells."""
-    if width <= 0:
-        return ""
-    total = sum(map(char_width, text))
-    if total <= width:
-        return text + " " * (width - total)
-    dots = "..." if width > 3 else ""
-    room, kept = width - len(dots), ""
-    for char in text:
-        room -= char_width(char)
-        if room < 0:
-            break
-        kept += char
-    return kept + dots
+    """A text in exactly as many cells as a column has, or one less where a wide character is cut."""
+    ends = [0, *accumulate(map(cells, text))]  # where each beginning of the text ends
+    if ends[-1] <= width:
+        return text + " " * (width - ends[-1])
+    mark = "..."[: 3 * (width > 3)]
+    return text[: max(0, bisect_right(ends, width - len(mark)) - 1)] + mark
 
 
 def fit(text: Column, width: int) -> Column:

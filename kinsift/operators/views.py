@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from kinsift.functions.measures import action_rank, format_bytes, format_time
 from kinsift.functions.paths import base_name, fit, root_label, strip
+from kinsift.operators.groups import numbered
+from kinsift.storage import discard, materialize
 
 #: Lines of a log that are kept.
 LOG_LINES = 500
@@ -62,19 +64,29 @@ def group_details(rows: DataFrame) -> DataFrame:
 
 
 def preview(lines: DataFrame, column: str, most: int) -> list[str]:
-    """The first lines by order, and how many more there are."""
-    first = [r[0] for r in lines.select(column).orderBy(column).limit(most).collect()]
-    rest = lines.count() - len(first)
+    """The first lines by order, and how many more there are. What makes the lines is run once."""
+    held = materialize(lines.select(column), "preview")
+    first = [r[0] for r in held.orderBy(column).limit(most).collect()]
+    rest = held.count() - len(first)
+    discard(held)
     return [*first, f"... {rest:,} more"] if rest > 0 else first
 
 
 def log_lines(messages: DataFrame, keys: list[str] = [], order: list[str] = ["seq"], most: int | None = LOG_LINES) -> DataFrame:  # noqa: B006
     """Messages without line breaks, empty ones and repetitions of the one before; the last `most` of each log.
 
-    messages: keys (a log each), order, message. An empty message doesn't come between two equal ones.
+    messages: keys (a log each), order, message. An empty message doesn't come between two equal ones. Of
+    messages that tie in order, any comes first. Without keys all messages are one log, whose places come
+    from a sort over all tasks rather than from a window in one.
     """
     flat = strip(F.regexp_replace("message", r"\R", " "))
     rows = messages.withColumn("message", flat).where("message <> ''")
+    if not keys:
+        placed = numbered(rows, [F.asc(c) for c in order], "_at")
+        before = placed.select((F.col("_at") + 1).alias("_next"), F.col("message").alias("_last"))
+        told = placed.join(before, F.col("_at") == F.col("_next"), "left").where("_last IS NULL OR _last <> message")
+        told = told if most is None else told.orderBy(F.desc("_at")).limit(most)
+        return told.drop("_at", "_next", "_last")
     w = W.partitionBy(*keys).orderBy(*order)
     rows = rows.withColumn("_last", F.lag("message").over(w)).where("_last IS NULL OR _last <> message").drop("_last")
     if most is None:
@@ -83,13 +95,6 @@ def log_lines(messages: DataFrame, keys: list[str] = [], order: list[str] = ["se
     return rows.withColumn("_n", F.row_number().over(back)).where(F.col("_n") <= most).drop("_n")
 
 
-def log_pane_height(height: int) -> int:
-    """Lines of a screen of that height that show the log."""
-    if height < 8:
-        return max(1, height // 3) if height > 0 else 0
-    return min(10, max(5, height // 3), height - 4)
-
-
 def summary(files: DataFrame, groups: DataFrame, rows: DataFrame, warnings: DataFrame | None = None) -> DataFrame:
     """(summary): one line about a scan and its session's rows."""
     count = lambda n: F.format_number(n, 0)

@@ -17,7 +17,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from kinsift.functions.measures import sample_ratios
+from kinsift.functions.measures import pad_frames, sample_ratios
 
 #: Bytes read at once.
 BLOCK = 1 << 20
@@ -128,7 +128,7 @@ def video_metadata(files: DataFrame) -> DataFrame:
 
 
 def frame_hashes(path: str, duration: float, width: int, height: int, count: int) -> list[int] | None:
-    """Hashes of `count` frames. They are taken by one call; if that fails, one by one, and those that fail are left out; the last is repeated."""
+    """Hashes of `count` frames. They are taken by one call; if that fails, one by one, and those that fail are left out."""
     tool = shutil.which("ffmpeg")
     if not tool or not (duration > 0 and width > 0 and height > 0):
         return None
@@ -146,14 +146,14 @@ def frame_hashes(path: str, duration: float, width: int, height: int, count: int
     else:
         singles = [_output([*quiet, "-ss", f"{s:.3f}", "-i", path, "-frames:v", "1", "-vf", scale, *raw], FRAME_SECONDS) for s in seconds]
         frames = [x[:size] for x in singles if x is not None and len(x) >= size]
-    hashes = [dhash_of(f) for f in frames]
-    return (hashes + hashes[-1:] * count)[:count] if hashes else None
+    return [dhash_of(f) for f in frames] or None
 
 
 def video_frames(videos: DataFrame, count: int) -> DataFrame:
-    """videos (id, path, width, height, duration) with frame_hashes, those that have frames."""
+    """videos (id, path, width, height, duration) with `count` frame_hashes, those that have frames; the last one stands for those that failed."""
     rows = videos.select("id", "path", "duration", "width", "height")
     found = _over_paths(rows, lambda *x: (frame_hashes(*x, count),), "frame_hashes array<long>", [pa.list_(pa.int64())])
+    found = found.withColumn("frame_hashes", pad_frames(F.col("frame_hashes"), count))
     return videos.join(found.where("frame_hashes IS NOT NULL"), "id")
 
 

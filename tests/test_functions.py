@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from kinsift.functions import measures as M, paths as P
 from kinsift.operators import views as V
-from kinsift.options import ScanOptions, resolve_roots, worker_plan
+from kinsift.options import ScanOptions, resolve_roots
 from kinsift.sources import content
 
 
@@ -57,13 +57,6 @@ def test_sample_positions(spark):
     assert one(spark, M.sample_positions(F.lit(10.0), 2)) == [1.0, 9.0]
 
 
-def test_pad_frames(spark):
-    longs = F.array(F.lit(1).cast("long"), F.lit(2).cast("long"))
-    assert one(spark, M.pad_frames(longs, 4)) == [1, 2, 2, 2]
-    assert one(spark, M.pad_frames(longs, 1)) == [1]
-    assert one(spark, M.pad_frames(F.array().cast("array<bigint>"), 2)) is None
-
-
 def test_probe_output(spark):
     assert content.parse_probe(b"width=1920\nheight=1080\nduration=60.5\n") == (1920, 1080, 60.5)
     assert content.parse_probe(b"\x81\nwidth= 4\nwidth=9\nheight=2\nduration=1") == (4, 2, 1.0)
@@ -104,12 +97,6 @@ def test_fit():
     assert P.fit_text("abc", 0) == ""
 
 
-def test_worker_plan():
-    assert worker_plan(ScanOptions(), 32, 64) == {"hash": 8, "image": 8, "video": 4}
-    assert worker_plan(ScanOptions(), 32, 4) == {"hash": 2, "image": 2, "video": 1}
-    assert worker_plan(ScanOptions(hash_workers=0, video_workers=9), 1) == {"hash": 1, "image": 1, "video": 9}
-
-
 def test_roots():
     asked = []
     assert resolve_roots("C:\\data", None, asked.append) == ("C:\\data", "C:\\data") and not asked
@@ -124,14 +111,12 @@ def test_log_lines(spark):
     assert [r.message for r in V.log_lines(rows, most=2).orderBy("seq").collect()] == ["x", "2 files found."]
 
 
-def test_log_pane_height():
-    assert [V.log_pane_height(h) for h in (0, 3, 7, 8, 24, 100)] == [0, 1, 2, 4, 8, 10]
-
-
-def test_progress(spark):
-    rows = spark.range(1, 121).where(M.reports_progress(F.col("id"), F.lit(120))).collect()
-    assert [r.id for r in rows] == [1, 50, 100, 120]
-
-
 def test_time_format(spark):
     assert re.fullmatch(r"1970-01-01 00:01", one(spark, M.format_time(F.lit(60.0))))
+
+
+def test_pad_frames(spark):
+    longs = F.array(F.lit(1), F.lit(2)).cast("array<bigint>")
+    assert one(spark, M.pad_frames(longs, 4)) == [1, 2, 2, 2]
+    assert one(spark, M.pad_frames(longs, 1)) == [1]
+    assert one(spark, M.pad_frames(F.array().cast("array<bigint>"), 2)) is None
