@@ -7,8 +7,10 @@ top folder's subtree; problems come as rows with an `error`.
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -90,3 +92,31 @@ def union_roots(found: DataFrame, roots: list[str], case_insensitive: bool = Fal
     rows = rows.withColumn("name_cf", base_name(F.col("path_cf"))).withColumn("extension", extension(F.col("name_cf")))
     rows = numbered(rows, [F.asc("_rank"), F.asc("path")], "id").withColumn("id", F.col("id").cast("long") - 1)
     return rows.select("id", "path", "path_cf", "name_cf", "roots", "size", "mtime", "extension")
+
+
+def write_tree(rows: DataFrame, top: str) -> DataFrame:
+    """(path, size) of the files that rows (path, content, mtime) become below the folder top, which all executors reach.
+
+    path is relative; a null content makes a link that leads nowhere. A file appears whole or not at all, so
+    a task may run twice. Nothing is written before the result is computed.
+    """
+
+    def put(path: str, content: bytes | None, mtime: float) -> tuple[str, int | None]:
+        full = os.path.join(top, path)
+        os.makedirs(os.path.dirname(full), exist_ok=True)
+        part = f"{full}.{uuid.uuid4().hex}"
+        if content is None:
+            os.symlink(f"{full}.nowhere", part)
+        else:
+            with open(part, "wb") as file:
+                file.write(content)
+            os.utime(part, (mtime, mtime))
+        os.replace(part, full)
+        return path, None if content is None else len(content)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            done = [put(*x) for x in zip(*(c.to_pylist() for c in batch.columns))]
+            yield pa.RecordBatch.from_arrays([pa.array([d[k] for d in done], t) for k, t in enumerate((pa.string(), pa.int64()))], ["path", "size"])
+
+    return rows.select("path", "content", F.col("mtime").cast("double")).mapInArrow(run, "path string, size long")
