@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -59,6 +60,13 @@ def byte_symbols() -> list[str]:
     return [chr(b if b in own else next(free)) for b in range(256)]
 
 
+def grown(array: np.ndarray, size: int) -> np.ndarray:
+    """The array with room for `size` values, at least twice as many as before if it grows."""
+    if size <= len(array):
+        return array
+    return np.concatenate([array, np.zeros(max(size, 2 * len(array)) - len(array), array.dtype)])
+
+
 class Bpe:
     def __init__(self, path: str) -> None:
         with open(path, encoding="utf-8") as file:
@@ -107,16 +115,19 @@ class Bpe:
 
     def _forget(self) -> None:
         self.index: dict[str, int] = {}
-        self.start, self.length, self.held = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.start, self.length, self.held, self.used = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32), 0
         for text, i in self.added.items():  # the first entries, under a name that no word has
             self._keep([" " + text], np.array([i], np.int32), np.array([1]))
 
     def _keep(self, words: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
-        n = len(self.index)
+        n, used = len(self.index), self.used
         self.index.update(zip(words, range(n, n + len(words))))
-        self.start = np.concatenate([self.start, len(self.held) + np.cumsum(lengths) - lengths])
-        self.length = np.concatenate([self.length, lengths])
-        self.held = np.concatenate([self.held, ids.astype(np.int32)])
+        self.used += len(ids)
+        self.start, self.length = grown(self.start, n + len(words)), grown(self.length, n + len(words))
+        self.held = grown(self.held, self.used)
+        self.start[n : n + len(words)] = used + np.cumsum(lengths) - lengths
+        self.length[n : n + len(words)] = lengths
+        self.held[used : self.used] = ids
 
     def merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of words (none of them empty), one after another, and how many each has."""
@@ -183,7 +194,7 @@ class Bpe:
         split = [self.words(x) for x in texts]
         met = set(chain.from_iterable(split))
         new = list(met.difference(self.index))
-        if new and (len(self.index) + len(new) > WORDS or len(self.held) > IDS):
+        if new and (len(self.index) + len(new) > WORDS or self.used > IDS):
             self._forget()
             new = list(met.difference(self.index))
         for i in range(0, len(new), 1 << 16):
@@ -219,7 +230,8 @@ def gather(flat: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarra
 
 @lru_cache(maxsize=2)
 def load(path: str) -> Bpe:
-    return Bpe(path)
+    """The encoder of a file. A path that this machine hasn't stands for the public vocabulary of that name, wherever it lies here."""
+    return Bpe(path if os.path.exists(path) else vocabulary(os.path.basename(path)))
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
