@@ -27,8 +27,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from kinsift.llm.common import WORD, read, word_count
 from kinsift.storage import materialize
 
-#: Bands of the ranks of a source.
-BANDS = 4096
+#: Bands of the ranks of a source, and how many of them are summed up together.
+BANDS, COARSE = 4096, 64
 #: Rounds that settle which documents are certain.
 ROUNDS = 3
 
@@ -109,9 +109,15 @@ def copies(
     rank = F.when((F.col("missing") > 0) & (F.col("c") > 0) & (F.col("size") > 0), r / (1 + r))
     drawn = _with(rows, factors).withColumn("rank", rank).where("rank IS NOT NULL").withColumn("band", F.floor(F.col("rank") * BANDS).cast("int"))
 
+    # Running sums over a source's bands, in two levels of at most BANDS / COARSE and COARSE rows.
     bands = drawn.groupBy("source", "band").agg(F.sum("size").alias("words"), F.first("missing").alias("need"))
-    so_far = F.sum("words").over(W.partitionBy("source").orderBy("band"))
-    bands = bands.withColumn("before", so_far - F.col("words"))
+    bands = bands.withColumn("part", F.floor(F.col("band") / COARSE).cast("int"))
+    parts = bands.groupBy("source", "part").agg(F.sum("words").alias("in_part"))
+    parts = parts.withColumn("so_far", F.sum("in_part").over(W.partitionBy("source").orderBy("part")) - F.col("in_part"))
+    parts = parts.select(F.col("part").alias("p"), "so_far", "source")
+    bands = _with(bands.withColumn("p", F.col("part")), parts, also="p")
+    within = F.sum("words").over(W.partitionBy("source", "part").orderBy("band")) - F.col("words")
+    bands = bands.withColumn("before", F.col("so_far") + within)
     last = materialize(bands.where("before < need AND before + words >= need").select("source", "band", "before"), "last")
     inside = drawn.join(last.select(F.col("source").alias("s"), F.col("band").alias("b"), "before"), F.col("source").eqNullSafe(F.col("s")) & (F.col("band") == F.col("b")))
     run = F.sum("size").over(W.partitionBy("source", "band").orderBy("rank", "id")) + F.col("before")  # rows of equal rank and id together
@@ -148,15 +154,24 @@ def copies(
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
-    """docs with every row as often as the mix takes it, and no row that it doesn't take."""
+    """docs with every row as often as the mix takes it, and no row that it doesn't take.
+
+    Null texts and texts without words have no size and are never taken; a null source is a source like any
+    other, null ids and repeated rows are rows like any other. An empty table gives an empty result. Other
+    columns come along, whatever their names.
+    """
     found = copies(docs, **options)
     return found.select("row", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))).select("row.*")
 
 
-def _with(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
-    """left with the columns that right has for its source; a null source meets the null source."""
+def _with(left: DataFrame, right: DataFrame, how: str = "inner", also: str | None = None) -> DataFrame:
+    """left with the columns that right has for its source, and for its value of `also`; a null source meets the null source."""
     other = right.withColumnRenamed("source", "_source")
-    return left.join(other, left["source"].eqNullSafe(other["_source"]), how).drop("_source")
+    same = left["source"].eqNullSafe(other["_source"])
+    if also:
+        other = other.withColumnRenamed(also, "_also")
+        same &= left[also] == other["_also"]
+    return left.join(other, same, how).drop("_source", "_also")
 
 
 def op8_mixing(spark, sf_dir: str) -> DataFrame:
