@@ -15,25 +15,26 @@ what is reported has at least `PASSAGE` words and a Jaccard similarity of shingl
 
 Scale: among intervals of one name, each is compared with that of the smallest document alone, never all
 with all, and every link leads to a smaller document. A name that is everywhere is met first within each
-task's own documents, so that a task sends the intervals of one document through the shuffle, not of all.
-Sketches are a third of a row of three numbers per word; they are shuffled and sorted once. Texts are
-shuffled by document, and only the regions to be compared go further.
-
-A link that fails when the texts are compared isn't the last word: the interval is compared with the
-others of its name whose links failed too, and with all places of those they had led to, in the order of documents, until
-one matches (`_linked_again`). Equal intervals count once. What can still be missed there is a passage that
-matches another of its name which itself was linked well, but not the one that that was linked to.
+task's own documents: what a task sends through the shuffle of names are the intervals of one document, not
+of all. The others are pointed to the smallest document of all afterwards, by a join of pairs of documents.
+So the links are those of the table, however it is dealt over tasks. Sketches are a third of a row of three numbers per word;
+they are shuffled and sorted once. Texts are shuffled by document, and only the regions to be compared go
+further.
+
+A link that fails when the texts are compared isn't the last word (`_linked_again`). The interval and all
+that hold its name get finer names, by which they are linked once more: one for every passage's length of
+shingles around the name's first minimum, so that identical passages always meet, and, for passages that
+differ, names of four functions over windows at `LEFT` distances from that minimum. Each is again linked to
+the smallest holder, so the work grows with the intervals, not with their pairs. What can be missed is a
+passage that differs from its partner and that neither the four pairs nor the finer names lead to it.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain, groupby, islice
-from operator import itemgetter
 from typing import NamedTuple
 
 import numpy as np
@@ -42,7 +43,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from kinsift.llm.common import WORD, pieces, read, texts
-from kinsift.storage import materialize
+from kinsift.storage import discard, materialize
 
 SHINGLE, PASSAGE, SIMILAR, BANDS = 5, 50, 0.8, 4
 #: Shingles of a passage.
@@ -51,8 +52,10 @@ WIDTH = PASSAGE - SHINGLE + 1
 BLOCK, LONG, CHUNK = 1 << 18, 1 << 22, 1 << 18
 #: Candidates lie on one diagonal if it moves by no more than this many words from one to the next.
 DRIFT = 24
-#: Places of a shingle in the other text from which it counts as common.
+#: Places of a shingle in the other text above which only those of its longest match are looked at.
 COMMON = 8
+#: Finer names: how far before a name's minimum their windows begin, and the pairs of functions for each.
+LEFT, FINER = range(0, 46, 9), 2
 
 _WHITE = np.zeros(256, bool)
 _WHITE[[32, *range(9, 14)]] = True
@@ -104,7 +107,12 @@ def _cut(raw: bytes, most: int) -> Iterator[bytes]:
 
 
 def documents_shingles(raws: list[bytes]) -> Iterator[np.ndarray]:
-    """The shingle hashes of each text. Texts are taken together as long as they are small."""
+    """The shingle hashes of each text."""
+    return (shingles for shingles, _ in hashed(raws))
+
+
+def hashed(raws: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The shingle hashes of each text and where its words begin. Texts are taken together as long as they are small."""
     k = 0
     while k < len(raws):
         n, size = k, 0
@@ -112,14 +120,16 @@ def documents_shingles(raws: list[bytes]) -> Iterator[np.ndarray]:
             size += len(raws[n]) + 1
             n += 1
         if n == k + 1 and size > BLOCK:
-            yield shingle_hashes(np.concatenate([word_hashes(x)[0] for x in _cut(raws[k], BLOCK)]))
+            parts = [word_hashes(x) for x in _cut(raws[k], BLOCK)]
+            shifts = np.cumsum([0, *(len(x) for x in _cut(raws[k], BLOCK))])
+            yield shingle_hashes(np.concatenate([w for w, _ in parts])), np.concatenate([at + shift for (_, at), shift in zip(parts, shifts)])
         else:
             words, start = word_hashes(b"\n".join(raws[k:n]))
             ends = np.cumsum([len(x) + 1 for x in raws[k:n]])
             bound = np.searchsorted(start, ends).tolist()
             shingles = shingle_hashes(words)
-            for a, b in zip([0, *bound], bound):
-                yield shingles[a : max(a, b - SHINGLE + 1)]
+            for a, b, end, raw in zip([0, *bound], bound, ends, raws[k:n]):
+                yield shingles[a : max(a, b - SHINGLE + 1)], start[a:b] - (end - len(raw) - 1)
         k = n
 
 
@@ -185,7 +195,7 @@ def compact_windows(v: np.ndarray, at: Layout) -> tuple[np.ndarray, ...]:
 
 
 #: The hash functions: odd factors, whose products' upper bits order the shingles' hashes, which are mixed already.
-_FACTORS = [mix(np.array([i + 1], np.uint64) * _BASE)[0] | np.uint64(1) for i in range(2 * BANDS)]
+_FACTORS = [mix(np.array([i + 1], np.uint64) * _BASE)[0] | np.uint64(1) for i in range(2 * (BANDS + FINER))]
 
 
 def sketch(ids: np.ndarray, shingles: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -217,7 +227,8 @@ def sketch(ids: np.ndarray, shingles: list[np.ndarray]) -> tuple[np.ndarray, np.
 
 _COLUMNS = ["key", "id", "at", "to", "to_at", "name"]
 _SKETCH = "key long, id long, at long, to long, to_at long, name long"
-_LINKS = "id long, at long, to long, to_at long, name long"
+_MADE = "id long, at long, to long, to_at long, name long, settled boolean"
+_PAIRS = "id long, to long, pairs array<struct<name: bigint, at: bigint, to_at: bigint>>"
 
 
 def _first_of(name: np.ndarray) -> np.ndarray:
@@ -225,6 +236,12 @@ def _first_of(name: np.ndarray) -> np.ndarray:
     return np.maximum.accumulate(np.where(np.append(True, name[1:] != name[:-1]), np.arange(len(name)), 0))
 
 
+def _intervals(name: np.ndarray, owner: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+    """Rows of _SKETCH whose key is the name."""
+    none = pa.nulls(len(name), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(owner), pa.array(at), none, none, none], _COLUMNS)
+
+
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Intervals of a task's documents; those whose name a smaller document of the same chunk has are linked to it at once."""
     ids: list[int] = []
@@ -234,18 +251,15 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def flush() -> Iterator[pa.RecordBatch]:
         name, owner, at = (np.concatenate(x) for x in zip(*done))
-        order = np.lexsort((owner, name))
+        order = np.lexsort((at, owner, name))
         name, owner, at = name[order], owner[order], at[order]
         top = _first_of(name)
-        keep = owner == owner[top]  # all of them: the smallest document of a chunk needn't be the smallest of all
-        linked = ~keep
+        linked = owner != owner[top]  # all of the others go on: the smallest document of a chunk needn't be the smallest of all
+        yield _intervals(name[~linked], owner[~linked], at[~linked])
         # Links have a key too, which deals them out evenly; the key of the others is their name.
-        spread = mix((owner[linked].astype(np.uint64) * _BASE) ^ at[linked].astype(np.uint64))
-        null = np.arange(keep.sum() + linked.sum()) < keep.sum()
-        none = np.zeros(keep.sum(), np.int64)
-        columns = [np.concatenate([name[keep], spread]).view(np.int64), *(np.concatenate([x[keep], x[linked]]) for x in (owner, at))]
-        columns += [pa.array(np.concatenate([none, x]), mask=null) for x in (owner[top[linked]], at[top[linked]], name[linked].view(np.int64))]
-        yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in columns], _COLUMNS)
+        key = mix((owner[linked].astype(np.uint64) * _BASE) ^ at[linked].astype(np.uint64)).view(np.int64)
+        columns = (key, owner[linked], at[linked], owner[top[linked]], at[top[linked]], name[linked].view(np.int64))
+        yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), _COLUMNS)
 
     for batch in pieces(batches):
         known = [(i, (text or b"").lower()) for i, text in zip(batch.column(0).to_pylist(), texts(batch.column(1))) if i is not None]
@@ -254,7 +268,8 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             if len(s) > LONG:  # very long texts in overlapping parts
                 for k in range(0, len(s) - WIDTH + 1, LONG):
-                    yield from _long(i, s[k : k + LONG + WIDTH - 1], k)
+                    name, owner, at = sketch(np.array([i], np.int64), [s[k : k + LONG + WIDTH - 1]])
+                    yield _intervals(name, owner, at + (k << 16))
                 continue
             ids.append(i)
             held.append(s)
@@ -272,14 +287,8 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from flush()
 
 
-def _long(i: int, part: np.ndarray, shift: int) -> Iterator[pa.RecordBatch]:
-    name, owner, at = sketch(np.array([i], np.int64), [part])
-    nulls = pa.nulls(len(name), pa.int64())
-    yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(owner), pa.array(at + (shift << 16)), nulls, nulls, nulls], _COLUMNS)
-
-
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links of intervals, which come sorted by name and id, to the first of their name; links that are there already pass.
+    """Links of intervals, which come sorted by name, id and place, to the first of their name (settled); those that tasks made pass.
 
     Further intervals of the first one's document are linked to it too, so that they are known as places of the name.
     """
@@ -297,15 +306,62 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rest = np.arange(len(name)) != top
             new = [owner[rest], at[rest], owner[top[rest]], at[top[rest]], name[rest]]
             carried = (int(name[-1]), int(owner[top[-1]]), int(at[top[-1]]))
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(old, new)], _COLUMNS[1:])
+        settled = pa.array(np.arange(len(old[0]) + len(new[0])) >= len(old[0]))
+        yield pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(x)) for x in zip(old, new)), settled], [*_COLUMNS[1:], "settled"])
+
+
+def _lists(column: pa.Array) -> tuple[list[int], list[np.ndarray]]:
+    """Where each list of a column begins, and the end; the fields of its structs, end to end. A null list is empty."""
+    sizes = np.nan_to_num(column.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
+    return [0, *np.cumsum(sizes).tolist()], [x.to_numpy(zero_copy_only=False) for x in column.flatten().flatten()]
+
+
+def _resolved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """_PAIRS of what tasks have linked, led to the first of all. In: _PAIRS, and the links (name, to, to_at) of the document that `to` is."""
+    for batch in batches:
+        (bound, (name, at, to_at)), (known, (k_name, k_to, k_at)) = _lists(batch.column(2)), _lists(batch.column(3))
+        row = np.repeat(np.arange(batch.num_rows), np.diff(bound))
+        led, to_at = np.asarray(batch.column(1))[row], to_at.copy()
+        for a, b, c, d in zip(bound, bound[1:], known, known[1:]):
+            if d > c:
+                order = np.argsort(k_name[c:d], kind="stable") + c
+                place = order[np.minimum(np.searchsorted(k_name[order], name[a:b]), d - c - 1)]
+                same = k_name[place] == name[a:b]
+                led[a:b][same], to_at[a:b][same] = k_to[place[same]], k_at[place[same]]
+        if not len(row):
+            continue
+        order = np.lexsort((led, row))
+        row, led = row[order], led[order]
+        start = np.flatnonzero(np.append(True, (np.diff(row) != 0) | (np.diff(led) != 0)))
+        structs = pa.StructArray.from_arrays([pa.array(x[order]) for x in (name, at, to_at)], ["name", "at", "to_at"])
+        lists = pa.ListArray.from_arrays(pa.array(np.append(start, len(row)).astype(np.int32)), structs)
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[start])), pa.array(led[start]), lists], ["id", "to", "pairs"])
+
+
+def _failed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(name, id, at, to, to_at) of the links whose interval's first minimum is in no passage found. In: _PAIRS, and the passages (start, end) found between the two."""
+    for batch in batches:
+        (bound, (name, at, to_at)), (known, (start, end)) = _lists(batch.column(2)), _lists(batch.column(3))
+        c = (at >> 16) + (at & 255)
+        held = np.zeros(len(at), bool)
+        for a, b, x, y in zip(bound, bound[1:], known, known[1:]):
+            if y > x:
+                order = np.argsort(start[x:y]) + x
+                reach = np.maximum.accumulate(end[order])
+                before = np.searchsorted(start[order], c[a:b], side="right") - 1  # passages that begin at or before it
+                held[a:b] = (before >= 0) & (reach[np.maximum(before, 0)] >= c[a:b] + SHINGLE)
+        left = np.flatnonzero(~held)
+        row = pa.array(np.repeat(np.arange(batch.num_rows), np.diff(bound))[left])
+        columns = [pa.array(name[left]), batch.column(0).take(row), pa.array(at[left]), batch.column(1).take(row), pa.array(to_at[left])]
+        yield pa.RecordBatch.from_arrays(columns, ["name", "id", "at", "to", "to_at"])
 
 
 def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, to, a, b, to_a, to_b) in words: candidates of two documents merged along their diagonals. In: id, to, list of (at, to_at)."""
+    """(id, to, a, b, to_a, to_b) in words: candidates of two documents merged along their diagonals. In: _PAIRS."""
     for batch in batches:
-        n = batch.column(2).value_lengths().to_numpy(zero_copy_only=False)
-        row = np.repeat(np.arange(batch.num_rows), n)
-        x = np.stack([np.asarray(y) for y in batch.column(2).flatten().flatten()], axis=1).reshape(-1, 2)
+        bound, fields = _lists(batch.column(2))
+        row = np.repeat(np.arange(batch.num_rows), np.diff(bound))
+        x = np.stack(fields[1:], axis=1)
         a, size, c = x >> 16, x >> 8 & 255, x & 255
         b, slant = a + size, (a + c)[:, 0] - (a + c)[:, 1]
         order = np.lexsort((slant, row))
@@ -344,44 +400,134 @@ def _slice_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in columns[:3]), pa.array(columns[3], pa.binary())], ["id", "a", "b", "words"])
 
 
-def compare(left: list[bytes], right: list[bytes]) -> list[tuple[int, int, int, int, float]]:
-    """(start, end, to_start, to_end, similarity) of the near-duplicate passages of two lists of words, ends exclusive."""
-    mine = list(zip(*(left[i:] for i in range(SHINGLE))))
-    theirs = list(zip(*(right[i:] for i in range(SHINGLE))))
-    where: dict[tuple, list[int]] = {}
-    for k, s in enumerate(theirs):
-        where.setdefault(s, []).append(k)
-    # Runs of matching shingles on one diagonal. A shingle that is common in the other text opens a run at its first place
-    # only; runs that rarer shingles open are followed backwards over common ones.
-    runs: list[list[int]] = []  # start, end (exclusive), start in theirs
-    until: dict[int, int] = {}  # where the last run of a diagonal ended
-    for k, s in enumerate(mine):
-        places = where.get(s, [])
-        for at in places if len(places) <= COMMON else places[:1]:
-            if until.get(k - at, -1) > k:
-                continue
-            a, b = k, k + 1
-            while a > 0 and at - (k - a) > 0 and mine[a - 1] == theirs[at - (k - a) - 1]:
-                a -= 1
-            while b < len(mine) and at + b - k < len(theirs) and mine[b] == theirs[at + b - k]:
-                b += 1
-            until[k - at] = b
-            runs.append([a, b, at - (k - a)])
-    runs.sort()
-    longest = max((b - a for a, b, _ in runs), default=0)
+#: Places of a passage of the least length that have a match at the least.
+_LEAST = math.ceil(SIMILAR * WIDTH)
+
+
+def _prefix(shingles: np.ndarray, power: np.ndarray) -> np.ndarray:
+    """Running sums from which the hash of any stretch follows (`_stretch`)."""
+    out = np.zeros(len(shingles) + 1, np.uint64)
+    np.cumsum(shingles * power[: len(shingles)], out=out[1:])
+    return out
+
+
+def _stretch(total: np.ndarray, inverse: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """The hashes of the n shingles from each place on."""
+    return (total[at + n] - total[at]) * inverse[at]
+
+
+class _Twins:
+    """How far two lists of shingles agree from pairs of places on."""
+
+    def __init__(self, mine: np.ndarray, theirs: np.ndarray) -> None:
+        most = max(len(mine), len(theirs))
+        power, self.inverse = _powers(max(1 << 19, 1 << most.bit_length()))
+        self.size = len(mine), len(theirs)
+        self.total = _prefix(mine, power), _prefix(theirs, power)
+
+    def ahead(self, k: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The number of shingles that agree from k and at on."""
+        return self._far(k, at, 1)
+
+    def back(self, k: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The number of shingles that agree just before k and at."""
+        return self._far(k, at, -1)
+
+    def _far(self, k: np.ndarray, at: np.ndarray, way: int) -> np.ndarray:
+        room = np.minimum(self.size[0] - k, self.size[1] - at) if way > 0 else np.minimum(k, at)
+        far = np.zeros(len(k), np.int64)
+        for j in range(int(room.max(initial=0)).bit_length() - 1, -1, -1):
+            step = 1 << j
+            fits = np.flatnonzero(far + step <= room)
+            x, y = (v[fits] + (far[fits] if way > 0 else -far[fits] - step) for v in (k, at))
+            same = _stretch(self.total[0], self.inverse, x, step) == _stretch(self.total[1], self.inverse, y, step)
+            far[fits[same]] += step
+        return far
+
+
+def _longest(mine: np.ndarray, theirs: np.ndarray, twins: _Twins) -> tuple[np.ndarray, np.ndarray]:
+    """(length, place in theirs) of the longest match from each place of mine on, by the order of all suffixes."""
+    n, m = len(mine), len(theirs)
+    rank = np.unique(np.concatenate([mine, theirs]), return_inverse=True)[1].astype(np.int64)
+    # An end of its own behind each list, so that no match goes over it.
+    rank = np.concatenate([rank[:n], [n + m], rank[n:], [n + m + 1]])
+    step = 1
+    while True:
+        behind = np.zeros(len(rank), np.int64)
+        behind[:-step] = rank[step:] + 1
+        rank = np.unique(rank * (n + m + 4) + behind, return_inverse=True)[1].astype(np.int64)
+        step *= 2
+        if rank.max() == len(rank) - 1:
+            break
+    order = np.argsort(rank)
+    place = np.arange(len(order))
+    is_theirs = (order > n) & (order < n + 1 + m)
+    before = np.maximum.accumulate(np.where(is_theirs, place, -1))
+    after = len(order) - 1 - np.maximum.accumulate(np.where(is_theirs[::-1], place, -1))[::-1]
+    k = np.arange(n)
+    best, to = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    for near in (before[rank[:n]], after[rank[:n]]):
+        there = (near >= 0) & (near < len(order)) & is_theirs[np.clip(near, 0, len(order) - 1)]
+        at = order[near[there]] - n - 1
+        length = twins.ahead(k[there], at)
+        longer = length > best[there]
+        best[k[there][longer]], to[k[there][longer]] = length[longer], at[longer]
+    return best, to
+
+
+def _runs(mine: np.ndarray, theirs: np.ndarray) -> np.ndarray:
+    """Rows (start, end, start in theirs) of shingles that agree, as long as they go, in order; none where there are too few for a passage.
+
+    They are all those that have a shingle with at most COMMON places in theirs, and from every place of
+    mine the longest one.
+    """
+    order = np.argsort(theirs, kind="stable")
+    ordered = theirs[order]
+    low = np.searchsorted(ordered, mine)
+    n = np.searchsorted(ordered, mine, side="right") - low
+    if np.count_nonzero(n) < _LEAST:
+        return np.zeros((0, 3), np.int64)
+    common = n > COMMON
+    few = np.flatnonzero((n > 0) & ~common)
+    k = np.repeat(few, n[few])
+    at = order[np.repeat(low[few] - np.cumsum(n[few]) + n[few], n[few]) + np.arange(len(k))]
+    by = np.lexsort((k, k - at))
+    k, at = k[by], at[by]
+    new = np.ones(len(k), bool)
+    new[1:] = (np.diff(k) != 1) | (np.diff(at) != 1)
+    start = np.flatnonzero(new)
+    rows = np.stack([k[start], k[np.append(start[1:], len(k)) - 1] + 1 if len(k) else k, at[start]], axis=1)
+    if common.any():
+        twins = _Twins(mine, theirs)
+        back = twins.back(rows[:, 0], rows[:, 2])
+        ahead = twins.ahead(rows[:, 1], rows[:, 2] + rows[:, 1] - rows[:, 0])
+        rows = np.stack([rows[:, 0] - back, rows[:, 1] + ahead, rows[:, 2] - back], axis=1)
+        best, to = _longest(mine, theirs, twins)
+        fresh = common & (best > np.append(0, best[:-1] - 1))  # not the rest of the match from the place before
+        k = np.flatnonzero(fresh)
+        rows = np.unique(np.concatenate([rows, np.stack([k, k + best[k], to[k]], axis=1)]), axis=0)
+    return rows[np.lexsort((rows[:, 2], rows[:, 1], rows[:, 0]))]
+
+
+def compare(mine: np.ndarray, theirs: np.ndarray) -> list[tuple[int, int, int, int, float]]:
+    """(start, end, to_start, to_end, similarity) in words of the near-duplicate passages of two lists of shingle hashes, ends exclusive."""
+    table = _runs(mine, theirs)
+    reach = np.maximum.accumulate(table[:, 1])
     # Places without a match that a similar passage may have: a quarter of those with one.
-    total = end = 0
-    for a, b, _ in runs:
-        total += max(0, b - max(a, end))
-        end = max(end, b)
+    total = int(np.maximum(table[:, 1] - np.maximum(table[:, 0], np.append(0, reach[:-1])), 0).sum()) if len(table) else 0
+    if total < _LEAST:
+        return []
     gap = int(total * (1 / SIMILAR - 1) + 1e-9)
+    longest = int((table[:, 1] - table[:, 0]).max())
+    runs = table.tolist()
+    left, right = mine.tolist(), theirs.tolist()
     ahead: tuple[int, int, int] | None = None
     starts = [r[0] for r in runs]
-    used = bytearray(len(mine))
+    used = bytearray(len(left))
     out = []
 
     def similarity(a: int, b: int, c: int, d: int) -> float:
-        x, y = set(mine[a:b]), set(theirs[c:d])
+        x, y = set(left[a:b]), set(right[c:d])
         both = len(x & y)
         return both / (len(x) + len(y) - both)
 
@@ -440,78 +586,34 @@ def compare(left: list[bytes], right: list[bytes]) -> list[tuple[int, int, int,
     return sorted(out)
 
 
-#: Places of a passage of the least length that have a match at the least.
-_LEAST = math.ceil(SIMILAR * WIDTH)
-
-
-def _least_distinct(shingles: list[int], distinct: set[int]) -> int:
-    """The fewest different shingles that can fill _LEAST places."""
-    if len(distinct) == len(shingles):
-        return _LEAST
-    return int(np.searchsorted(np.cumsum([n for _, n in Counter(shingles).most_common()]), _LEAST)) + 1
-
-
-def _matched(name: int, rows: list[tuple[int, int, bool, bytes]]) -> Iterator[tuple[int, int, int, int, int]]:
-    """The links of one name's intervals (id, at, failed, words), which come in order.
-
-    Only pairs are compared that share as many shingles as a passage needs. They are found without looking
-    at all pairs: of q shingles that others have too, at least one of the q - needed + 1 rarest is shared.
-    """
-    same: dict[bytes, tuple[int, int]] = {}
-    kept = []
-    for i, at, failed, text in rows:
-        to = same.setdefault(text, (i, at))
-        if to != (i, at):  # equal to one that has been met
-            if failed and to[0] < i:
-                yield i, at, *to, name
-            if to[0] < i or not failed:
-                continue
-        words = text.split(b" ")
-        shingles = list(map(hash, zip(*(words[k:] for k in range(SHINGLE)))))
-        kept.append((i, at, failed, words, shingles, set(shingles)))
-    count = Counter(chain.from_iterable(x[-1] for x in kept))
-    where: dict[int, list[int]] = {}
-    for k, (i, at, failed, words, shingles, distinct) in enumerate(kept):
-        shared = [x for x in distinct if count[x] > 1]
-        if failed:
-            rare = sorted(shared, key=count.__getitem__)[: max(0, len(shared) - _least_distinct(shingles, distinct) + 1)]
-            for j in sorted({j for x in rare for j in where.get(x, ())}):
-                other, other_at, _, theirs, _, known = kept[j]
-                places = [n for n, x in enumerate(shingles) if x in known]
-                if other < i and len(places) >= _LEAST and places[-1] - places[0] >= WIDTH - 1 and compare(words, theirs):
-                    yield i, at, other, other_at, name
-                    break
-        for x in shared:
-            where.setdefault(x, []).append(k)
-
-
-def _matches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, at, to, to_at, name): each interval whose link failed, linked to the first of its name that it matches. In: name, id, at, failed, words, by name and id."""
-    rows = (row for batch in batches for row in zip(*(batch.column(k).to_pylist() for k in range(5))))
-    links = (x for name, group in groupby(rows, itemgetter(0)) for x in _matched(name, [row[1:] for row in group]))
-    while out := list(islice(links, 10_000)):
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], ["id", "at", "to", "to_at", "name"])
-
-
 _RESULT = "id long, start long, end long, to long, to_start long, to_end long, similarity double, digest long"
 
 
 def digest(words: list[bytes]) -> int:
     """A passage's digest, as a signed number."""
-    return int.from_bytes(xxhash.xxh64_digest(b" ".join(words)), "big", signed=True)
+    return _digest(b" ".join(words))
+
+
+def _digest(passage: bytes) -> int:
+    return int.from_bytes(xxhash.xxh64_digest(passage), "big", signed=True)
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kinds = [pa.int64()] * 6 + [pa.float64(), pa.int64()]
-    for batch in batches:
+    for batch in pieces(batches):
+        ends = [batch.column(k).to_pylist() for k in range(6)]
+        distinct = {text: k for k, text in enumerate(dict.fromkeys(ends[4] + ends[5]))}
+        facts = list(hashed(list(distinct)))
         rows = []
-        for i, to, a, to_a, left, right in zip(*(batch.column(k).to_pylist() for k in range(6))):
-            words = left.split(b" ")
+        for i, to, a, to_a, left, right in zip(*ends):
+            mine, start = facts[distinct[left]]
             if left == right:
-                found = [(0, len(words), 0, len(words), 1.0)] if len(words) >= PASSAGE else []
+                found = [(0, len(start), 0, len(start), 1.0)] if len(start) >= PASSAGE else []
             else:
-                found = compare(words, right.split(b" "))
-            rows += [(i, a + s, a + e, to, to_a + ts, to_a + te, j, digest(words[s:e])) for s, e, ts, te, j in found]
+                found = compare(mine, facts[distinct[right]][0])
+            for s, e, ts, te, j in found:
+                passage = left[start[s] : start[e] - 1 if e < len(start) else len(left)]  # words are joined by one blank
+                rows.append((i, a + s, a + e, to, to_a + ts, to_a + te, j, _digest(passage)))
         columns = list(zip(*rows)) if rows else [[]] * 8
         yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds)], ["id", "start", "end", "to", "to_start", "to_end", "similarity", "digest"])
 
@@ -523,16 +625,36 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     first document that has a passage is only named in `to`. Texts of fewer than PASSAGE words (null and
     empty ones too) have no passages, nor do rows with a null id. Rows that share an id are one document
     of several texts; digest tells whose passage it is. Passages within one document aren't looked for. An
-    empty table gives an empty result. Only the two named columns are looked at.
+    empty table gives an empty result. Only the two named columns are looked at. The rows are the same
+    however the table is dealt over tasks.
     """
     narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     rows = narrow.mapInArrow(_sketches, _SKETCH)
-    links = materialize(rows.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_groups, _LINKS), "links")
-    found = materialize(_verified(narrow, links), "found")
-    again = _linked_again(narrow, links, found)
+    made = materialize(rows.repartition("key").sortWithinPartitions("key", "id", "at").mapInArrow(_groups, _MADE), "made")
+    pairs = materialize(first_pairs(made), "pairs")
+    found = materialize(_verified(narrow, pairs), "found")
+    again = _linked_again(narrow, made, pairs, found)
+    for table in (made, pairs):
+        discard(table)
     return found.unionByName(_verified(narrow, again)).distinct()
 
 
+def first_pairs(made: DataFrame) -> DataFrame:
+    """_PAIRS: for two documents, the intervals of the one that are linked to the other, because it is the first to have their name: by id, then by place."""
+    gathered = F.collect_list(F.struct("name", "at", "to_at")).alias("pairs")
+    settled = made.where("settled AND id <> to").groupBy("id", "to").agg(gathered)
+    early = made.where("NOT settled").groupBy("id", "to").agg(gathered)
+    # Links that tasks made lead to the smallest document of some; where others have the name too, that document's own link says which is the first.
+    leaders = made.where("NOT settled").select(F.col("to").alias("k")).distinct()
+    theirs = made.where("settled").join(leaders, F.col("id") == F.col("k"), "left_semi")
+    theirs = theirs.groupBy(F.col("id").alias("k")).agg(F.collect_list(F.struct("name", "to", "to_at")).alias("known")).select((F.col("k") + F.lit(0)).alias("k"), "known")
+    resolved = early.join(theirs, F.col("to") == F.col("k"), "left").select("id", "to", "pairs", "known").mapInArrow(_resolved, _PAIRS)
+    resolved = resolved.where("id <> to").groupBy(F.col("id").alias("i"), F.col("to").alias("t")).agg(F.flatten(F.collect_list("pairs")).alias("more"))
+    both = settled.join(resolved, (F.col("id") == F.col("i")) & (F.col("to") == F.col("t")), "full_outer")
+    none = F.array().cast("array<struct<name: bigint, at: bigint, to_at: bigint>>")
+    return both.select(F.coalesce("id", "i").alias("id"), F.coalesce("to", "t").alias("to"), F.concat(F.coalesce("pairs", none), F.coalesce("more", none)).alias("pairs"))
+
+
 def _sliced(narrow: DataFrame, spans: DataFrame, name: str) -> DataFrame:
     """(id, a, b, words) of the spans (id, a, b), in words."""
     spans = spans.distinct().groupBy(F.col("id").alias("k")).agg(F.collect_list(F.struct("a", "b")).alias("spans"))
@@ -540,9 +662,8 @@ def _sliced(narrow: DataFrame, spans: DataFrame, name: str) -> DataFrame:
     return materialize(wanted.mapInArrow(_slices, "id long, a long, b long, words binary").distinct(), name)
 
 
-def _verified(narrow: DataFrame, links: DataFrame) -> DataFrame:
-    """The passages found where links lead."""
-    pairs = links.where("id <> to").groupBy("id", "to").agg(F.collect_list(F.struct("at", "to_at")).alias("pairs"))
+def _verified(narrow: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The passages found between the documents of _PAIRS."""
     regions = materialize(pairs.mapInArrow(_regions, "id long, to long, a long, b long, to_a long, to_b long"), "regions")
     spans = regions.select("id", "a", "b").unionByName(regions.select(F.col("to").alias("id"), F.col("to_a").alias("a"), F.col("to_b").alias("b")))
     slices = _sliced(narrow, spans, "slices")
@@ -552,27 +673,82 @@ def _verified(narrow: DataFrame, links: DataFrame) -> DataFrame:
     return both.select("id", "to", "a", "to_a", "mine", "theirs").mapInArrow(_verify, _RESULT)
 
 
-def _linked_again(narrow: DataFrame, links: DataFrame, found: DataFrame) -> DataFrame:
-    """Links of the intervals whose link failed to others of their name that they do match.
+_FINER = "key long, id long, at long, failed boolean, to long, to_at long"
+
+
+def _finer_of(i: int, shingles: np.ndarray, name: np.ndarray, at: np.ndarray, failed: np.ndarray, to: np.ndarray, to_at: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """The finer names of one document's intervals, as columns of _FINER."""
+    a, end, c = at >> 16, (at >> 16) + (at >> 8 & 255), (at >> 16) + (at & 255)
+    if len(shingles) < WIDTH:
+        return
+    # Every window of a passage's length that has an interval's first minimum.
+    low, high = np.maximum(a, c - WIDTH + 1), np.minimum(np.minimum(c, end - WIDTH), len(shingles) - WIDTH) + 1
+    some = high > low
+    held, wanted = np.zeros(len(shingles) + 1, np.int64), np.zeros(len(shingles) + 1, np.int64)
+    for count, rows in ((held, some), (wanted, some & failed)):
+        np.add.at(count, low[rows], 1)
+        np.add.at(count, high[rows], -1)
+    p = np.flatnonzero(np.cumsum(held))
+    power, inverse = _powers(max(1 << 19, 1 << len(shingles).bit_length()))
+    key = mix(_stretch(_prefix(shingles, power), inverse, p, WIDTH))
+    none = np.full(len(p), -1)
+    yield key.view(np.int64), np.full(len(p), i), p << 16 | WIDTH << 8, np.cumsum(wanted)[p] > 0, none, none
+    # Windows at some distances from the minimum, named by the interval's name and two more functions.
+    factors = _FACTORS[2 * BANDS :]
+    least = [sliding_minimum(shingles * f, WIDTH) for f in factors]
+    for left in LEFT:
+        s = c - left
+        fits = np.flatnonzero((s >= a) & (s + WIDTH <= end) & (s + WIDTH <= len(shingles)))
+        for k in range(FINER):
+            key = mix(mix(mix(name[fits] + np.uint64(left * FINER + k + 1)) * _BASE + least[2 * k][s[fits]]) * _BASE + least[2 * k + 1][s[fits]])
+            yield key.view(np.int64), np.full(len(fits), i), at[fits], failed[fits], to[fits], to_at[fits]
+
+
+def _finer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """In: id, text, list of (name, at, failed, where a failed link led or -1). Out: _FINER."""
+    names = [x.split(" ")[0] for x in _FINER.split(", ")]
+    for batch in pieces(batches):
+        bound = batch.column(2).offsets.to_numpy()
+        bound = (bound - bound[0]).tolist()
+        name, *rest = (x.to_numpy(zero_copy_only=False) for x in batch.column(2).flatten().flatten())
+        raws = [(x or b"").lower() for x in texts(batch.column(1))]
+        found = []
+        for i, shingles, low, high in zip(batch.column(0).to_pylist(), documents_shingles(raws), bound, bound[1:]):
+            found += _finer_of(i, shingles, name[low:high].view(np.uint64), *(x[low:high] for x in rest))
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found)], names)
+
+
+def _linked_again(narrow: DataFrame, made: DataFrame, pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """_PAIRS of the intervals whose link failed and the first holders of finer names.
 
     A link holds if a passage found between its two documents has the interval's first minimum; an interval
     all of whose words are found already needs none.
     """
+    spans = F.struct("start", "end")
+    between = found.groupBy(F.col("id").alias("i"), F.col("to").alias("t")).agg(F.collect_list(spans).alias("spans"))
+    looked = pairs.join(between, (F.col("id") == F.col("i")) & (F.col("to") == F.col("t")), "left").select("id", "to", "pairs", "spans")
+    failed = looked.mapInArrow(_failed, "name long, id long, at long, to long, to_at long")
     a, b = F.shiftright("at", 16), F.shiftright("at", 16) + F.shiftright("at", 8).bitwiseAND(255) + SHINGLE - 1
-    rows = links.where("id <> to").withColumn("c", a + F.col("at").bitwiseAND(255)).withColumn("a", a).withColumn("b", b)
-    spans = found.select(F.col("id").alias("k"), F.col("to").alias("k_to"), "start", "end")
-    same = (F.col("id") == F.col("k")) & (F.col("to") == F.col("k_to"))
-    failed = rows.join(spans, same & (F.col("start") <= F.col("c")) & (F.col("end") >= F.col("c") + SHINGLE), "left_anti")
-    failed = failed.join(spans, (F.col("id") == F.col("k")) & (F.col("start") <= F.col("a")) & (F.col("end") >= F.col("b")), "left_anti")
-    failed = materialize(failed.select("name", "id", "at", "to", "to_at"), "failed")
-    holders = failed.select("name", "id", "at", F.lit(True).alias("failed"))
-    tops = failed.select("name", F.col("to").alias("id"), F.col("to_at").alias("at"), F.lit(False).alias("failed"))
-    further = links.where("id = to").join(failed.select("name").distinct(), "name", "left_semi").select("name", "id", "at", F.lit(False).alias("failed"))
-    holders = holders.unionByName(tops).unionByName(further).groupBy("name", "id", "at").agg(F.max("failed").alias("failed"))
-    holders = materialize(holders.withColumn("a", a).withColumn("b", b), "holders")
-    slices = _sliced(narrow, holders.select("id", "a", "b"), "holder_slices")
-    wanted = holders.join(slices, ["id", "a", "b"]).select("name", "id", "at", "failed", "words")
-    return materialize(wanted.repartition("name").sortWithinPartitions("name", "id", "at").mapInArrow(_matches, _LINKS), "again")
+    own = found.select(F.col("id").alias("k"), "start", "end").distinct()
+    failed = materialize(failed.join(own, (F.col("id") == F.col("k")) & (F.col("start") <= a) & (F.col("end") >= b), "left_anti"), "failed")
+    holders = failed.select("name", "id", "at", F.struct(F.lit(True).alias("failed"), "to", "to_at").alias("link"))
+    nowhere = F.struct(F.lit(False).alias("failed"), F.lit(-1).cast("long").alias("to"), F.lit(-1).cast("long").alias("to_at")).alias("link")
+    tops = failed.select("name", F.col("to").alias("id"), F.col("to_at").alias("at"), nowhere)
+    further = made.where("settled AND id = to").join(failed.select("name").distinct(), "name", "left_semi").select("name", "id", "at", nowhere)
+    holders = holders.unionByName(tops).unionByName(further).groupBy("name", "id", "at").agg(F.max("link").alias("link"))
+    spots = holders.groupBy(F.col("id").alias("k")).agg(F.collect_list(F.struct("name", "at", "link.failed", "link.to", "link.to_at")).alias("spots"))
+    wanted = narrow.join(spots, narrow["id"] == spots["k"]).select("id", "text", "spots")
+    finer = materialize(wanted.mapInArrow(_finer, _FINER), "finer")
+    firsts = finer.groupBy("key").agg(F.min(F.struct("id", "at")).alias("first"), F.max("id").alias("last"))
+    firsts = firsts.where("first.id < last").select((F.col("key") + F.lit(0)).alias("k"), "first")
+    again = finer.where("failed").join(firsts, F.col("key") == F.col("k")).where("first.id < id AND NOT (first.id = to AND first.at = to_at)")
+    again = again.select("id", "at", F.col("first.id").alias("to"), F.col("first.at").alias("to_at")).distinct()
+    gathered = F.collect_list(F.struct(F.lit(0).cast("long").alias("name"), "at", "to_at")).alias("pairs")
+    again = materialize(again.groupBy("id", "to").agg(gathered), "again")
+    for table in (failed, finer):
+        discard(table)
+    return again
 
 
 def without(text: bytes, spans: list[tuple[int, int]]) -> bytes:
@@ -591,7 +767,8 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """docs without the passages that a document with a smaller id has too; the smallest keeps them.
 
     Texts without such a passage stay as they are. chars_col, where there is one, is counted again for
-    texts that change. A row all of whose words go goes itself.
+    texts that change. A row all of whose words go goes itself. Rows with null ids, null and empty texts and
+    repeated rows stay as they are; an empty table gives an empty result. Other columns may have any names.
     """
     spans = repeats(docs, id_col, text_col).groupBy(F.col("id").alias("k")).agg(F.collect_set(F.struct("start", "end", "digest")).alias("spans"))
     rows = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
