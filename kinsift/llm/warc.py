@@ -277,7 +277,12 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 
 
 def resolve(records: DataFrame) -> DataFrame:
-    """Records with payload_bytes: a response's own length; a revisit's is that of the response it refers to, null if that is lost."""
+    """Records with payload_bytes: a response's own length; a revisit's is that of the response it refers to, null if that is lost.
+
+    Gaps are left out. Of responses with one id and digest, which then have one length, it doesn't matter
+    which is referred to; repeated records stay. Records with a null page_id are referred to by none. No
+    records give an empty result.
+    """
     own = records.where("kind = 'record'").withColumn("own", F.octet_length("payload").cast("long")).drop("payload")
     own = materialize(own, "records")  # so that the archives are parsed once, not for each side of the join
     originals = own.where("record_type = 'response'").groupBy("page_id", "payload_digest").agg(F.max("own").alias("theirs"))
