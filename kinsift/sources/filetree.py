@@ -1,7 +1,7 @@
 """Directory trees as a Spark data source, and the union of two of them.
 
 The built-in binaryFile reader leaves out empty and hidden files, which are files here. A partition is a
-top folder's subtree; problems come as rows with an `error`.
+share of some hundred folders of the upper levels, with all below them; problems come as rows with an `error`.
 """
 
 from __future__ import annotations
@@ -20,9 +20,22 @@ from kinsift.operators.groups import numbered
 SCHEMA = "root string, path string, size long, mtime double, error string"
 
 
-class Subtree(InputPartition):
-    def __init__(self, root: str, folder: str, deep: bool) -> None:
-        super().__init__((root, folder, deep))
+#: Folders that a tree is cut into, about, and levels that the driver lists for it.
+SUBTREES, LEVELS = 256, 3
+
+
+class Subtrees(InputPartition):
+    """Folders that a task looks into: (folder, whether all below it belongs to the task)."""
+
+    def __init__(self, root: str, folders: list[tuple[str, bool]]) -> None:
+        super().__init__((root, folders))
+
+
+def folders_in(folder: str) -> list[str]:
+    try:
+        return sorted(e.path for e in os.scandir(folder) if e.is_dir(follow_symlinks=False))
+    except OSError:
+        return []  # the walk reports it
 
 
 class TreeReader(DataSourceReader):
@@ -30,14 +43,23 @@ class TreeReader(DataSourceReader):
         self.root, self.path = options["root"], options["path"]
 
     def partitions(self) -> list[InputPartition]:
-        try:
-            below = sorted(e.path for e in os.scandir(self.path) if e.is_dir(follow_symlinks=False))
-        except OSError:
-            below = []  # the walk reports it
-        return [Subtree(self.root, self.path, False), *(Subtree(self.root, p, True) for p in below)]
+        above: list[str] = []
+        below = [self.path]
+        for _ in range(LEVELS):
+            if not below or len(below) >= SUBTREES:
+                break
+            above += below
+            below = [x for folder in below for x in folders_in(folder)]
+        jobs = [(x, False) for x in above] + [(x, True) for x in below]
+        n = min(len(jobs), SUBTREES)
+        return [Subtrees(self.root, jobs[i::n]) for i in range(n)]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        root, folder, deep = partition.value
+        root, folders = partition.value
+        for folder, deep in folders:
+            yield from self.walk(root, folder, deep)
+
+    def walk(self, root: str, folder: str, deep: bool) -> Iterator[tuple]:
         problems: list[OSError] = []
         for here, below, names in os.walk(folder, onerror=problems.append):
             if not deep:

@@ -286,3 +286,49 @@ def test_partitions_do_not_matter(spark, parts):
     frame = files(spark, rows).orderBy(F.rand(parts)).repartition(parts)
     members, groups = G.build_groups(frame, E.exact_edges(frame))
     assert [r.group_hash for r in groups.orderBy("group_id").collect()] == test_partitions_do_not_matter.__dict__.setdefault("seen", [r.group_hash for r in groups.orderBy("group_id").collect()])
+
+
+@pytest.mark.parametrize("agree,threshold,bits", [(1, 4, 64), (2, 4, 63), (3, 4, 64), (4, 4, 64), (4, 0, 64), (3, 9, 63), (2, 14, 63), (4, 3, 8)])
+def test_keys_of_any_length_lose_no_pair_and_repeat_none(spark, monkeypatch, agree, threshold, bits):
+    monkeypatch.setattr(E.Bands, "cost", staticmethod(lambda t, c, b, n: abs(c - agree)))
+    rng = random.Random(agree * 100 + threshold)
+    base = [rng.getrandbits(bits) for _ in range(12)]
+    hashes = [b ^ sum(1 << k for k in rng.sample(range(bits), rng.randrange(0, min(bits, threshold + 3)))) for b in base for _ in range(5)]
+    assert E.Bands(threshold, bits).agree == agree
+    rows = [(i, h - (1 << 64) if h >> 63 else h) for i, h in enumerate(hashes)]
+    found = E.hamming_pairs(spark.createDataFrame(rows, "id long, dhash long"), [], threshold, [], bits).collect()
+    want = {(i, j): (a ^ b).bit_count() for i, a in enumerate(hashes) for j, b in enumerate(hashes) if i < j and (a ^ b).bit_count() <= threshold}
+    assert len(found) == len(want) and {(r.src, r.dst): r.distance for r in found} == want
+
+
+def test_more_hashes_have_longer_keys():
+    widths = [E.Bands(4, 64, n).width for n in (100, 10**5, 10**7, 10**9)]
+    assert widths == sorted(widths) and widths[0] < 14 and widths[-1] >= 27
+    assert len(E.Bands(4, 64, 10**9).choices) <= 70
+
+
+def test_notes_write_nothing(spark, monkeypatch):
+    files = spark.createDataFrame([(i, 1, f"/a/{i}", f"/a/{i}", f"{i}", ["A"], 1, float(i), "h") for i in range(3)], "id long, g int, path string, path_cf string, name_cf string, roots array<string>, size long, mtime double, exact_hash string")
+    members, groups = files.withColumnRenamed("g", "group_id").withColumn("pos", F.col("id") + 1), None
+    session = S.Session(members, groups, ())
+    monkeypatch.setattr(S, "materialize", lambda *x: 1 / 0)
+    assert [session.action_for(i) for i in range(3)] == ["DELETE", "DELETE", "KEEP"]
+    session.toggle(0)
+    session.set_action(1, "DELETED")
+    session.toggle(1)
+    session.set_action(1, "KEEP")
+    assert [session.action_for(i) for i in range(3)] == ["KEEP", "DELETED", "KEEP"] and session.action_for(9) == "KEEP"
+    monkeypatch.undo()
+    session.keep_root("A", ())
+    assert [session.action_for(i) for i in range(3)] == ["DELETE", "DELETED", "KEEP"] and not session.notes
+
+
+def test_a_log_without_keys(spark):
+    rng = random.Random(4)
+    rows = [(k, rng.choice(("a", "b", "", "c\nd"))) for k in range(300)]
+    shown = [(k, m.replace("\n", " ")) for k, m in rows if m]
+    want = [x for i, x in enumerate(shown) if i == 0 or shown[i - 1][1] != x[1]]
+    frame = spark.createDataFrame(rows, "seq long, message string").repartition(5)
+    assert sorted(map(tuple, V.log_lines(frame, most=None).collect())) == want
+    assert sorted(map(tuple, V.log_lines(frame, most=7).collect())) == want[-7:]
+    assert V.log_lines(frame.limit(0)).count() == 0

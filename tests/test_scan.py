@@ -6,7 +6,7 @@ import pytest
 from kinsift import sinks
 from kinsift.engine import scan
 from kinsift.options import ScanOptions
-from kinsift.sources import content
+from kinsift.sources import content, filetree
 
 
 def tree(base, contents):
@@ -61,6 +61,16 @@ def test_overlapping_roots(spark, tmp_path):
     assert [r.id for r in result.files.orderBy("id").collect()] == [0, 1]
 
 
+def test_a_tree_is_cut_below_its_top(tmp_path):
+    contents = {f"top/{i}/{j}/{k}/f": b"x" for i in range(3) for j in range(20) for k in range(6)} | {"top/g": b"y", "h": b"", "top/1/i": b"zz"}
+    root = tree(tmp_path, contents)
+    reader = filetree.TreeReader({"root": "A", "path": root})
+    parts = reader.partitions()
+    assert 60 < len(parts) <= filetree.SUBTREES
+    found = [os.path.relpath(row[1], root) for part in parts for row in reader.read(part)]
+    assert sorted(found) == sorted(contents)
+
+
 def test_missing_tools_are_warned_of(spark, tmp_path):
     root = tree(tmp_path, {"x": b"1"})
     result = scan(spark, ScanOptions(root, root))
