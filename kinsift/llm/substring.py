@@ -225,9 +225,9 @@ def sketch(ids: np.ndarray, shingles: list[np.ndarray]) -> tuple[np.ndarray, np.
     return np.concatenate(names), ids[np.concatenate(owners)], np.concatenate(ats)
 
 
-_COLUMNS = ["key", "id", "at", "to", "to_at", "name"]
-_SKETCH = "key long, id long, at long, to long, to_at long, name long"
-_MADE = "id long, at long, to long, to_at long, name long, settled boolean"
+#: Intervals, and links that a task has made between two documents, packed: numbers name, at and to_at of each, end to end.
+_SKETCH = "key long, id long, at long, to long, packed binary"
+_MADE = "id long, at long, to long, to_at long, name long, packed binary"
 _PAIRS = "id long, to long, pairs array<struct<name: bigint, at: bigint, to_at: bigint>>"
 
 
@@ -238,8 +238,24 @@ def _first_of(name: np.ndarray) -> np.ndarray:
 
 def _intervals(name: np.ndarray, owner: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
     """Rows of _SKETCH whose key is the name."""
-    none = pa.nulls(len(name), pa.int64())
-    return pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(owner), pa.array(at), none, none, none], _COLUMNS)
+    n = len(name)
+    return pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(owner), pa.array(at), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], _names(_SKETCH))
+
+
+def _packed(owner: np.ndarray, to: np.ndarray, name: np.ndarray, at: np.ndarray, to_at: np.ndarray) -> pa.RecordBatch:
+    """Links as rows of _SKETCH, one for each two documents. Their key deals them out evenly."""
+    order = np.lexsort((at, name, to, owner))
+    owner, to = owner[order], to[order]
+    facts = np.stack([x[order].view(np.int64) for x in (name, at, to_at)], axis=1)
+    start = np.flatnonzero(np.append(True, (np.diff(owner) != 0) | (np.diff(to) != 0)))
+    packed = [facts[a:b].tobytes() for a, b in zip(start, np.append(start[1:], len(owner)))]
+    owner, to = owner[start], to[start]
+    key = mix((owner.astype(np.uint64) * _BASE) ^ to.astype(np.uint64)).view(np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(key), pa.array(owner), pa.nulls(len(owner), pa.int64()), pa.array(to), pa.array(packed, pa.binary())], _names(_SKETCH))
+
+
+def _names(schema: str) -> list[str]:
+    return [x.split(" ")[0] for x in schema.split(", ")]
 
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,10 +272,8 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         top = _first_of(name)
         linked = owner != owner[top]  # all of the others go on: the smallest document of a chunk needn't be the smallest of all
         yield _intervals(name[~linked], owner[~linked], at[~linked])
-        # Links have a key too, which deals them out evenly; the key of the others is their name.
-        key = mix((owner[linked].astype(np.uint64) * _BASE) ^ at[linked].astype(np.uint64)).view(np.int64)
-        columns = (key, owner[linked], at[linked], owner[top[linked]], at[top[linked]], name[linked].view(np.int64))
-        yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), _COLUMNS)
+        if linked.any():
+            yield _packed(owner[linked], owner[top[linked]], name[linked], at[linked], at[top[linked]])
 
     for batch in pieces(batches):
         known = [(i, (text or b"").lower()) for i, text in zip(batch.column(0).to_pylist(), texts(batch.column(1))) if i is not None]
@@ -288,26 +302,27 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links of intervals, which come sorted by name, id and place, to the first of their name (settled); those that tasks made pass.
+    """Links of intervals, which come sorted by name, id and place, to the first of their name; those that tasks made pass.
 
     Further intervals of the first one's document are linked to it too, so that they are known as places of the name.
     """
     carried: tuple[int, int, int] | None = None  # the name met last, and the first interval of it
     for batch in batches:
+        early = batch.filter(batch.column(3).is_valid())
+        if early.num_rows:
+            none = pa.nulls(early.num_rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([early.column(1), none, early.column(3), none, none, early.column(4)], _names(_MADE))
+            batch = batch.filter(batch.column(3).is_null())
         name, owner, at = (np.asarray(batch.column(i)) for i in range(3))
-        is_link = np.asarray(batch.column(3).is_valid().to_numpy(zero_copy_only=False))
-        old = [np.asarray(batch.column(i).filter(pa.array(is_link))) for i in (1, 2, 3, 4, 5)]
-        name, owner, at = name[~is_link], owner[~is_link], at[~is_link]
-        if carried and len(name):
+        if not len(name):
+            continue
+        if carried:
             name, owner, at = (np.append(c, x) for c, x in zip(carried, (name, owner, at)))
-        new = [np.zeros(0, np.int64)] * 5
-        if len(name):
-            top = _first_of(name)
-            rest = np.arange(len(name)) != top
-            new = [owner[rest], at[rest], owner[top[rest]], at[top[rest]], name[rest]]
-            carried = (int(name[-1]), int(owner[top[-1]]), int(at[top[-1]]))
-        settled = pa.array(np.arange(len(old[0]) + len(new[0])) >= len(old[0]))
-        yield pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(x)) for x in zip(old, new)), settled], [*_COLUMNS[1:], "settled"])
+        top = _first_of(name)
+        rest = np.arange(len(name)) != top
+        new = [owner[rest], at[rest], owner[top[rest]], at[top[rest]], name[rest]]
+        carried = (int(name[-1]), int(owner[top[-1]]), int(at[top[-1]]))
+        yield pa.RecordBatch.from_arrays([*map(pa.array, new), pa.nulls(len(new[0]), pa.binary())], _names(_MADE))
 
 
 def _lists(column: pa.Array) -> tuple[list[int], list[np.ndarray]]:
@@ -317,9 +332,14 @@ def _lists(column: pa.Array) -> tuple[list[int], list[np.ndarray]]:
 
 
 def _resolved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """_PAIRS of what tasks have linked, led to the first of all. In: _PAIRS, and the links (name, to, to_at) of the document that `to` is."""
+    """_PAIRS of what tasks have linked, led to the first of all. In: id, to, packed, and the links (name, to, to_at) of the document that `to` is."""
     for batch in batches:
-        (bound, (name, at, to_at)), (known, (k_name, k_to, k_at)) = _lists(batch.column(2)), _lists(batch.column(3))
+        if not batch.num_rows:
+            continue
+        held = [np.frombuffer(x, np.int64).reshape(-1, 3) for x in batch.column(2).to_pylist()]
+        bound = [0, *np.cumsum([len(x) for x in held]).tolist()]
+        name, at, to_at = np.concatenate(held).T
+        known, (k_name, k_to, k_at) = _lists(batch.column(3))
         row = np.repeat(np.arange(batch.num_rows), np.diff(bound))
         led, to_at = np.asarray(batch.column(1))[row], to_at.copy()
         for a, b, c, d in zip(bound, bound[1:], known, known[1:]):
@@ -642,13 +662,13 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def first_pairs(made: DataFrame) -> DataFrame:
     """_PAIRS: for two documents, the intervals of the one that are linked to the other, because it is the first to have their name: by id, then by place."""
     gathered = F.collect_list(F.struct("name", "at", "to_at")).alias("pairs")
-    settled = made.where("settled AND id <> to").groupBy("id", "to").agg(gathered)
-    early = made.where("NOT settled").groupBy("id", "to").agg(gathered)
+    settled = made.where("packed IS NULL AND id <> to").groupBy("id", "to").agg(gathered)
+    early = made.where("packed IS NOT NULL").select("id", "to", "packed")
     # Links that tasks made lead to the smallest document of some; where others have the name too, that document's own link says which is the first.
-    leaders = made.where("NOT settled").select(F.col("to").alias("k")).distinct()
-    theirs = made.where("settled").join(leaders, F.col("id") == F.col("k"), "left_semi")
+    leaders = early.select(F.col("to").alias("k")).distinct()
+    theirs = made.where("packed IS NULL").join(leaders, F.col("id") == F.col("k"), "left_semi")
     theirs = theirs.groupBy(F.col("id").alias("k")).agg(F.collect_list(F.struct("name", "to", "to_at")).alias("known")).select((F.col("k") + F.lit(0)).alias("k"), "known")
-    resolved = early.join(theirs, F.col("to") == F.col("k"), "left").select("id", "to", "pairs", "known").mapInArrow(_resolved, _PAIRS)
+    resolved = early.join(theirs, F.col("to") == F.col("k"), "left").select("id", "to", "packed", "known").mapInArrow(_resolved, _PAIRS)
     resolved = resolved.where("id <> to").groupBy(F.col("id").alias("i"), F.col("to").alias("t")).agg(F.flatten(F.collect_list("pairs")).alias("more"))
     both = settled.join(resolved, (F.col("id") == F.col("i")) & (F.col("to") == F.col("t")), "full_outer")
     none = F.array().cast("array<struct<name: bigint, at: bigint, to_at: bigint>>")
@@ -735,7 +755,7 @@ def _linked_again(narrow: DataFrame, made: DataFrame, pairs: DataFrame, found: D
     holders = failed.select("name", "id", "at", F.struct(F.lit(True).alias("failed"), "to", "to_at").alias("link"))
     nowhere = F.struct(F.lit(False).alias("failed"), F.lit(-1).cast("long").alias("to"), F.lit(-1).cast("long").alias("to_at")).alias("link")
     tops = failed.select("name", F.col("to").alias("id"), F.col("to_at").alias("at"), nowhere)
-    further = made.where("settled AND id = to").join(failed.select("name").distinct(), "name", "left_semi").select("name", "id", "at", nowhere)
+    further = made.where("packed IS NULL AND id = to").join(failed.select("name").distinct(), "name", "left_semi").select("name", "id", "at", nowhere)
     holders = holders.unionByName(tops).unionByName(further).groupBy("name", "id", "at").agg(F.max("link").alias("link"))
     spots = holders.groupBy(F.col("id").alias("k")).agg(F.collect_list(F.struct("name", "at", "link.failed", "link.to", "link.to_at")).alias("spots"))
     wanted = narrow.join(spots, narrow["id"] == spots["k"]).select("id", "text", "spots")
