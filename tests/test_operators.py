@@ -332,3 +332,20 @@ def test_a_log_without_keys(spark):
     assert sorted(map(tuple, V.log_lines(frame, most=None).collect())) == want
     assert sorted(map(tuple, V.log_lines(frame, most=7).collect())) == want[-7:]
     assert V.log_lines(frame.limit(0)).count() == 0
+
+
+def test_a_group_has_one_key_however_its_joins_are_run(spark):
+    """Once a join turns out small enough to be broadcast, its other side is read where it lies: a group's rows then lie in several tasks."""
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "10m", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    members = spark.range(2000, numPartitions=8).selectExpr("id % 9 AS group_id", "id AS pos", "concat('/p/', id) AS path_cf", "array('A') AS roots", "1L AS size", "'h' AS exact_hash")
+    groups = spark.range(9).selectExpr("id AS group_id", "'exact' AS kind", "100 AS score", "array('exact') AS reasons")
+    before = {k: spark.conf.get(k, None) for k in conf}
+    plain = sorted(map(tuple, G.group_hashes(members, groups).collect()))
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        other = sorted(map(tuple, G.group_hashes(members, groups).collect()))
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert len(plain) == 9 and other == plain
