@@ -42,14 +42,15 @@ def page(rows: DataFrame, mode: str = "group", descending: bool = False, offset:
     return rows.orderBy(*sort_order(mode, descending)).offset(offset).limit(limit)
 
 
-def row_lines(rows: DataFrame, name_width: int = 40) -> DataFrame:
-    """(group_id, pos, line): each row as a line of a table."""
+def row_lines(rows: DataFrame, name_width: int = 40, marked: bool = True) -> DataFrame:
+    """(group_id, pos, line): each row as a line of a table. marked: a text that is cut ends in "...", and widths count cells; otherwise it keeps its first characters."""
+    cut = fit if marked else lambda text, width: F.rpad(text, width, " ")
     shown = [
         (F.col("action"), 8), (F.col("group_id").cast("string"), 5), (F.when(F.col("group_hash") == "", "-").otherwise(F.coalesce("group_hash", F.lit("-"))), 12),
         (F.col("kind"), 12), (F.col("score").cast("string"), 5), (root_label(F.col("roots")), 5), (format_bytes(F.col("size")), 11),
         (format_time(F.col("mtime")), 16), (base_name(F.col("path")), name_width),
     ]
-    return rows.select("group_id", "pos", F.concat_ws(" ", *(fit(c, w) for c, w in shown)).alias("line"))
+    return rows.select("group_id", "pos", F.concat_ws(" ", *(cut(c, w) for c, w in shown)).alias("line"))
 
 
 def group_details(rows: DataFrame) -> DataFrame:

@@ -349,3 +349,10 @@ def test_a_group_has_one_key_however_its_joins_are_run(spark):
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     assert len(plain) == 9 and other == plain
+
+
+def test_lines_of_groups_with_long_numbers(spark):
+    row = [(123456, 1, "KEEP", "k" * 12, "exact", 100, ["A"], 5, 0.0, "/a/n.txt")]
+    rows = spark.createDataFrame(row, "group_id long, pos long, action string, group_hash string, kind string, score int, roots array<string>, size long, mtime double, path string")
+    assert V.row_lines(rows).first().line.split()[1] == "12..."
+    assert V.row_lines(rows, marked=False).first().line == f"{'KEEP':8} 12345 {'k' * 12} {'exact':12} {'100':5} {'A':5} {'5 B':11} 1970-01-01 00:00 {'n.txt':40}"
