@@ -6,7 +6,9 @@ blocks and channels at once. What is decoded is resampled and stored as 16-bit P
 
 The query stores every text as one of the three formats, which the text itself decides, so that all of
 them are written, read back and decoded over the whole table. Media and PCM are tables of the shared
-folder; PCM is stored at `QUERY_RATE` there, so that both take less room than the input.
+folder, written and read back round by round, so that only a part of them takes room at a time. PCM is
+stored at the operator's own rate; what is read of it, brought back to the media's rate, has to be the
+decoded sound.
 """
 
 from __future__ import annotations
@@ -26,7 +28,9 @@ from kinsift.storage import discard, materialize
 
 #: Format tags of WAV files.
 PCM, ALAW, MULAW, IMA_ADPCM = 1, 6, 7, 0x11
-RATE, TO_RATE, QUERY_RATE = 8000, 16000, 2000
+RATE, TO_RATE = 8000, 16000
+#: The rate of which the query's feature tells, as heard again from PCM that is stored at TO_RATE; and the rounds in which it stores.
+QUERY_RATE, ROUNDS = RATE, 4
 #: A payload's bytes are a multiple of UNIT, and so of the bytes of an ADPCM block.
 UNIT, PAD, TAIL, BLOCK = 576, 255, 32, 36
 FORMATS = {MULAW: "mulaw", ALAW: "alaw", IMA_ADPCM: "adpcm"}
@@ -145,6 +149,8 @@ def resample(samples: np.ndarray, rate: int, to: int) -> np.ndarray:
     n = len(samples)
     if not n or rate == to:
         return samples
+    if rate % to == 0:  # no place lies between two samples
+        return samples[:: rate // to][: n * to // rate]
     place = np.arange(n * to // rate, dtype=np.int64) * rate
     at, part = place // to, (place % to)[:, None]
     low = samples[at].astype(np.int64)
@@ -230,9 +236,39 @@ def from_media(media: DataFrame, keep: list[str], media_col: str = "media", to_r
     return made.select(*(F.col(i).alias(c) for i, c in zip(inner, keep)), *DECODED)
 
 
+def heard(sound: DataFrame, rate: int = QUERY_RATE) -> DataFrame:
+    """sound without `pcm` and `error`: its feature tells of the stored pcm at `rate`, and pcm_bytes and pcm_crc32 of pcm as it is stored. Without pcm both are null."""
+    names = [c for c in sound.columns if c not in ("pcm", "error", "feature")]
+    inner = [f"_{i}" for i in range(len(names))]
+
+    def tell(what: str | None, raw: bytes | None) -> tuple:
+        if raw is None:
+            return None, None, None
+        wav = read_wav(raw)
+        data = resample(decode(wav), wav.rate, rate).astype("<i2").tobytes()
+        pcm = write_wav(PCM, data, wav.channels, rate)
+        of = f"{len(data) // 2 // wav.channels}:{zlib.crc32(data):08x};pcm={len(pcm)}:{zlib.crc32(pcm):08x}"
+        return f"{what.partition(';resampled=')[0]};resampled={of}", len(raw), zlib.crc32(raw)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, 1 << 21):
+            n = len(inner)
+            told = zip(*map(tell, batch.column(n).to_pylist(), batch.column(n + 1).to_pylist())) if batch.num_rows else [[]] * 3
+            columns = [pa.array(x, k) for x, k in zip(told, (pa.string(), pa.int64(), pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], *columns], [*inner, "feature", "pcm_bytes", "pcm_crc32"])
+
+    schema = ", ".join(f"`{i}` {sound.schema[c].dataType.simpleString()}" for i, c in zip(inner, names))
+    made = sound.select(*(F.col(c).alias(i) for i, c in zip(inner, names)), "feature", "pcm").mapInArrow(run, f"{schema}, feature string, pcm_bytes long, pcm_crc32 long")
+    return made.select(*(F.col(i).alias(c) for i, c in zip(inner, names)), "feature", "pcm_bytes", "pcm_crc32")
+
+
 def op9_audio(spark, sf_dir: str) -> DataFrame:
-    media = materialize(to_media(read(spark, sf_dir, "documents")), "media", "zstd")
-    sound = materialize(from_media(media, ["doc_id", "n_bytes"], to_rate=QUERY_RATE), "sound", "zstd")
-    discard(media)
-    pcm = F.concat(F.lit(";pcm="), F.octet_length("pcm").cast("string"), F.lit(":"), F.lower(F.lpad(F.hex(F.crc32("pcm")), 8, "0")))  # of what was stored
-    return sound.withColumn("feature", F.concat("feature", pcm)).drop("pcm", "error")
+    docs, out = read(spark, sf_dir, "documents"), None
+    for k in range(ROUNDS):
+        media = materialize(to_media(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(ROUNDS)) == k)), "media", "zstd")
+        sound = materialize(from_media(media, ["doc_id", "n_bytes"]), "sound", "zstd")
+        discard(media)
+        part = materialize(heard(sound), "heard")
+        discard(sound)
+        out = part if out is None else out.unionByName(part)
+    return out

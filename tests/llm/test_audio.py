@@ -141,3 +141,19 @@ def test_odd_rows(spark):
     assert A.from_media(A.to_media(frame.limit(0)), ["doc_id"]).count() == 0
     bad = A.from_media(spark.createDataFrame([(1, b"no"), (2, None)], "id long, media binary"), ["id"]).collect()
     assert all(r.error and r.payload_bytes is None for r in bad)
+
+
+def test_the_query_stores_the_full_rate(spark, small):
+    """Every text's PCM holds all that the operator makes of it by default, and is what the query heard again."""
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    whole = {r.doc_id: r for r in A.from_media(A.to_media(docs), ["doc_id"]).collect()}
+    rows = A.op9_audio(spark, small).collect()
+    assert len(rows) == len(whole) and len({r.doc_id for r in rows}) == len(rows)
+    for r in rows:
+        pcm = bytes(whole[r.doc_id].pcm)
+        assert A.read_wav(pcm).rate == A.TO_RATE and (r.pcm_bytes, r.pcm_crc32) == (len(pcm), zlib.crc32(pcm))
+
+
+def test_sound_that_was_not_stored(spark):
+    sound = A.from_media(spark.createDataFrame([(1, b"no"), (None, A.stored(A.padded(b"x")))], "doc_id long, media binary"), ["doc_id"])
+    assert [(r.doc_id, r.feature is None, r.pcm_bytes is None) for r in A.heard(sound).orderBy("doc_id").collect()] == [(None, False, False), (1, True, True)]
