@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import contextlib
-import ctypes
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from kinsift.session import trim
+
 #: A word is a run of characters other than the six ASCII white-space characters. bytes.split() cuts at the same six.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -51,10 +51,3 @@ def pieces(batches: Iterator[pa.RecordBatch], most: int = 1 << 20) -> Iterator[p
             yield batch.slice(i, step)
     del batches
     trim()
-
-
-def trim() -> None:
-    """Workers live on between tasks, and several share an executor's memory."""
-    pa.default_memory_pool().release_unused()
-    with contextlib.suppress(OSError, AttributeError):  # not the GNU library
-        ctypes.CDLL(None).malloc_trim(0)

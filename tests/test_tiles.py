@@ -1,9 +1,11 @@
 """Pairs found tile by tile against brute force, with more rows than a tile has."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from kinsift import session
 from kinsift.operators import edges as E, tiles
 from kinsift.operators.components import connected_components
 from kinsift.options import ScanOptions
@@ -74,3 +76,15 @@ def test_a_forest_has_the_components_and_lowest_scores_of_all_pairs(spark):
 
     all_pairs, forest = told(E.image_edges(prints, 4, 63, 3.0)), told(E.image_edges(prints, 4, 63, 3.0, forest=True))
     assert forest[1:] == all_pairs[1:] and forest[0] < all_pairs[0] and forest[0] < 900
+
+
+def test_workers_give_memory_back_after_the_last_batch(spark, monkeypatch):
+    done = []
+    monkeypatch.setattr(session, "trim", lambda: done.append(1))
+    out = session.trimmed(lambda batches: (x for x in batches))(iter([pa.record_batch({"a": [1]}), pa.record_batch({"a": [2]})]))
+    assert next(out).num_rows == 1 and not done
+    assert len(list(out)) == 1 and done == [1]
+    seen = []
+    monkeypatch.setattr(tiles, "trimmed", lambda run: seen.append(run) or run)
+    E.hamming_pairs(spark.createDataFrame([(1, 5), (2, 5)], "id long, dhash long"), [], 3, [])
+    assert len(seen) == 2  # the cutting of tiles and their comparison
