@@ -23,6 +23,14 @@ def test_clean_up(spark, tmp_path, monkeypatch):
     assert not os.listdir(tmp_path)
 
 
+def test_no_process_for_modes_of_checksum_files(spark):
+    table = storage.materialize(spark.range(20, numPartitions=3), "t")
+    path = storage.local_path(table._kinsift_path)
+    assert path is None or not [f for f in os.listdir(path) if f.endswith(".crc")]
+    assert table.count() == 20
+    storage.discard(table)
+
+
 def test_local_paths():
     assert storage.local_path("file:///a/b") == storage.local_path("file:/a/b") == storage.local_path("/a/b") == "/a/b"
     assert storage.local_path("hdfs://h/a") is None
